@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import conversations as conv
-from skein.llm import mixing, packing, representative
+from skein.llm import mixing, packing, representative, sentences
 from skein.session import table
 
 
@@ -52,9 +52,13 @@ def p7_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix)
+    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 SQL: dict[str, str] = {}
