@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import conversations as conv
-from skein.llm import mixing, packing, representative, sentences
+from skein.llm import mixing, neardup, packing, representative, sentences
 from skein.session import table
 
 
@@ -28,6 +28,14 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("src", "conv_key", "msg_no", "row_id")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, root, "nodes"))
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_groups(table(spark, root, "nodes"))
+
+
 def p6_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
@@ -58,7 +66,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 SQL: dict[str, str] = {}
