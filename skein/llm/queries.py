@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import conversations as conv
-from skein.llm import mixing, neardup, packing, representative, sentences
+from skein.llm import mixing, neardup, packing, representative, sentences, splitting
 from skein.session import table
 
 
@@ -28,6 +28,19 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("src", "conv_key", "msg_no", "row_id")
 
 
+def _oversized(spark: SparkSession, root: str) -> DataFrame:
+    texts = splitting.message_texts(table(spark, root, "copilot_session"), table(spark, root, "claude_export"))
+    return splitting.oversized(texts)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.blocks_of(_oversized(spark, root))
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.pieces_of(_oversized(spark, root))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_pairs(table(spark, root, "nodes"))
 
@@ -66,7 +79,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 SQL: dict[str, str] = {}
