@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import conversations as conv
-from skein.llm import mixing, neardup, packing, representative, sentences, splitting
+from skein.llm import mixing, neardup, packing, pii, representative, sentences, splitting
 from skein.session import table
 
 
+def _messages(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.message_texts(table(spark, root, "copilot_session"), table(spark, root, "claude_export"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.mentions(_messages(spark, root)).select("src", "row_id", "kind", "start_at")
+
+
+def p1_masked(spark: SparkSession, root: str) -> DataFrame:
+    texts = _messages(spark, root)
+    return pii.masked(texts, pii.mentions(texts))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return representative.field_origins(representative.survivors(table(spark, root, "nodes")))
 
@@ -29,8 +42,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _oversized(spark: SparkSession, root: str) -> DataFrame:
-    texts = splitting.message_texts(table(spark, root, "copilot_session"), table(spark, root, "claude_export"))
-    return splitting.oversized(texts)
+    return splitting.oversized(_messages(spark, root))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +91,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_survivors, p2_consensus, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p1_found, p1_masked, p2_found, p2_survivors, p2_consensus, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 SQL: dict[str, str] = {}
