@@ -486,7 +486,7 @@ def mentions(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def masked(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(src, row_id, text) with every mention of ``found`` replaced by its kind in capitals in square brackets."""
-    spans = found.groupBy("src", "row_id").agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "kind"))).alias("m"))
+    spans = found.groupBy("src", "row_id").agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("m"))
     piece = F.transform(
         "m",
         lambda x, i: F.concat(

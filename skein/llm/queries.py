@@ -94,4 +94,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_masked, p2_found, p2_survivors, p2_consensus, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
-SQL: dict[str, str] = {}
+_INVISIBLE = r"\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{034F}\x{FE00}-\x{FE0F}"
+_ROLE = (
+    "CASE WHEN regexp_replace(lower({0}), '[^a-z]', '', 'g') IN ('user', 'human', 'usermessage', 'humanmessage') THEN 'user'"
+    " WHEN regexp_replace(lower({0}), '[^a-z]', '', 'g') IN ('assistant', 'ai', 'assistantmessage', 'aimessage') THEN 'assistant' END"
+)
+_AT = (
+    r"CASE WHEN regexp_full_match(trim(created_at), '\d{1,15}') THEN trim(created_at)::BIGINT * 1000"
+    r" WHEN regexp_matches(trim(created_at), '^\d{4}-\d{2}-\d{2}[T ]\d') THEN epoch_us(TRY_CAST(trim(created_at) ||"
+    r" CASE WHEN regexp_matches(trim(created_at), '(?i)(z|utc|[+-]\d{2}:?\d{2})$') THEN '' ELSE 'Z' END AS TIMESTAMPTZ)) END"
+)
+_WORDS = r"list_distinct(regexp_extract_all(lower(coalesce(label, '') || ' ' || coalesce(summary, '')), '[\p{L}\p{N}]+'))"
+_SOURCE = r"lower(regexp_replace({0}, '^[\t\n\x0b\f\r\x{{85}}\p{{Z}}]+|[\t\n\x0b\f\r\x{{85}}\p{{Z}}]+$', '', 'g'))"
+
+SQL: dict[str, str] = {
+    "p3_found": f"""
+        WITH m AS (SELECT 'copilot_session' AS src, sessionid AS conv_key, messageid AS mid, {_ROLE.format("type")} AS role, line_no AS pos, load_ts, row_id, content AS t FROM copilot_session
+          UNION ALL SELECT 'claude_export', conv_uuid, uuid, {_ROLE.format("sender")}, {_AT}, load_ts, row_id, text FROM claude_export),
+        d AS (SELECT * FROM m WHERE role IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY src, CASE WHEN trim(mid) <> '' THEN 'm' || mid ELSE 'r' || row_id END ORDER BY load_ts NULLS LAST, row_id) = 1),
+        s AS (SELECT * FROM d WHERE trim(conv_key) <> '' AND regexp_matches(t, '[^{_INVISIBLE}]')),
+        n AS (SELECT *, row_number() OVER w AS msg_no, lead(role) OVER w AS next FROM s WINDOW w AS (PARTITION BY src, conv_key ORDER BY pos, row_id)),
+        bad AS (SELECT DISTINCT src, conv_key FROM n WHERE pos IS NULL OR (msg_no = 1 AND role <> 'user') OR (role = 'user' AND next IS DISTINCT FROM 'assistant'))
+        SELECT n.src, n.conv_key, n.msg_no, n.row_id FROM n ANTI JOIN bad ON n.src = bad.src AND n.conv_key = bad.conv_key""",
+    "p5_found": f"""
+        WITH w AS (SELECT seq, {_WORDS} AS w FROM nodes WHERE seq IS NOT NULL), k AS (SELECT seq, len(w) AS n, unnest(w) AS x FROM w WHERE len(w) >= 10),
+        j AS (SELECT a.seq AS a, b.seq AS b, a.n AS na, b.n AS nb, count(*) AS s FROM k a JOIN k b ON a.x = b.x AND a.seq < b.seq GROUP BY ALL),
+        v AS (SELECT seq, embedding::DOUBLE[] AS e, len(embedding) AS d FROM nodes WHERE len(embedding) > 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)
+        SELECT a AS seq_a, b AS seq_b FROM j WHERE s::DOUBLE / (na + nb - s) >= 0.6
+        UNION SELECT a.seq, b.seq FROM v a JOIN v b ON a.d = b.d AND a.seq < b.seq AND list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
+    "p7_found": f"""
+        WITH d AS (SELECT {_SOURCE.format("source")} AS s, sum(strlen(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT sum(size) AS total FROM d)
+        SELECT t.source FROM mix_targets t CROSS JOIN b LEFT JOIN d ON d.s = {_SOURCE.format("t.source")} WHERE coalesce(d.size, 0) * t.max_repeat < t.target_share * b.total""",
+}
