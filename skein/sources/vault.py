@@ -18,7 +18,7 @@ HEAD = r"(?sd)^---\n(.*?)\n---\n?"
 def read_notes(spark: SparkSession, folder: str, most: int = 500) -> DataFrame:
     """(path, text) of the first ``most`` notes by path, without those in system folders."""
     notes = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return notes.where(~F.col("path").contains("/.obsidian/")).orderBy("path").limit(most)
