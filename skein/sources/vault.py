@@ -46,7 +46,7 @@ def front_matter(notes: DataFrame) -> DataFrame:
     raw = F.get_json_object("meta", "$.tags")
     listed = F.coalesce(F.from_json(raw, "array<string>"), F.filter(F.split(raw, r"[,\s]+"), lambda x: x != ""), F.array().cast("array<string>"))
     inline = all_matches(F.col("body"), r"(?md)^#([A-Za-z0-9_/-]+)")
-    return out.withColumn("tags", F.array_distinct(F.transform(F.concat(listed, inline), lambda x: F.lower(F.ltrim(F.lit("#"), x)))))
+    return out.withColumn("tags", F.array_distinct(F.transform(F.concat(listed, inline), lambda x: F.lower(F.ltrim(x, F.lit("#"))))))
 
 
 def note_turns(notes: DataFrame, tags: list[str] | None = None) -> DataFrame:
