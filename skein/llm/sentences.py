@@ -29,7 +29,7 @@ SPAN = 600
 
 # Abbreviations after which a sentence goes on (in lower case, without the last full stop).
 ABBREVIATIONS = frozenset(
-    """dr prof mr mrs ms st mt gen col sgt capt lt rev hon gov sen rep fig figs sec eq eqs ch vol ed eds pp p cf vs approx ca no
+    """dr prof mr mrs ms st mt gen col sgt capt lt rev hon gov sen rep fig figs sec eq eqs ch vol ed eds pp p cf vs approx ca no ee
     nos max min incl excl dept est ext tel art arts resp viz al e.g i.e c.f u.a z.b d.h p.ex p.ej u.a.m
     hr fr frl nr abs bd bzw ggf evtl vgl sog ca str env mme mlle m mm sra sr srta dra pág págs núm ej ex av
     см рис стр гл им ул д кв тов г-н г-жа проф акад т.е т.к т.н т.п
@@ -37,7 +37,7 @@ ABBREVIATIONS = frozenset(
 )
 # Abbreviations that may end a sentence: it ends there unless a small letter or a figure follows.
 CLOSING = frozenset(
-    "etc inc ltd co corp jr sr u.s u.k u.n e.u d.c a.m p.m am pm usw u.s.w etc. uu ee.uu д т.д т.п др г إلخ الخ κ.λπ κλπ κ.ά bros".split()
+    "etc inc ltd co corp jr u.s u.k u.n e.u d.c a.m p.m am pm usw u.s.w etc. uu ee.uu д т.д т.п др г إلخ الخ κ.λπ κλπ κ.ά bros".split()
 )
 # Words before a figure with a full stop that make it an ordinal, and words that go on after a quotation.
 ORDINAL_AFTER = frozenset("am der die das den dem des vom zum im beim bis ab seit jeder jede ein eine".split())
@@ -463,9 +463,9 @@ def _long(rows: DataFrame, id_type: T.DataType, chunk: int) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 a, b, _ = run(r.text, *lex(r.text, r.lo, r.hi), r.state)
                 pos = [*(x + r.at for x in a), *(x + r.at for x in b)]
-                yield pd.DataFrame(
-                    {"doc_id": [r.doc_id] * len(pos), "copy": r.copy, "no": r.no, "pos": pos, "kind": [1] * len(a) + [0] * len(b)}
-                )
+                if pos:
+                    kinds = [1] * len(a) + [0] * len(b)
+                    yield pd.DataFrame({"doc_id": [r.doc_id] * len(pos), "copy": r.copy, "no": r.no, "pos": pos, "kind": kinds})
 
     found = pieces.join(states, ["copy", "no"]).select(*[c.name for c in ranges], "state").mapInPandas(emit, marks)
     # an end belongs to the start before it: within a range by order, across ranges by the last start of those before

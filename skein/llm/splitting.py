@@ -176,8 +176,8 @@ OUT = T.StructType(
 )
 
 
-def _emit(r, text: str, lo: int, hi: int, base: int, state: tuple, limit: int, overlap: int) -> pd.DataFrame:
-    """Blocks and pieces of a range: own characters [lo, hi) of ``text``, whose first character has offset ``base``."""
+def _emit(r, text: str, lo: int, hi: int, base: int, state: tuple, limit: int, overlap: int) -> Iterator[pd.DataFrame]:
+    """Blocks and pieces of a range, if it has any: own characters [lo, hi) of ``text``, whose first character has offset ``base``."""
     ended = hi >= len(text) and r.final
     blocks, then = scan(text, lo, hi, state)
     begins = r.no == 0
@@ -186,7 +186,9 @@ def _emit(r, text: str, lo: int, hi: int, base: int, state: tuple, limit: int, o
     marks = [b for b, _ in blocks] + ([] if ended else [b for b, _ in scan(text, hi, last, then)[0]])
     pieces = cuts(text, first, last, marks, limit, overlap, begins)
     rows = [(k, base + b, -1) for b, k in blocks] + [("piece", base + a, base + b) for a, b in pieces]
-    return pd.DataFrame(
+    if not rows:
+        return
+    yield pd.DataFrame(
         {
             "src": r.src,
             "row_id": r.row_id,
@@ -216,7 +218,7 @@ def oversized(texts: DataFrame, limit: int = 6000, overlap: int = 200, size: int
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.assign(copy=0, no=0, final=True).itertuples(index=False):
-                yield _emit(r, r.text, 0, len(r.text), 0, START, limit, overlap)
+                yield from _emit(r, r.text, 0, len(r.text), 0, START, limit, overlap)
 
     def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -278,7 +280,7 @@ def stitched(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
 
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                yield _emit(r, r.text, r.lo, r.hi, r.base - r.lo, ast.literal_eval(r.state), limit, overlap)
+                yield from _emit(r, r.text, r.lo, r.hi, r.base - r.lo, ast.literal_eval(r.state), limit, overlap)
 
     joined = spread.join(entries, [*key, "no"])
     return joined.mapInPandas(emit, OUT)
