@@ -87,6 +87,10 @@ EMAIL = regex.compile(
     rf"|{_L}(?: dot {_L})*+ at {_LABEL}(?: dot [^\W_][\w\-]*+)++(?![\w+]| at [\w\-]+ dot ))",
     regex.ASCII,
 )
+#: Where an address may be, and where numbers may be; the forms are only tried around these.
+AT = re.compile(r"[@＠]|%40|[(\[{] ?at ?[)\]}]| at (?=[\w\-]+ dot )")
+LOCAL = 320
+NUMBERS = re.compile(r"[A-Z0-9+(][A-Z0-9 ().\-/]{6,}")
 _B, _E = r"(?<![\w\-./:#&+@])(?<!\d[ ])", r"(?![\w\-/@]|[.:]\d|[ ]\d)"
 IDENTITY = [
     (r"\d{3}-\d{2}-\d{4}", 1),
@@ -159,8 +163,19 @@ NAMES = regex.compile(
     rf"|(?P<caps>\p{{Lu}}{{2,}}[ ]\p{{Lu}}[\p{{Lu}}'’\-]{{2,}})"
     rf"|(?P<one>{_CAP}))(?![\p{{Latin}}\p{{Cyrillic}}\p{{N}}_@])"
 )
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern of the words that looks at their first letters first."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h) + (_tree(r) if len(r) > 1 or r[0] else "") for h, r in sorted(heads.items(), reverse=True) if h]
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in heads else "")
+
+
 LOWER = regex.compile(
-    r"(?<![\p{Latin}\p{Cyrillic}\p{N}_@./\-+])(" + "|".join(sorted((x.lower() for x in _G), key=len, reverse=True)) + rf")[ ](?:\p{{Ll}}\.[ ])?{_PART}*\p{{Ll}}[\p{{Ll}}'’\-]{{3,}}(?![\p{{Latin}}\p{{Cyrillic}}\p{{N}}_@.]\p{{L}})"
+    r"(?<![\p{Latin}\p{Cyrillic}\p{N}_@./\-+])(" + _tree(sorted({x.lower() for x in _G})) + rf")[ ](?:\p{{Ll}}\.[ ])?{_PART}*\p{{Ll}}[\p{{Ll}}'’\-]{{3,}}(?![\p{{Latin}}\p{{Cyrillic}}\p{{N}}_@.]\p{{L}})"
 )
 _HAN_GIVEN = "|".join(sorted(GIVEN_HAN.split(), key=len, reverse=True))
 _HAN_START = r"(?:(?<=请找|请联系|联系|致电|担当は|は|我是|叫)|(?<![\p{Han}\p{Katakana}\p{Hiragana}ー々]))"
@@ -289,13 +304,19 @@ def candidates(text: str) -> list[tuple[int, int, int, list[int], list[int]]]:
     plain = text.translate(WIDE)
     found: list[tuple[int, int, int, dict]] = []
     mails: list[tuple[int, int]] = []
-    if "@" in text or "＠" in text or "%40" in text or " at " in text or "at)" in text or "at]" in text:
-        for m in EMAIL.finditer(text):
+    done = 0
+    for anchor in AT.finditer(text):
+        if anchor.start() < done:
+            continue
+        m = EMAIL.search(text, max(done, anchor.start() - LOCAL), anchor.end() + LOCAL)
+        while m is not None:
+            done = m.end()
             mails.append(m.span())
             low = m.group().lower()
             ends = low.rsplit(".", 1)[-1]
             code = -1 if low.startswith("git@") or ends in ("py", "js", "json", "md", "toml", "yaml", "route", "fixture") else 0
             found.append((0, *m.span(), {"form": 1, "gazetteer": 0, "against": code}))
+            m = None if done > anchor.start() else EMAIL.search(text, done, anchor.end() + LOCAL)
     numbers: list[tuple[int, int]] = []
     places: list[tuple[int, int]] = []
     if DIGITS.search(plain):
@@ -306,17 +327,17 @@ def candidates(text: str) -> list[tuple[int, int, int, list[int], list[int]]]:
                     places.append((a, b))
                     lone = bool(regex.match(r"[\d\s]*\p{Ll}+\s(?:way|close|row|place|court|drive|st|dr|av|ter)\b", m.group())) if i == 0 else False
                     found.append((3, a, b, {"form": 0 if lone else 1, "gazetteer": 0, "against": 0}))
-        for k, forms in ((2, IDENTITY), (1, PHONE)):
-            for pattern, strict in forms:
-                for m in pattern.finditer(plain):
-                    a, b = m.span()
-                    if any(x < b and a < y for x, y in numbers) or _inside(places, a, b) or _inside(mails, a, b):
-                        continue
-                    digits = sum(c.isdigit() for c in plain[a:b])
-                    if k == 1 and not 8 <= digits <= 15:
-                        continue
-                    numbers.append((a, b))
-                    found.append((k, a, b, {"form": strict, "gazetteer": 0, "against": 0}))
+        runs = [m.span() for m in NUMBERS.finditer(plain) if sum(map(str.isdigit, m.group())) >= 6]
+        for k, pattern, strict in [(2, *f) for f in IDENTITY] + [(1, *f) for f in PHONE]:
+            for m in (m for lo, hi in runs for m in pattern.finditer(plain, lo, hi + 3)):
+                a, b = m.span()
+                if any(x < b and a < y for x, y in numbers) or _inside(places, a, b) or _inside(mails, a, b):
+                    continue
+                digits = sum(c.isdigit() for c in plain[a:b])
+                if k == 1 and not 8 <= digits <= 15:
+                    continue
+                numbers.append((a, b))
+                found.append((k, a, b, {"form": strict, "gazetteer": 0, "against": 0}))
     taken: list[tuple[int, int]] = []
     for a, b, votes in _names(text):
         if _inside(mails, a, b) or any(x < b and a < y for x, y in places) or any(x < b and a < y for x, y in taken):
