@@ -91,7 +91,7 @@ EMAIL = regex.compile(
 AT = re.compile(r"[@＠]|%40|[(\[{] ?at ?[)\]}]| at (?=[\w\-]+ dot )")
 LOCAL = 320
 NUMBERS = re.compile(r"[A-Z0-9+(][A-Z0-9 ().\-/]{6,}")
-_B, _E = r"(?<![\w\-./:#&+@])(?<!\d[ ])", r"(?![\w\-/@]|[.:]\d|[ ]\d)"
+_B, _E = r"(?<![\w\-./:#&+@])(?<!\d[ ])", r"(?![\d_a-z\-/@]|[A-Z](?![a-z])|[.:]\d|[ ]\d)"
 IDENTITY = [
     (r"\d{3}-\d{2}-\d{4}", 1),
     (r"\d{3} \d{2} \d{4}", 1),
