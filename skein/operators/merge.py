@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -195,40 +195,45 @@ def bind_edges(nodes: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("session_id", "from_id", "to_id", valid_relation(F.col("relation")).alias("relation"))
 
 
-def semantic_merge(existing: DataFrame, incoming: DataFrame, merge: float = 0.88, relate: float = 0.78) -> DataFrame:
+def semantic_merge(existing: DataFrame, incoming: DataFrame, batch: Column | None = None, merge: float = 0.88, relate: float = 0.78) -> DataFrame:
     """(seq, action, target_seq, score) of incoming nodes: merge into an existing node of the type at ``merge`` or more, relate
     to it from ``relate``, else keep; existing nodes are searched in parallel. Incoming nodes that found no existing node to
-    merge with are then compared, in order of seq, with those of their session and type kept before them."""
+    merge with are then compared, in order of seq, with those of their session, type and ``batch`` kept before them; a batch is
+    what one extraction yields (all incoming nodes if none is given) and must fit one task. Many batches share a task call."""
+    spark = existing.sparkSession
     scored = best_match(existing, incoming, relate)
-    first = incoming.select("session_id", "type", "seq", "embedding").join(scored, "seq", "left")
+    key = F.xxhash64("session_id", "type", F.lit(0) if batch is None else batch)
+    first = incoming.select("seq", "embedding", key.alias("key")).join(scored, "seq", "left")
     done = first.where(F.col("score") >= merge).select("seq", F.lit("merge").alias("action"), F.col("match_seq").alias("target_seq"), "score")
-    rest = first.where("score is null or score < %r" % merge)
+    rest = first.where(F.col("score").isNull() | (F.col("score") < merge))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept: dict[int, list] = {}
+    def fold_one(pdf: pd.DataFrame) -> list[tuple]:
+        kept: dict[int, tuple[list, list]] = {}
         out = []
-        for r in pdf.itertuples(index=False):
-            best, target = (r.score, r.match_seq) if r.score == r.score and r.score is not None else (None, None)
-            v = None if r.embedding is None else np.asarray(r.embedding, dtype=np.float64)
+        for seq, embedding, target, best in zip(pdf["seq"], pdf["embedding"], pdf["match_seq"], pdf["score"]):
+            if best is None or best != best:
+                best = target = None
+            v = None if embedding is None else np.asarray(embedding, dtype=np.float64)
             norm = 0.0 if v is None or not len(v) else float(np.linalg.norm(v))
-            if norm:
-                seqs, rows = kept.setdefault(len(v), [[], []])
-                if rows:
-                    sims = np.asarray(rows) @ (v / norm)
-                    at = int(sims.argmax())
-                    if sims[at] >= relate and (best is None or sims[at] > best):
-                        best, target = float(sims[at]), seqs[at]
+            seqs, rows = kept.setdefault(len(v), ([], [])) if norm else ([], [])
+            if rows:
+                sims = np.asarray(rows) @ (v / norm)
+                at = int(sims.argmax())
+                if sims[at] >= relate and (best is None or sims[at] > best):
+                    best, target = float(sims[at]), seqs[at]
             action = "keep" if best is None else "merge" if best >= merge else "relate"
             if action != "merge" and norm:
-                seqs.append(r.seq)
+                seqs.append(seq)
                 rows.append(v / norm)
-            out.append((r.seq, action, target, best))
+            out.append((seq, action, target, best))
+        return out
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [r for _, g in pdf.sort_values(["key", "seq"]).groupby("key", sort=False) for r in fold_one(g)]
         return pd.DataFrame(out, columns=["seq", "action", "target_seq", "score"]).astype({"target_seq": "Int64"})
 
-    folded = rest.select("session_id", "type", "seq", "embedding", "match_seq", "score").groupBy("session_id", "type").applyInPandas(
-        fold, "seq long, action string, target_seq long, score double"
-    )
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folded = rest.groupBy(F.pmod("key", F.lit(buckets))).applyInPandas(fold, "seq long, action string, target_seq long, score double")
     return done.unionByName(folded)
 
 

@@ -424,7 +424,7 @@ def cross_type_match(spark, root):
 @query()
 def semantic_merge(spark, root):
     old, new = _halves(spark, root)
-    return merge.semantic_merge(old, new)
+    return merge.semantic_merge(old, new, batch=F.to_date("created_at"))
 
 
 @query("SELECT session_id, greatest(0, floor(count(*) * 0.28) - count(*) FILTER (relation = 'relates-to'))::BIGINT AS budget FROM edges GROUP BY session_id")
