@@ -76,8 +76,12 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
         if w > 0:
             slack = max(slack, longest / w)  # a document's longest virtual time
     end = virtual_end([(p[2], p[5]) for p in plan], budget)
+    if end is not None:  # repetitions that can begin before the end; more are never drawn
+        plan = [(*p[:3], min(p[3], int((end * (1 + 1e-9) + slack) * p[2] / p[4]) + 1) if p[4] else 0, *p[4:], p[3]) for p in plan]
+    else:
+        plan = [(*p, p[3]) for p in plan]
     plan_df = spark.createDataFrame(
-        plan, "_src string, _name string, _w double, _rep long, _total long, _cap long"
+        plan, "_src string, _name string, _w double, _rep long, _total long, _cap long, _most long"
     )
     drawn = F.broadcast(plan_df.where("_w > 0 and _rep > 0"))
     shuffled = sizes.join(drawn, "_src").withColumn("_h", F.xxhash64("_id", F.lit(seed)))
@@ -102,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
         .select(
             F.col("_name").alias("source"),
             F.col("_w").alias("target_share"),
-            F.col("_rep").alias("max_repeat"),
+            F.col("_most").alias("max_repeat"),
             F.col("_total").alias("source_tokens"),
             F.col("_cap").alias("available"),
             F.coalesce("_taken", F.lit(0)).alias("mix_tokens"),
