@@ -240,23 +240,27 @@ def semantic_merge(existing: DataFrame, incoming: DataFrame, batch: Column | Non
 def minimum_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(batch, from_seq, to_seq, relation): per batch, in order of seq, one edge for each node without one, to the first node
     the fallback rules allow, else to the first other; both then count as connected. A batch is what one turn yields, a few
-    dozen rows, and is folded in one call. nodes: (batch, seq, id, type), edges: (batch, from_id, to_id)."""
+    dozen rows; many are folded in one call. nodes: (batch, seq, id, type), edges: (batch, from_id, to_id)."""
     rule = {(a, b): r for a, b, r in rules.ORPHAN_EDGES}
     ends = edges.select("batch", F.explode(F.array("from_id", "to_id")).alias("id")).distinct().withColumn("linked", F.lit(True))
     rows = nodes.join(ends, ["batch", "id"], "left").select("batch", "seq", "id", "type", F.coalesce("linked", F.lit(False)).alias("linked"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seq, kind = pdf["seq"].tolist(), pdf["type"].tolist()
-        linked = pdf["linked"].tolist()
+    def fold_one(batch: str, seq: list, kind: list, linked: list) -> list[tuple]:
         out = []
         for i in range(len(seq)):
             if linked[i] or len(seq) < 2:
                 continue
             others = [j for j in range(len(seq)) if j != i]
             j = next((j for j in others if (kind[i], kind[j]) in rule), others[0])
-            out.append((pdf["batch"].iloc[0], seq[i], seq[j], rule.get((kind[i], kind[j]), "relates-to")))
+            out.append((batch, seq[i], seq[j], rule.get((kind[i], kind[j]), "relates-to")))
             linked[i] = linked[j] = True
+        return out
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = pdf.sort_values(["batch", "seq"]).groupby("batch", sort=False)
+        out = [r for b, g in groups for r in fold_one(b, g["seq"].tolist(), g["type"].tolist(), g["linked"].tolist())]
         return pd.DataFrame(out, columns=["batch", "from_seq", "to_seq", "relation"])
 
-    return rows.groupBy("batch").applyInPandas(fold, "batch string, from_seq long, to_seq long, relation string")
+    buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("batch"), F.lit(buckets))
+    return rows.where("batch is not null").groupBy(bucket).applyInPandas(fold, "batch string, from_seq long, to_seq long, relation string")

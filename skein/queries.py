@@ -920,3 +920,31 @@ def hybrid_route(spark, root):
 
     t = turns.transcript_turns(table(spark, root, "copilot_session"))
     return route(t, every=5).select("session_id", "turn_number", "backend")
+
+
+# --- the whole way ----------------------------------------------------------------------------------------------------
+
+
+def _extracted(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    from skein.plans import pipeline
+
+    t = turns.transcript_turns(table(spark, root, "copilot_session"))
+    return pipeline.candidates(t.withColumn("ts", T.iso_time(F.col("ts"))))
+
+
+@query()
+def extract_candidates(spark, root):
+    return _extracted(spark, root)[0].select("session_id", "id", "type", "label", "status", F.round("confidence", 3).alias("confidence"))
+
+
+@query()
+def ingest(spark, root):
+    """Candidates of all transcripts merged into the stored graph and repaired: the edges of the result."""
+    from skein.plans import pipeline
+    from skein.session import cut
+
+    new_nodes, new_edges = _extracted(spark, root)
+    top = 2**40
+    new_nodes = cut(new_nodes.withColumn("seq", F.lit(top) + F.pmod(F.xxhash64("id"), F.lit(2**61))).drop("_order", "batch"), "candidates")
+    nodes, edges = pipeline.merge_batch(_nodes(spark, root), _edges(spark, root), new_nodes, new_edges, at="2026-07-01")
+    return pipeline.repair_all(nodes, edges, at="2026-07-01")[1]
