@@ -44,6 +44,15 @@ ORDINAL_AFTER = frozenset("am der die das den dem des vom zum im beim bis ab sei
 GOES_ON = re.compile(
     r"(?:然后|然後|并|並|而|就|后|後|便|又|再|接着|有人|他|她|我们问|と|って|という|とか|라고|이라고|라는|고 |في |ثم |و|ने |कहा|գրեց|ասաց|εγραψε|—|–|-|,|;|:|，|、|；|：|،|؛)"
 )
+# Small words that go on after a quotation or an "etc.".
+CONTINUES = frozenset(
+    """and but or nor so yet then than asked said wrote replied answered added noted says asks writes told in on at to of for from with by
+    as is was were are be has have had will would can could should may while when where before after because until since though if that
+    which who he she they it we i you not also demande dit écrit répond ajoute dans en et mais ou puis avant après sur avec pour par à de
+    du des que qui est a dijo pregunta respondió y pero o luego antes después sobre con para por del es son sagte fragte schrieb rief und
+    aber oder dann im auf mit für von vor nach ist war сказал сказала написал спросил ответил и но а в на с по или έγραψε είπε ρώτησε και
+    αλλά σε στο στη με e ma ed disse em il la le""".split()
+)
 SPEAKERS = "User|You|Human|Me|Assistant|Claude|Copilot|GitHub Copilot|GPT|AI|System|Tool|Bot"
 
 MARKS = ".!?…。！？｡．։।॥۔؟።፧፨;\u037e‼⁇⁈⁉។៕။།"
@@ -70,6 +79,7 @@ LINE_MARK = re.compile(r"[^\S\n]*(?:[-*+•‣▪–]|\(?\d{1,3}[.)]|#{1,6})[^\S
 LABEL = re.compile(rf"[^\S\n]*(?:{SPEAKERS})[^\S\n]*[:：][^\S\n]*")
 HEADING = re.compile(r"[^\S\n]*#{1,6}[^\S\n]")
 NONSPACE = re.compile(r"\S")
+WORD = re.compile(r"\w+")
 BREAK = re.compile(r"\n[^\S\n]*\n")
 WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»‘,،;:/（）「」]+$")
 
@@ -131,7 +141,7 @@ def _follows(text: str, at: int) -> str:
     if GOES_ON.match(text, m.start()):
         return "L"
     if c.islower():
-        return "L"
+        return "L" if WORD.match(text, m.start()).group() in CONTINUES else "N"
     if m.start() == at and ("가" <= c <= "힣" or HAS_THAI.match(c)):
         return "L"
     if c.isupper() or c in "¿¡«“„\"'([（「『" or c in "#-*>|":
@@ -172,6 +182,8 @@ def _full_stop(text: str, at: int, end: int) -> bool:
     if tail in CLOSING or low in CLOSING:
         if tail == "д" and not text[max(0, at - 4) : at].lower().endswith("т. д"):
             return False
+        if ahead.islower() and tail in ("etc", "usw", "т.д"):
+            return WORD.match(text, m.start()).group() not in CONTINUES
         return not (ahead.islower() or (ahead.isdigit() and tail in ("г", "др", "sr", "jr")))
     if tail in ABBREVIATIONS:
         return False

@@ -263,6 +263,7 @@ def test_known_sentences(want):
         ("กรุณาเปิด ทำไมหาย ใช้ 3 แถว", ["กรุณาเปิด", "ทำไมหาย", "ใช้ 3 แถว"]),
         ("# Head\nLine one\ngoes on. Two\n- a\n- beta. c\n1. x\n\nUser: hi. you", ["# Head", "Line one\ngoes on.", "Two", "- a", "- beta.", "c", "1. x", "User: hi.", "you"]),
         ("one.Two three!Four a.b.c 3.5x", ["one.", "Two three!", "Four a.b.c 3.5x"]),
+        ('The log said "none found." vajox reports 3 s. It holds notes, etc. vajox too. It holds etc. and more.', ['The log said "none found."', "vajox reports 3 s.", "It holds notes, etc.", "vajox too.", "It holds etc. and more."]),
         (" \n\t ", []),
         ("", []),
     ],
