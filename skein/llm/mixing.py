@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from skein.operators.ranking import bucketed_running
 
 RUNS = 1024
+#: Targets a mix may have; their table is small by its nature, which is checked, and is sent to every executor.
+TARGETS = 10_000
 
 
 def source_key(col: str) -> F.Column:
@@ -55,6 +57,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
         .agg(F.max(F.struct("_w", "_rep", "_name")).alias("_t"))
         .select("_src", "_t.*")
     )
+    asked = want.limit(TARGETS + 1).collect()
+    if len(asked) > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
     sizes = docs.select(
         F.col("doc_id").alias("_id"), source_key("source").alias("_src"), F.octet_length("text").cast("long").alias("_size")
     ).where("_src is not null and _size > 0")
@@ -69,7 +74,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
     budget = sum(int(r["_total"]) for r in found)
     size_of = {r["_src"]: (int(r["_total"]), int(r["_longest"])) for r in found if r["_src"] is not None}
     plan, slack = [], 0.0
-    for r in want.collect():
+    for r in asked:
         w, rep = float(r["_w"] or 0.0), max(0, int(r["_rep"] or 0))
         total, longest = size_of.get(r["_src"], (0, 0))
         plan.append((r["_src"], r["_name"], w, rep, total, total * rep))

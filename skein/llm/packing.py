@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from skein.operators.ranking import bucketed_running
 
+#: Rows of a plan, 40 bytes each, that are sent to every executor; a longer plan is joined by shuffle.
+BROADCAST_ROWS = 500_000
 PLAN_SCHEMA = T.StructType(
     [
         T.StructField("tokens", T.LongType()),
@@ -59,7 +61,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     multiples of the capacity and placed like other items. Null and empty texts need no room: one row with tokens 0 and a
     null bin_id. Documents with equal ids are separate items if their sizes differ and may swap slots if not. The histogram
     has at most ``capacity`` rows, whatever the input, and is the only thing the driver sees; the plan joined back has at
-    most 2 * capacity patterns. Ranks within a length are spread over runs of about ``run_rows`` rows.
+    most 2 * capacity patterns and is only broadcast up to BROADCAST_ROWS rows. Ranks within a length are spread over runs of about ``run_rows`` rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -82,9 +84,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         ["_id", "piece_no", "_size"],
         rank="_rank",
     )
-    plan = spark.createDataFrame(plan_bins(counts, capacity), PLAN_SCHEMA)
+    slots = plan_bins(counts, capacity)
+    plan = spark.createDataFrame(slots, PLAN_SCHEMA).withColumnRenamed("tokens", "_tokens")
     placed = ranked.join(
-        F.broadcast(plan.withColumnRenamed("tokens", "_tokens")),
+        F.broadcast(plan) if len(slots) <= BROADCAST_ROWS else plan,
         (F.col("tokens") == F.col("_tokens")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")),
     ).withColumn("bin_id", F.expr("first_bin + (_rank - rank_from) div per_bin"))
     cols = [F.col("_id").alias(id_col), "piece_no", "n_pieces", "piece_start", "tokens"]
