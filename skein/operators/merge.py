@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein import rules
-from skein.functions.extract import is_conflict
+from skein.functions.extract import is_conflict, valid_relation
 
 POLICIES = ("manual", "auto-accept-incoming", "auto-keep-existing")
 
@@ -185,8 +185,6 @@ def orphan_patch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bind_edges(nodes: DataFrame, named: DataFrame) -> DataFrame:
     """Edges given by labels (session_id, from_label, to_label, relation) with the ids of the last nodes that carry them, case
     ignored; edges to unknown labels are dropped."""
-    from skein.functions.extract import valid_relation
-
     ids = nodes.groupBy("session_id", F.lower("label").alias("l")).agg(F.max_by("id", "seq").alias("id"))
     out = named
     for end in ("from", "to"):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein import rules
+from skein.functions.extract import push_status
+from skein.operators.graph import node_ids, within
 from skein.schema import ACTIVE_NODES, DIGEST_ACTIVE, DIGEST_RESOLVED, OPEN, RESOLVED_SUMMARY
 
 SKIPPED_SESSIONS = r"^(test_.*|tmp.*|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
@@ -44,8 +46,6 @@ def topic_filter(nodes: DataFrame, topic: str) -> DataFrame:
 
 def visible_graph(nodes: DataFrame, edges: DataFrame, kinds: list[str], statuses: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes of some types and statuses, and the edges between two of them."""
-    from skein.operators.graph import node_ids, within
-
     shown = nodes.where(F.col("type").isin(kinds) & F.col("status").isin(statuses))
     return shown, within(edges, node_ids(shown))
 
@@ -159,3 +159,43 @@ def terminal_status(kind: Column) -> Column:
 
 def initial_status(kind: Column) -> Column:
     return rules.lookup(rules.INITIAL_BY_TYPE, kind, "active")
+
+
+def attention_counts(nodes: DataFrame) -> DataFrame:
+    """Per session the nodes, and those that are unconfirmed, in conflict, test failures and endpoints."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return nodes.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        n(F.col("status") == "unconfirmed").alias("unconfirmed"),
+        n(F.col("status") == "conflicted").alias("conflicted"),
+        n(F.col("subtype") == "test_failure").alias("test_failures"),
+        n(F.col("subtype") == "endpoint").alias("endpoints"),
+    )
+
+
+def set_status(nodes: DataFrame, which: Column, status: Column, note: str | None = None, at: str | None = None, history: bool = True) -> DataFrame:
+    """Nodes with a new status where ``which`` holds and it differs; the old one goes to the history (unless ``history`` is
+    off, as for edits in the viewer) and updated_at is set."""
+    when = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    change = F.coalesce(which, F.lit(False)) & ~F.col("status").eqNullSafe(status)
+    out = nodes.withColumn("_c", change).withColumn("_s", status)
+    if history:
+        pushed = push_status(F.col("status_history"), F.col("status"), F.lit(note), when)
+        out = out.withColumn("status_history", F.when(F.col("_c"), pushed).otherwise(F.col("status_history")))
+    out = out.withColumn("status", F.when(F.col("_c"), F.col("_s")).otherwise(F.col("status")))
+    return out.withColumn("updated_at", F.when(F.col("_c"), when).otherwise(F.col("updated_at"))).drop("_c", "_s")
+
+
+def linked_pairs(edges: DataFrame) -> DataFrame:
+    """The distinct (session_id, a, b) that some edge ties, in either direction, each once with a <= b."""
+    ends = edges.where("from_id is not null and to_id is not null")
+    return ends.select("session_id", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
+
+
+def id_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(session_id, id, side) of ids that only the old, only the new or both exports hold."""
+    def ids(df: DataFrame, name: str) -> DataFrame:
+        return df.where("id is not null").select("session_id", "id").distinct().withColumn(name, F.lit(True))
+
+    both = ids(old, "o").join(ids(new, "n"), ["session_id", "id"], "full_outer")
+    return both.select("session_id", "id", F.when(F.col("o") & F.col("n"), "both").when(F.col("o"), "old").otherwise("new").alias("side"))

@@ -67,6 +67,17 @@ def rule_extractor(user: Column, assistant: Column) -> Column:
     return F.to_json(F.struct(nodes.alias("nodes"), F.array().cast("array<struct<`from`:string,`to`:string,relation:string,weight:string>>").alias("edges")))
 
 
+#: Extractors by name; a model is any vectorised function of two text columns that gives JSON text.
+EXTRACTORS: dict[str, Extractor] = {"rules": rule_extractor}
+
+
+def embed(nodes: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
+    """Nodes with embeddings for those that have none, each distinct label embedded once."""
+    missing = nodes.where("embedding is null and label is not null").select("label").distinct()
+    vectors = missing.select("label", embedder(F.col("label")).cast("array<float>").alias("_v"))
+    return nodes.join(vectors, "label", "left").withColumn("embedding", F.coalesce("embedding", "_v")).select(*nodes.columns)
+
+
 def candidates(turns: DataFrame, extractor: Extractor = rule_extractor, masks: list[str] | None = None, max_chars: int = 6000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) extracted from turns (session_id, turn_number, role_user, role_assistant, ts).
 

@@ -725,6 +725,36 @@ def viewer_graph(spark, root):
     return viewer_nodes(_nodes(spark, root))
 
 
+@query(
+    "SELECT session_id, count(*) AS n_nodes, count(*) FILTER (status = 'unconfirmed') AS unconfirmed, count(*) FILTER (status = 'conflicted') AS conflicted,"
+    " count(*) FILTER (subtype = 'test_failure') AS test_failures, count(*) FILTER (subtype = 'endpoint') AS endpoints FROM nodes GROUP BY session_id"
+)
+def attention_counts(spark, root):
+    return views.attention_counts(_nodes(spark, root))
+
+
+_CLOSED = _case(rules.TERMINAL_BY_TYPE, "type", "'resolved'")
+
+
+@query(f"SELECT seq, CASE WHEN status = 'deferred' THEN {_CLOSED} ELSE status END AS status, coalesce(len(status_history), 0) + coalesce((status = 'deferred')::INT, 0) AS n_history FROM nodes")
+def close_deferred(spark, root):
+    n = views.set_status(_nodes(spark, root), F.col("status") == "deferred", views.terminal_status(F.col("type")), "closed", "2026-07-01")
+    return n.select("seq", "status", F.coalesce(F.size("status_history"), F.lit(0)).alias("n_history"))
+
+
+@query("SELECT DISTINCT session_id, least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL")
+def linked_pairs(spark, root):
+    return views.linked_pairs(_edges(spark, root))
+
+
+@query(
+    f"WITH o AS (SELECT DISTINCT session_id, id FROM {OLD} WHERE id IS NOT NULL), n AS (SELECT DISTINCT session_id, id FROM {NEW} WHERE id IS NOT NULL)"
+    " SELECT *, 'both' AS side FROM (SELECT * FROM o INTERSECT SELECT * FROM n) UNION ALL SELECT *, 'old' FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT *, 'new' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)"
+)
+def id_changes(spark, root):
+    return views.id_changes(*_halves(spark, root))
+
+
 # --- ranks ------------------------------------------------------------------------------------------------------------
 
 _ASKED = "['graph', 'cache', 'parser']"
@@ -876,6 +906,12 @@ def active_thread_xml(spark, root):
     return thread.render(thread.active_thread(_nodes(spark, root), _edges(spark, root)))
 
 
+@query()
+def active_thread_text(spark, root):
+    t = thread.render(thread.active_thread(_nodes(spark, root), _edges(spark, root)))
+    return t.select("session_id", T.strip_tags(F.col("xml")).alias("text"))
+
+
 @query()
 def digest(spark, root):
     return reports.digest(_nodes(spark, root), _edges(spark, root))

@@ -53,3 +53,8 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"skein-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def session_name(project: str, day: str) -> str:
+    """The default name of a session: the project folder's, in lower case with hyphens, and the day."""
+    return f"{os.path.basename(os.path.normpath(project)).lower().replace(' ', '-')}-{day}"

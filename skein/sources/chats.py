@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.functions.text import iso_time, strip
 
@@ -17,8 +18,6 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row_id"), F.col("value").alias("v")
     )
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy("file").orderBy("block", "row_id")).cast("long") - 1
     lines = lines.withColumn("line_no", place).where(F.try_parse_json("v").isNotNull() & F.get_json_object("v", "$.type").isNotNull())
     get = lambda *names: F.coalesce(*[F.get_json_object("v", f"$.{p}{n}") for n in names for p in ("data.", "")])
@@ -90,3 +89,19 @@ def export_summary(files: DataFrame) -> DataFrame:
     """(path, session_id, n_nodes, n_edges) without building rows."""
     d = F.from_json("text", "session_id string, nodes array<string>, edges array<string>")
     return files.select("path", F.coalesce(d["session_id"], F.lit("unknown")).alias("session_id"), F.coalesce(F.size(d["nodes"]), F.lit(0)).alias("n_nodes"), F.coalesce(F.size(d["edges"]), F.lit(0)).alias("n_edges"))
+
+
+def workspaces(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, uri, modified) of the workspaces under a storage root, from their workspace.json files."""
+    w = spark.read.text(f"{root}/*/workspace.json", wholetext=True).select(
+        F.col("_metadata.file_path").alias("p"), F.get_json_object("value", "$.folder").alias("uri"), F.col("_metadata.file_modification_time").alias("modified")
+    )
+    return w.select(F.regexp_extract("p", r"^(.*)/workspace\.json$", 1).alias("folder"), "uri", "modified")
+
+
+def find_workspace(spark: SparkSession, root: str, project: str) -> str | None:
+    """The workspace folder whose uri names the project, else the one changed last; None without any."""
+    w = workspaces(spark, root)
+    match = F.coalesce(F.rtrim("uri", F.lit("/")).endswith(project.rstrip("/")), F.lit(False))
+    found = w.agg(F.max_by("folder", F.struct(match, "modified")).alias("f")).first()
+    return found["f"]

@@ -72,3 +72,16 @@ def write_managed_block(path: str, content: str, begin: str = "<!-- session cont
     with open(temp, "w", encoding="utf-8") as f:
         f.write(text)
     os.replace(temp, path)
+
+
+def fan_out(paths: list[str], content: str) -> list[str]:
+    """Writes a managed block to each path once, in the order given; the paths written."""
+    own = list(dict.fromkeys(p for p in paths if p))
+    for path in own:
+        write_managed_block(path, content)
+    return own
+
+
+def rename_session(df: DataFrame, old: str, new: str) -> DataFrame:
+    """A table with one session under a new name."""
+    return df.withColumn("session_id", F.when(F.col("session_id") == old, new).otherwise(F.col("session_id")))

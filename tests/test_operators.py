@@ -377,3 +377,27 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = turns.transcript_turns(spark.createDataFrame([(*r, None) for r in rows], schema + ", starttime string")).drop("ts")
     closed = {("s1", 1, "u1", "a2"), ("s1", 2, "u2", "a3")}
     assert closed <= set(seen) <= {tuple(r) for r in batch.collect()}
+
+
+def test_edits_names_and_embeddings(spark, tmp_path):
+    from skein.plans import pipeline
+    from skein.session import session_name
+    from skein.sources import chats
+
+    n = nodes(spark, {"status": "deferred", "type": "task"}, {"seq": 1}, {"seq": 2, "embedding": [1.0]})
+    out = views.set_status(n, F.col("status") == "deferred", views.terminal_status(F.col("type")), "x", "2026-01-03")
+    got = {r.seq: r for r in out.collect()}
+    assert got[0].status == "done" and got[0].status_history[0].status == "deferred" and got[1].status_history is None
+    quiet = views.set_status(n, F.col("seq") == 1, F.lit("done"), at="2026-01-03", history=False).where("seq = 1").first()
+    assert quiet.status == "done" and quiet.status_history is None
+    assert store.rename_session(n, "s", "t").select("session_id").distinct().first()[0] == "t"
+    assert store.fan_out([str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "a"), ""], "c") == [str(tmp_path / "a"), str(tmp_path / "b")]
+    assert session_name("/x/My Project/", "2026-01-01") == "my-project-2026-01-01"
+    e = pipeline.embed(n, lambda c: F.array(F.length(c).cast("float")))
+    assert {r.seq: list(r.embedding) for r in e.collect()} == {0: [7.0], 1: [7.0], 2: [1.0]}
+    for name, uri in (("w1", "file:///home/a"), ("w2", "file:///home/b")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "workspace.json").write_text(json.dumps({"folder": uri}))
+    assert chats.find_workspace(spark, str(tmp_path), "/home/a").endswith("w1")
+    assert {(r.id, r.side) for r in views.id_changes(n.where("seq < 2"), n.where("seq > 0")).collect()} == {("n0", "old"), ("n1", "both"), ("n2", "new")}
+    assert views.linked_pairs(edges(spark, ("n1", "n0"), ("n0", "n1"))).count() == 1
