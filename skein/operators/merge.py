@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 
 from skein import rules
 from skein.functions.extract import is_conflict, valid_relation
+from skein.session import cut
 
 POLICIES = ("manual", "auto-accept-incoming", "auto-keep-existing")
+#: Groups of more incoming nodes than this are folded in rounds over many tasks.
+HOT = 4096
 
 
 def latest(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,10 +67,11 @@ def conflict_edges(merged: DataFrame) -> DataFrame:
     )
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, group: list[str], least: float, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, group: list[str], least: float, block: int = 2048, earlier: bool = False) -> DataFrame:
     """For each query its most similar corpus row within its group: (qseq, seq, score), score at least ``least``.
 
-    queries: (group, qseq, vector), corpus: (group, seq, vector); equal seqs never match; ties go to the smallest seq; vectors
+    queries: (group, qseq, vector), corpus: (group, seq, vector); equal seqs never match, and with ``earlier`` only smaller
+    ones do; ties go to the smallest seq; vectors
     of another length, empty or zero ones match nothing. Groups are cut into blocks of about ``block`` rows on both sides and
     each pair of blocks is one matrix product, so a hot group spreads over many tasks and no pair is ever written. Many small
     blocks share a task call.
@@ -105,7 +109,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, group: list[str], least: floa
                 continue
             a, b = g["qseq"].to_numpy(), pool["seq"].to_numpy()
             score = unit(g["vector"]) @ unit(pool["vector"]).T
-            score[a[:, None] == b[None, :]] = -2.0
+            score[a[:, None] <= b[None, :] if earlier else a[:, None] == b[None, :]] = -2.0
             at = score.argmax(axis=1)
             top = score[np.arange(len(a)), at]
             good = top >= least
@@ -124,8 +128,9 @@ def best_match(existing: DataFrame, incoming: DataFrame, least: float = 0.70) ->
     return nearest(q, c, ["session_id", "type"], least).select(F.col("qseq").alias("seq"), F.col("seq").alias("match_seq"), "score")
 
 
-def cross_type_match(existing: DataFrame, incoming: DataFrame, least: float = 0.82) -> DataFrame:
-    """(seq, match_seq, score): the nearest existing node of a type that goes with the incoming node's."""
+def cross_type_match(existing: DataFrame, incoming: DataFrame, least: float = 0.82, earlier: bool = False) -> DataFrame:
+    """(seq, match_seq, score): the nearest existing node (with ``earlier``, of smaller seq) of a type that goes with the
+    incoming node's."""
     spark = existing.sparkSession
     pairs = spark.createDataFrame(
         [(a, b) for x, y in rules.CROSS_PAIRS for a, b in ((x, y), (y, x))], "type string, partner string"
@@ -133,7 +138,8 @@ def cross_type_match(existing: DataFrame, incoming: DataFrame, least: float = 0.
     q = incoming.select("session_id", "type", F.col("seq").alias("qseq"), F.col("embedding").alias("vector")).join(F.broadcast(pairs), "type")
     q = q.select("session_id", "partner", "qseq", "vector")
     c = existing.select("session_id", F.col("type").alias("partner"), "seq", F.col("embedding").alias("vector"))
-    return nearest(q, c, ["session_id", "partner"], least).select(F.col("qseq").alias("seq"), F.col("seq").alias("match_seq"), "score")
+    found = nearest(q, c, ["session_id", "partner"], least, earlier=earlier)
+    return found.select(F.col("qseq").alias("seq"), F.col("seq").alias("match_seq"), "score")
 
 
 def relate_budget(edges: DataFrame, share: float = 0.28) -> DataFrame:
@@ -193,36 +199,68 @@ def bind_edges(nodes: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("session_id", "from_id", "to_id", valid_relation(F.col("relation")).alias("relation"))
 
 
-def semantic_merge(existing: DataFrame, incoming: DataFrame, batch: Column | None = None, merge: float = 0.88, relate: float = 0.78) -> DataFrame:
+def _kept_of_hot(rows: DataFrame, least: float) -> DataFrame:
+    """Of rows (key, seq, vector), those without an earlier kept one of their key that is as similar as ``least``.
+
+    The same rows as one fold in order of seq: in each round an undecided row with no earlier undecided neighbour is kept, and
+    the neighbours of the kept ones are out. Neighbours are found by blocks and no pair is written. Equal vectors can't both
+    be kept, so only the first of them is looked at.
+    """
+    cols = ["key", "seq", "vector"]
+    usable = rows.where(F.exists("vector", lambda x: x != 0))
+    open_rows = cut(usable.groupBy("key", "vector").agg(F.min("seq").alias("seq")).select(*cols), "open")
+    kept = open_rows.where("false")
+    while not open_rows.isEmpty():
+        asked = open_rows.withColumnRenamed("seq", "qseq")
+        waiting = cut(nearest(asked, open_rows, ["key"], least, earlier=True).select(F.col("qseq").alias("seq")), "waiting")
+        chosen = open_rows.join(waiting, "seq", "left_anti").select(*cols)
+        left = cut(open_rows.join(waiting, "seq", "left_semi").select(*cols), "left")
+        out = nearest(left.withColumnRenamed("seq", "qseq"), chosen, ["key"], least, earlier=True).select(F.col("qseq").alias("seq"))
+        kept = cut(kept.unionByName(chosen), "kept")
+        open_rows = cut(left.join(out, "seq", "left_anti").select(*cols), "open")
+    return kept
+
+
+def semantic_merge(
+    existing: DataFrame, incoming: DataFrame, batch: Column | None = None, merge: float = 0.88, relate: float = 0.78,
+    budget: DataFrame | None = None, cross: float = 0.82, hot: int = HOT,
+) -> DataFrame:
     """(seq, action, target_seq, score) of incoming nodes: merge into an existing node of the type at ``merge`` or more, relate
     to it from ``relate``, else keep; existing nodes are searched in parallel. Incoming nodes that found no existing node to
-    merge with are then compared, in order of seq, with those of their session, type and ``batch`` kept before them; a batch is
-    what one extraction yields (all incoming nodes if none is given) and must fit one task. Many batches share a task call."""
+    merge with are then compared, in order of seq, with those of their session, type and ``batch`` kept before them (all
+    incoming nodes if no batch is given). Many small groups share a task call; groups of more than ``hot`` nodes are folded in
+    rounds, with the same result.
+
+    With a ``budget`` (session_id, budget), nodes to keep are compared with the nodes of the types that go with theirs, existing
+    or added before them: those of ``cross`` or more get the action cross, the first of each session up to its budget.
+    """
     spark = existing.sparkSession
     scored = best_match(existing, incoming, relate)
     key = F.xxhash64("session_id", "type", F.lit(0) if batch is None else batch)
-    first = incoming.select("seq", "embedding", key.alias("key")).join(scored, "seq", "left")
+    first = cut(incoming.select("seq", "embedding", key.alias("key")).join(scored, "seq", "left"), "scored")
     done = first.where(F.col("score") >= merge).select("seq", F.lit("merge").alias("action"), F.col("match_seq").alias("target_seq"), "score")
     rest = first.where(F.col("score").isNull() | (F.col("score") < merge))
 
     def fold_one(pdf: pd.DataFrame) -> list[tuple]:
-        kept: dict[int, tuple[list, list]] = {}
+        kept: dict[int, tuple[list, np.ndarray]] = {}
         out = []
         for seq, embedding, target, best in zip(pdf["seq"], pdf["embedding"], pdf["match_seq"], pdf["score"]):
             if best is None or best != best:
                 best = target = None
             v = None if embedding is None else np.asarray(embedding, dtype=np.float64)
             norm = 0.0 if v is None or not len(v) else float(np.linalg.norm(v))
-            seqs, rows = kept.setdefault(len(v), ([], [])) if norm else ([], [])
-            if rows:
-                sims = np.asarray(rows) @ (v / norm)
+            if norm and len(v) not in kept:
+                kept[len(v)] = ([], np.empty((len(pdf), len(v))))
+            seqs, rows = kept[len(v)] if norm else ([], None)
+            if seqs:
+                sims = rows[: len(seqs)] @ (v / norm)
                 at = int(sims.argmax())
                 if sims[at] >= relate and (best is None or sims[at] > best):
                     best, target = float(sims[at]), seqs[at]
             action = "keep" if best is None else "merge" if best >= merge else "relate"
             if action != "merge" and norm:
+                rows[len(seqs)] = v / norm
                 seqs.append(seq)
-                rows.append(v / norm)
             out.append((seq, action, target, best))
         return out
 
@@ -230,9 +268,39 @@ def semantic_merge(existing: DataFrame, incoming: DataFrame, batch: Column | Non
         out = [r for _, g in pdf.sort_values(["key", "seq"]).groupby("key", sort=False) for r in fold_one(g)]
         return pd.DataFrame(out, columns=["seq", "action", "target_seq", "score"]).astype({"target_seq": "Int64"})
 
+    large = cut(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "large")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folded = rest.groupBy(F.pmod("key", F.lit(buckets))).applyInPandas(fold, "seq long, action string, target_seq long, score double")
-    return done.unionByName(folded)
+    small = rest.join(large, "key", "left_anti").select("seq", "embedding", "key", "match_seq", "score")
+    folded = small.groupBy(F.pmod("key", F.lit(buckets))).applyInPandas(fold, "seq long, action string, target_seq long, score double")
+    out = done.unionByName(folded)
+    if not large.isEmpty():
+        crowd = rest.join(large, "key", "left_semi")
+        vectors = cut(crowd.select("key", "seq", F.col("embedding").cast("array<double>").alias("vector")), "crowd")
+        mates = nearest(vectors.withColumnRenamed("seq", "qseq"), _kept_of_hot(vectors, merge), ["key"], relate, earlier=True)
+        both = crowd.join(mates.select(F.col("qseq").alias("seq"), F.col("seq").alias("mate"), F.col("score").alias("near")), "seq", "left")
+        mated = F.col("near").isNotNull() & (F.col("score").isNull() | (F.col("near") > F.col("score")))
+        both = both.select("seq", F.when(mated, F.col("mate")).otherwise(F.col("match_seq")).alias("target_seq"), F.when(mated, F.col("near")).otherwise(F.col("score")).alias("score"))
+        action = F.when(F.col("score").isNull(), "keep").when(F.col("score") >= merge, "merge").otherwise("relate")
+        out = out.unionByName(both.select("seq", action.alias("action"), "target_seq", "score"))
+    if budget is None:
+        return out
+    out = cut(out, "folded")
+    rows = incoming.select("session_id", "seq", "type", "embedding")
+    added = rows.join(out.where("action <> 'merge'").select("seq"), "seq", "left_semi")
+    alone = rows.join(out.where("action = 'keep'").select("seq"), "seq", "left_semi")
+    stored = cross_type_match(existing, alone, cross)
+    fresh = cross_type_match(added, alone, cross, earlier=True)
+    ties = stored.withColumn("old", F.lit(1)).unionByName(fresh.withColumn("old", F.lit(0)))
+    best = ties.groupBy("seq").agg(F.max_by(F.struct("match_seq", "score"), F.struct("score", "old")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    allowed = best.join(rows.select("session_id", "seq"), "seq").join(budget.where("budget > 0"), "session_id").withColumn("_n", place).where("_n <= budget")
+    out = out.join(allowed.select("seq", "m"), "seq", "left")
+    return out.select(
+        "seq",
+        F.when(F.col("m").isNotNull(), "cross").otherwise(F.col("action")).alias("action"),
+        F.coalesce("m.match_seq", "target_seq").alias("target_seq"),
+        F.coalesce("m.score", "score").alias("score"),
+    )
 
 
 def minimum_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

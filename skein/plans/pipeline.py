@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from skein.functions import extract as X
@@ -71,6 +76,27 @@ def rule_extractor(user: Column, assistant: Column) -> Column:
 EXTRACTORS: dict[str, Extractor] = {"rules": rule_extractor}
 
 
+#: Places of a vector of :func:`word_embedder`.
+WORD_PLACES = 256
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def word_embedder(label: pd.Series) -> pd.Series:
+    """A deterministic embedder without a model: counts of a label's words at hashed places; null where it has none."""
+
+    def vector(text):
+        words = re.findall(r"[^\W_]+", text.lower()) if text else []
+        if not words:
+            return None
+        out = np.zeros(WORD_PLACES, dtype=np.float32)
+        for w in words:
+            h = zlib.crc32(w.encode())
+            out[(h >> 1) % WORD_PLACES] += 1.0 if h & 1 else -1.0
+        return out if out.any() else None
+
+    return label.map(vector, na_action="ignore")
+
+
 def embed(nodes: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
     """Nodes with embeddings for those that have none, each distinct label embedded once."""
     missing = nodes.where("embedding is null and label is not null").select("label").distinct()
@@ -124,10 +150,13 @@ def candidates(turns: DataFrame, extractor: Extractor = rule_extractor, masks: l
     return nodes, told.unionByName(patch).drop("batch")
 
 
-def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, policy: str = "manual", at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The graph with a batch merged in: exact matches update the stored node, the rest are added, edges are led to the nodes
-    that stay, conflicts are marked, nodes without edges get a fallback edge. ``seq`` numbers must be unique over both. What
-    later steps read several times is written down on the way, so plans stay small."""
+def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, policy: str = "manual", at: str | None = None, embedder: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph with a batch merged in: exact matches update the stored node; of the rest, in order of ``seq``, near-duplicates
+    update the node they are merged into, and the others are added, with relates-to edges to similar nodes of the type and,
+    within the session's budget, of types that go with it; edges are led to the nodes that stay, conflicts are marked, nodes
+    without edges get a fallback edge. ``seq`` numbers must be unique over both. Nodes without an embedding get one from the
+    ``embedder``; without one they are matched exactly only. What later steps read several times is written down on the way,
+    so plans stay small."""
     now = F.lit(at).cast("timestamp") if at else F.current_timestamp()
     m = cut(merge.exact_dedup(nodes, new_nodes, policy), "matched")
     hit = m.where("target_seq is not null")
@@ -144,10 +173,26 @@ def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
     )
     fresh = new_nodes.join(hit.select("seq"), "seq", "left_anti")
     missing = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c not in fresh.columns]
-    every = cut(kept.unionByName(fresh.select("*", *missing).select(*nodes.columns)), "nodes")
-    id_map = hit.where("id is not null and target_id is not null").select("session_id", F.col("id").alias("old_id"), F.col("target_id").alias("new_id"))
+    fresh = fresh.select("*", *missing).select(*nodes.columns)
+    if embedder:
+        kept, fresh = embed(kept, embedder), embed(fresh, embedder)
+    kept, fresh = cut(kept, "kept"), cut(fresh, "fresh")
+    near = cut(merge.semantic_merge(kept, fresh, budget=merge.relate_budget(edges)), "near")
+    pool = kept.unionByName(fresh)
+    gone = near.where("action = 'merge'")
+    told = gone.join(fresh.select("seq", "summary", "confidence"), "seq").groupBy("target_seq").agg(
+        F.max_by(F.col("summary"), F.when(F.col("summary") != "", F.col("seq"))).alias("s"), F.max("confidence").alias("c")
+    )
+    every = pool.join(gone.select("seq"), "seq", "left_anti").join(told.select(F.col("target_seq").alias("seq"), "s", "c", F.lit(True).alias("u")), "seq", "left")
+    every = every.withColumns({"summary": F.coalesce("s", "summary"), "confidence": F.greatest("confidence", "c"), "updated_at": F.when(F.col("u"), now).otherwise(F.col("updated_at"))})
+    every = cut(every.select(*nodes.columns), "nodes")
+    ends = near.where("target_seq is not null").join(fresh.select("seq", "session_id", "id"), "seq").join(pool.select(F.col("seq").alias("target_seq"), F.col("id").alias("target_id")), "target_seq")
+    ends = cut(ends.where("id is not null and target_id is not null"), "ends")
+    similar = ends.where("action <> 'merge'").select("session_id", F.col("id").alias("from_id"), F.col("target_id").alias("to_id"), F.lit("relates-to").alias("relation"), F.col("score").alias("weight"))
+    id_map = hit.where("id is not null and target_id is not null").unionByName(ends.where("action = 'merge'"), allowMissingColumns=True)
+    id_map = id_map.select("session_id", F.col("id").alias("old_id"), F.col("target_id").alias("new_id"))
     links = ["session_id", "from_id", "to_id", "relation", "weight"]
-    added = merge.resolve_edges(new_edges.select(*links), every, id_map).select(*links).unionByName(merge.conflict_edges(hit).select(*links))
+    added = merge.resolve_edges(new_edges.select(*links).unionByName(similar), every, id_map).select(*links).unionByName(merge.conflict_edges(hit).select(*links))
     joined = cut(edges.select(*links).unionByName(added), "edges")
     patch = merge.orphan_patch(every, joined)
     for end in ("from", "to"):
@@ -156,7 +201,8 @@ def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
 
 
 def repair_all(nodes: DataFrame, edges: DataFrame, order: str = "ingest", at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All repair passes; after an ingest low confidence is handled first, after a merge of structured sources last."""
+    """All repair passes; after an ingest low confidence is handled first, after a merge of structured sources last. Nodes
+    without edges are healed by vector, those it finds nothing for by words."""
     if order == "ingest":
         nodes = repair.remediate(nodes, at=at)
     links = ["session_id", "from_id", "to_id", "relation", "weight"]
@@ -169,6 +215,7 @@ def repair_all(nodes: DataFrame, edges: DataFrame, order: str = "ingest", at: st
     nodes, edges = cut(nodes, "nodes"), cut(edges.select(*links), "edges")
     edges = cut(edges.unionByName(add(repair.infer_edges(nodes, edges))), "edges")
     edges = cut(repair.upgrade_relations(nodes, edges), "edges")
+    edges = cut(edges.unionByName(add(repair.heal_by_vector(nodes, edges))), "edges")
     edges = edges.unionByName(add(repair.heal_by_words(nodes, edges)))
     if order != "ingest":
         nodes = repair.remediate(nodes, at=at)

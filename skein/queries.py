@@ -975,12 +975,14 @@ def extract_candidates(spark, root):
 
 @query()
 def ingest(spark, root):
-    """Candidates of all transcripts merged into the stored graph and repaired: the edges of the result."""
+    """Candidates of all transcripts, in the order of their turns, merged into the stored graph and repaired: the edges of the
+    result. Nodes without an embedding get the word embedder's."""
     from skein.plans import pipeline
     from skein.session import cut
 
     new_nodes, new_edges = _extracted(spark, root)
     top = 2**40
-    new_nodes = cut(new_nodes.withColumn("seq", F.lit(top) + F.pmod(F.xxhash64("id"), F.lit(2**61))).drop("_order", "batch"), "candidates")
-    nodes, edges = pipeline.merge_batch(_nodes(spark, root), _edges(spark, root), new_nodes, new_edges, at="2026-07-01")
+    new_nodes = new_nodes.orderBy("session_id", "_order", "id").withColumn("seq", F.lit(top) + F.monotonically_increasing_id())
+    new_nodes = cut(new_nodes.drop("_order", "batch"), "candidates")
+    nodes, edges = pipeline.merge_batch(_nodes(spark, root), _edges(spark, root), new_nodes, new_edges, at="2026-07-01", embedder=pipeline.word_embedder)
     return pipeline.repair_all(nodes, edges, at="2026-07-01")[1]

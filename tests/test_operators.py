@@ -401,3 +401,14 @@ def test_edits_names_and_embeddings(spark, tmp_path):
     assert chats.find_workspace(spark, str(tmp_path), "/home/a").endswith("w1")
     assert {(r.id, r.side) for r in views.id_changes(n.where("seq < 2"), n.where("seq > 0")).collect()} == {("n0", "old"), ("n1", "both"), ("n2", "new")}
     assert views.linked_pairs(edges(spark, ("n1", "n0"), ("n0", "n1"))).count() == 1
+
+
+def test_hot_groups_fold_like_small_ones(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).standard_normal((240, 4)).tolist()
+    rows = [{"seq": i, "embedding": v} for i, v in enumerate(x + x[:20])] + [{"seq": 300}, {"seq": 301, "embedding": [0.0] * 4}]
+    old, new = nodes(spark, *rows[:15]), nodes(spark, *rows[15:])
+    key = lambda df: {(r.seq, r.action, r.target_seq) for r in df.collect()}
+    want = key(merge.semantic_merge(old, new))
+    assert key(merge.semantic_merge(old, new, hot=10)) == want and {a for _, a, _ in want} == {"keep", "merge", "relate"}

@@ -77,3 +77,21 @@ def test_merge_and_repair(spark):
     assert {r.seq: r.status for r in nodes2.collect()}[12] == "unconfirmed"
     e2 = {(r.from_id, r.to_id, r.relation) for r in edges2.collect()}
     assert ("n0", "n11", "documents") in e2 and ("n11", "n12", "relates-to") in e2
+
+
+def test_near_duplicates_are_merged_related_and_healed(spark):
+    old = stored(spark, {"seq": 0, "embedding": [1.0, 0.0, 0.0]}, {"seq": 1, "label": "y", "type": "error"}, {"seq": 2, "label": "z", "type": "error"}, {"seq": 3, "label": "t", "type": "task", "embedding": [0.0, 0.0, 1.0]})
+    had = spark.createDataFrame([("s", "n1", "n2", "uses", 1.0)] * 4, "session_id string, from_id string, to_id string, relation string, weight double")
+    vectors = {"a": [0.99, 0.1, 0.0], "b": [0.8, 0.6, 0.0], "c": [0.0, 0.1, 0.99], "d": [0.0, 0.0, 1.0], "e": [0.81, 0.6, 0.0]}
+    embedder = lambda c: F.element_at(F.create_map(*[x for k, v in vectors.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), c)
+    new = stored(spark, {"seq": 10, "label": "a", "summary": "more", "confidence": 0.9}, {"seq": 11, "label": "b"}, {"seq": 12, "label": "c", "type": "decision"}, {"seq": 13, "label": "d", "type": "question"}, {"seq": 14, "label": "e"})
+    links = had.limit(0).unionByName(spark.createDataFrame([("s", "n10", "n12", "uses", 1.0)], had.schema))
+    nodes, edges = pipeline.merge_batch(old, had, new, links, at="2026-01-02", embedder=embedder)
+    got = {r.seq: r for r in nodes.collect()}
+    assert set(got) == {0, 1, 2, 3, 11, 12, 13} and (got[0].summary, got[0].confidence) == ("more", 0.9)
+    e = [(r.from_id, r.to_id, r.relation) for r in edges.collect() if r.weight != 0.5]
+    # four edges without a relates-to leave room for one across types: the first
+    assert sorted(set(e)) == [("n0", "n12", "uses"), ("n1", "n2", "uses"), ("n11", "n0", "relates-to"), ("n12", "n3", "relates-to")]
+    lone = stored(spark, {"seq": 0, "label": "p", "embedding": [1.0, 0.0]}, {"seq": 1, "label": "q", "embedding": [0.9, 0.1]}, {"seq": 2, "label": "r"})
+    one = had.limit(0).unionByName(spark.createDataFrame([("s", "n1", "n2", "uses", 1.0)], had.schema))
+    assert {(r.from_id, r.to_id) for r in pipeline.repair_all(lone, one, at="2026-01-02")[1].collect()} == {("n1", "n2"), ("n0", "n1")}
