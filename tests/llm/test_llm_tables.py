@@ -227,3 +227,15 @@ def test_mix_of_nothing(spark):
     members, report = mixing.mix(d, t)
     assert members.count() == 0 and report.first().mix_tokens == 0
     assert mixing.mix(d, t.where("false"))[1].count() == 0
+
+
+def test_consensus_of_a_group_is_its_own(spark):
+    small = [{"summary": x, "confidence": 0.5} for x in ("p q r", "p q s", "p t r")]
+    rows = []
+    for g in range(12):  # whichever two of the three met first in another split, each group must give the vote's own value
+        rows += [r | {"label": f"small {g}"} for r in small]
+    rows += [{"label": "hot", "summary": f"the index {i} is slow again", "confidence": 0.5} for i in range(500)]
+    rows += [{"label": "hot", "summary": "the index is slow again", "confidence": 0.1}, {"label": "hot", "summary": "one heavy other text", "confidence": 1.0}]
+    got = {r.group_seq: r.value for r in representative.consensus_text(nodes(spark, *rows)).collect()}
+    assert [got[3 * g] for g in range(12)] == ["p q r"] * 12
+    assert got[36].startswith("the index") and got[36].endswith("is slow again")
