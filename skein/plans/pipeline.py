@@ -51,7 +51,7 @@ def rule_extractor(user: Column, assistant: Column) -> Column:
     both = F.concat(user, F.lit("\n"), assistant)
 
     def found(text: Column, pattern: str, kind: str, status: str, sure: float) -> Column:
-        hits = F.slice(F.array_distinct(F.transform(T.all_matches(text, pattern), lambda x: F.left(T.strip(x), F.lit(120)))), 1, 10)
+        hits = F.array_distinct(F.transform(T.all_matches(text, pattern), lambda x: F.left(T.strip(x), F.lit(120))))
         return F.transform(
             hits,
             lambda x: F.struct(F.lit(kind).alias("type"), x.alias("label"), F.lit("").alias("summary"), F.lit(status).alias("status"), F.lit(str(sure)).alias("confidence"), F.lit(None).cast("string").alias("subtype")),

@@ -95,3 +95,9 @@ def test_near_duplicates_are_merged_related_and_healed(spark):
     lone = stored(spark, {"seq": 0, "label": "p", "embedding": [1.0, 0.0]}, {"seq": 1, "label": "q", "embedding": [0.9, 0.1]}, {"seq": 2, "label": "r"})
     one = had.limit(0).unionByName(spark.createDataFrame([("s", "n1", "n2", "uses", 1.0)], had.schema))
     assert {(r.from_id, r.to_id) for r in pipeline.repair_all(lone, one, at="2026-01-02")[1].collect()} == {("n1", "n2"), ("n0", "n1")}
+
+
+def test_rules_find_all_of_a_kind(spark):
+    asked = [f"Why does index number {i} fail?" for i in range(25)]
+    nodes, _ = pipeline.candidates(turns(spark, (" ".join(asked), "ok")))
+    assert {r.label for r in nodes.where("type = 'question'").collect()} == set(asked)
