@@ -424,7 +424,9 @@ def cross_type_match(spark, root):
 @query()
 def semantic_merge(spark, root):
     old, new = _halves(spark, root)
-    return merge.semantic_merge(old, new, batch=F.to_date("created_at"))
+    known = _edges(spark, root).join(old.select("session_id", F.col("id").alias("from_id")).distinct(), ["session_id", "from_id"], "left_semi")
+    known = known.join(old.select("session_id", F.col("id").alias("to_id")).distinct(), ["session_id", "to_id"], "left_semi")
+    return merge.semantic_merge(old, new, budget=merge.relate_budget(known))
 
 
 @query("SELECT session_id, greatest(0, floor(count(*) * 0.28) - count(*) FILTER (relation = 'relates-to'))::BIGINT AS budget FROM edges GROUP BY session_id")

@@ -412,3 +412,13 @@ def test_hot_groups_fold_like_small_ones(spark):
     key = lambda df: {(r.seq, r.action, r.target_seq) for r in df.collect()}
     want = key(merge.semantic_merge(old, new))
     assert key(merge.semantic_merge(old, new, hot=10)) == want and {a for _, a, _ in want} == {"keep", "merge", "relate"}
+
+
+def test_semantic_merge_query_compares_across_days(spark, tmp_path):
+    from skein.queries import QUERIES
+
+    days = [dt.datetime(2026, 1, 1), dt.datetime(2026, 3, 2), dt.datetime(2026, 3, 5)]
+    nodes(spark, *[{"created_at": d, "embedding": [float(i == 0), float(i > 0)]} for i, d in enumerate(days)]).write.parquet(f"{tmp_path}/nodes.parquet")
+    edges(spark, ("n0", "n0")).write.parquet(f"{tmp_path}/edges.parquet")
+    got = {(r.seq, r.action, r.target_seq) for r in QUERIES["semantic_merge"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "keep", None), (2, "merge", 1)}
