@@ -293,3 +293,8 @@ def test_transfer_functions_compose():
         assert got == state
         for x in p:
             state = sentences.NEXT[state][x]
+
+
+def test_overlaps_of_any_length(spark):
+    rows = spark.createDataFrame([("s", "c", 0, list(range(60))), ("s", "c", 1, list(range(20, 90))), ("s", "c", 2, list(range(89, 99)))], "src string, conv_key string, frag int, hashes array<long>")
+    assert sorted((r.a, r.b, r.k) for r in conv.overlap_edges(rows).collect()) == [(0, 1, 40), (1, 2, 1)]
