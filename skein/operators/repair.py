@@ -38,7 +38,8 @@ def infer_edges(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFram
     aren't linked either way, the first ``most`` of each session in the order of the pairs' seqs.
 
     Nodes meet in groups by two common words, not by one. In a group of m only those pairs can be among the first that have
-    fewer than ``most`` plus the session's linked pairs before them in their own group, so no group is paired in full.
+    fewer than ``most`` plus the session's linked pairs before them in their own group, so few groups are paired in full. Ids
+    may stand in several rows: an edge links every row of one id with every row of the other.
     """
     own = nodes.where("id is not null and session_id is not null").select(
         "session_id", "seq", "id", "type", F.array_sort(label_tokens(F.col("label"))).alias("w")
@@ -46,7 +47,13 @@ def infer_edges(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFram
     own = own.where("size(w) >= 2")
     first, second = F.posexplode("w").alias("p", "a"), F.explode(F.expr("slice(w, p + 2, size(w))")).alias("b")
     groups = own.select("session_id", "seq", first, "w").select("session_id", "seq", "a", second)
-    linked = edges.where("from_id is not null and to_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("e"))
+    ends = edges.where("from_id is not null and to_id is not null").select("session_id", F.least("from_id", "to_id").alias("x"), F.greatest("from_id", "to_id").alias("y"))
+    ends = ends.distinct()
+    held = own.groupBy("session_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    for end in ("x", "y"):
+        ends = ends.join(held.select("session_id", F.col("id").alias(end), F.col("n").alias(f"n_{end}")), ["session_id", end])
+    rows = F.when(F.col("x") == F.col("y"), F.expr("n_x * (n_x - 1) div 2")).otherwise(F.col("n_x") * F.col("n_y"))
+    linked = ends.where("x <> y or n_x > 1").groupBy("session_id").agg(F.sum(rows).alias("e"))
     by = Window.partitionBy("session_id", "a", "b")
     ranked = (
         groups.withColumn("r", F.row_number().over(by.orderBy("seq")).cast("long") - 1)

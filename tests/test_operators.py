@@ -422,3 +422,10 @@ def test_semantic_merge_query_compares_across_days(spark, tmp_path):
     edges(spark, ("n0", "n0")).write.parquet(f"{tmp_path}/edges.parquet")
     got = {(r.seq, r.action, r.target_seq) for r in QUERIES["semantic_merge"](spark, str(tmp_path)).collect()}
     assert got == {(1, "keep", None), (2, "merge", 1)}
+
+
+def test_inferred_edges_after_linked_copies(spark):
+    rows = [{"seq": i, "id": "copy", "label": "cache layer", "type": "task"} for i in range(60)]
+    n = nodes(spark, *rows, *[{"seq": 60 + i, "label": f"cache layer item{i}", "type": "task"} for i in range(3)])
+    got = [(r.from_seq, r.to_seq) for r in repair.infer_edges(n, edges(spark, ("copy", "copy")), most=5).orderBy("from_seq", "to_seq").collect()]
+    assert got == [(0, 60), (0, 61), (0, 62), (1, 60), (1, 61)]
