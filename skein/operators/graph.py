@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,10 +56,10 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: in
     return seen
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: int = 32) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(session_id, source, target, hops, path): of each (session_id, source, target) the shortest path, ids joined by >, of
-    equal ones the least; hops and path are null where there is none of up to ``most`` links. All searches advance together,
-    a level a round, and end when none has a way to go."""
+    equal ones the least; hops and path are null where there is none (of up to ``most`` links, where given). All searches
+    advance together, a level a round, and end when none has a way to go."""
     near = cut(links(nodes, edges), "links")
     asked = pairs.select("session_id", "source", "target").distinct()
     front = asked.withColumn("at", F.col("source")).withColumn("path", F.col("source"))
@@ -65,7 +67,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: i
     seen = front.select("session_id", "source", "target", "at")
     found = front.where("source = target").select("session_id", "source", "target", F.lit(0).alias("hops"), "path")
     key = ["session_id", "source", "target"]
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         step = front.where("at <> target").withColumnRenamed("at", "a").join(near, ["session_id", "a"])
         step = step.groupBy(*key, F.col("b").alias("at")).agg(F.min(F.concat("path", F.lit(">"), "b")).alias("path"))
         front = cut(step.join(seen, [*key, "at"], "left_anti").join(found.select(*key), key, "left_anti"), "front")
@@ -73,6 +75,8 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: i
             break
         seen = seen.unionByName(front.select(*key, "at"))
         found = found.unionByName(front.where("at = target").select(*key, F.lit(hop).alias("hops"), "path"))
+        if hop % 16 == 0:  # so that plans of long searches stay small
+            seen, found = cut(seen, "seen"), cut(found, "found")
     return asked.join(found, key, "left")
 
 

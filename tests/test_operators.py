@@ -429,3 +429,10 @@ def test_inferred_edges_after_linked_copies(spark):
     n = nodes(spark, *rows, *[{"seq": 60 + i, "label": f"cache layer item{i}", "type": "task"} for i in range(3)])
     got = [(r.from_seq, r.to_seq) for r in repair.infer_edges(n, edges(spark, ("copy", "copy")), most=5).orderBy("from_seq", "to_seq").collect()]
     assert got == [(0, 60), (0, 61), (0, 62), (1, 60), (1, 61)]
+
+
+def test_paths_have_no_longest(spark):
+    n = nodes(spark, *[{"seq": i} for i in range(36)])
+    e = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(35)])
+    asked = spark.createDataFrame([("s", "n0", "n35")], "session_id string, source string, target string")
+    assert graph.shortest_paths(n, e, asked).first()["hops"] == 35
