@@ -239,3 +239,12 @@ def test_consensus_of_a_group_is_its_own(spark):
     got = {r.group_seq: r.value for r in representative.consensus_text(nodes(spark, *rows)).collect()}
     assert [got[3 * g] for g in range(12)] == ["p q r"] * 12
     assert got[36].startswith("the index") and got[36].endswith("is slow again")
+
+
+def test_pairs_of_a_dense_group(spark):
+    rnd = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(15))
+    rows = [(i, template, " ".join(rnd.sample([f"w{j}" for j in range(100)], 5)), None) for i in range(300)]
+    got = {(r.seq_a, r.seq_b) for r in neardup.near_pairs(nodes(spark, *[{"seq": s, "label": a, "summary": b} for s, a, b, _ in rows])).collect()}
+    want = brute(rows)
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 40_000
