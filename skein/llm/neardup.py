@@ -1,14 +1,15 @@
 """Near-duplicate records by an LSH forest: several sorted signature orders, cut at a depth that suits each region.
 
-Every record has one signature per tree; records with a common signature prefix are neighbours in the tree's order. A
-region, the records below one prefix, is taken as it is if it has at most ``LEAF`` records and is split by the next
-signature value if not, so crowded regions go deep and thin ones stay shallow. No region goes so deep that pairs would be
-lost: what is crowded at the last level is compared in full, by blocks. The neighbours in a region are held against
-each other with a sketch that never loses a link, and what remains is checked exactly.
+Every record stands in each tree's order, sorted by its signature there; records with a common signature prefix, a region,
+are neighbours and are held against each other with a sketch that never loses a link; what remains is checked exactly. The
+number of records gives the first depth, and the depth the number of trees, so that a pair at the threshold meets in some
+tree with a chance of 1 - LOSS at any size. Regions that are crowded there go deeper: each is sorted anew in as many orders
+as keep that chance, as long as this saves comparisons, and is compared in full, block by block, where it doesn't.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,17 +20,36 @@ from pyspark.sql import functions as F
 from skein.operators.components import connected_components
 from skein.session import cut
 
-#: Regions of up to so many records are compared as they are.
-LEAF = 64
-#: Trees and greatest depth, for words (a minimum hash a level) and vectors (a cross-polytope hash a level). A pair at the
-#: threshold that is parted only at the last level is still found in some tree with 0.999 at least: 1 - (1 - p^depth)^trees,
-#: p a level's chance to agree, 0.6 for Jaccard 0.6 and about 0.464 for cosine 0.9 in 64 dimensions.
-WORD_TREES, WORD_DEPTH = 16, 2
-VECTOR_TREES, VECTOR_DEPTH = 30, 2
-#: Directions of a cross-polytope hash at most, bits of a word sketch, records of a block of an oversized last region.
-DIRECTIONS, SKETCH_BITS, BLOCK = 64, 512, 1024
+#: Records a region holds on average at the first depth, at most, and records from which a region is crowded; a crowded region
+#: is also what a block of a full comparison holds.
+LEAF, CROWD = 1024, 4096
+#: The chance to lose a pair at the threshold at the first depth and at each further one.
+LOSS = 0.001
+#: The share of unlike records that agree at one level, roughly: for words, and for vectors in 64 dimensions.
+WORDS_ALIKE, VECTORS_ALIKE = 1 / 12, 1 / 128
+#: Directions of a cross-polytope hash at most, bits of a word sketch, levels a crowded region may go deeper.
+DIRECTIONS, SKETCH_BITS, LEVELS = 64, 128, 16
 
-FOREST = "cls long, payload binary, size double, keys array<array<long>>"
+FOREST = "key long, cls long, top long, side int, sketch binary"
+
+
+def trees_for(agree: float, depth: int) -> int:
+    """The trees in which a pair that agrees at a level with chance ``agree`` meets at ``depth`` but for LOSS."""
+    return max(1, math.ceil(math.log(LOSS) / math.log1p(-min(agree**depth, 1 - 1e-9))))
+
+
+def depth_for(records: int, alike: float) -> int:
+    """The least depth at which regions hold LEAF records on average, if unlike records agree with chance ``alike``."""
+    return max(1, math.ceil(math.log(max(1.0, records / LEAF)) / -math.log(alike)))
+
+
+def vectors_agree(cosine: float) -> float:
+    """The chance that two vectors of this cosine have one cross-polytope hash, by a simulation that is always the same."""
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 20_000, DIRECTIONS))
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
+    i, j, at = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1), np.arange(len(x))
+    return float(np.mean((i == j) & (np.sign(x[at, i]) == np.sign(y[at, j]))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,182 +60,235 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _forest_batch(cls: pa.Array, payload: np.ndarray, size: np.ndarray, signatures: list[np.ndarray], trees: int, depth: int, tag: np.ndarray) -> pa.RecordBatch:
-    """One output batch: signatures[t * depth + d] are the level values; keys chain them into prefix hashes."""
-    n = len(cls)
-    keys = np.empty((n, trees, depth), dtype=np.uint64)
+def _rows(cls: pa.Array, top: np.ndarray, keys: list[np.ndarray], sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The records of a batch once a tree: (key, cls, top, side, sketch)."""
+    n, width = sketch.shape
+    data = pa.py_buffer(np.ascontiguousarray(sketch).tobytes())
+    offsets = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32))
+    binary = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, data])
+    for key in keys:
+        cols = [pa.array(key.view(np.int64)), cls, pa.array(top), pa.array(np.zeros(n, dtype=np.int32)), binary]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "cls", "top", "side", "sketch"])
+
+
+def _keys(top: np.ndarray, signature: Callable[[int], np.ndarray], trees: int, depth: int, tag: int) -> list[np.ndarray]:
+    """For each tree the hash of a record's first ``depth`` signature values, told apart by the region they are in."""
+    out = []
     for t in range(trees):
-        key = _mix(tag + np.uint64(1 + t * 7919))
+        key = _mix(top.view(np.uint64) ^ np.uint64(((1 + t) * 7919 + tag * 104_729) & (2**63 - 1)))
         for d in range(depth):
-            key = _mix(key ^ (_mix(signatures[t * depth + d]) + np.uint64(d)))
-            keys[:, t, d] = key
-    inner = pa.ListArray.from_arrays(
-        pa.array(np.arange(0, n * trees * depth + 1, depth, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
-    )
-    outer = pa.ListArray.from_arrays(pa.array(np.arange(0, n * trees + 1, trees, dtype=np.int32)), inner)
-    binary = pa.array([p.tobytes() for p in payload], pa.binary())
-    return pa.RecordBatch.from_arrays([cls, binary, pa.array(size, pa.float64()), outer], names=["cls", "payload", "size", "keys"])
-
-
-def word_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of (cls, words: hashes of a record's distinct words): minimum hashes; the payload is a bit sketch."""
-    rng = np.random.default_rng(20_240_601)
-    seeds = rng.integers(1, 2**63, WORD_TREES * WORD_DEPTH, dtype=np.uint64) | np.uint64(1)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch.column("words")
-        flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        signatures = [np.minimum.reduceat(_mix(flat ^ s) * (s * np.uint64(2) + np.uint64(1)), starts) for s in seeds]
-        bits = np.zeros((len(sizes), SKETCH_BITS), dtype=bool)
-        bits[np.repeat(np.arange(len(sizes)), sizes), (_mix(flat) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS] = True
-        tag = np.zeros(len(sizes), dtype=np.uint64)
-        yield _forest_batch(batch.column("cls"), np.packbits(bits, axis=1), sizes.astype(float), signatures, WORD_TREES, WORD_DEPTH, tag)
-
-
-def vector_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of (cls, vector): the nearest signed random direction; the payload is the vector in whole steps of size."""
-    directions: dict[int, np.ndarray] = {}
-    for batch in batches:
-        lengths = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
-        for dim in np.unique(lengths):
-            own = np.flatnonzero(lengths == dim)
-            part = batch.take(pa.array(own))
-            x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), int(dim))
-            x = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            if dim not in directions:
-                rng = np.random.default_rng([7, int(dim)])
-                directions[dim] = rng.standard_normal(
-                    (VECTOR_TREES * VECTOR_DEPTH, int(dim), min(int(dim), DIRECTIONS)), dtype=np.float32
+            key = _mix(key ^ (_mix(signature(t * depth + d)) + np.uint64(d)))
+        out.append(key)
+    return out
+
+
+def word_forest(trees: int, depth: int, level: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the forest from (cls, top, words: hashes of a record's distinct words): minimum hashes; the sketch is the number
+    of words and a set of bits."""
+    rng = np.random.default_rng([20_240_601, level])
+    seeds = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("words")
+            flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            bits = np.zeros((len(sizes), SKETCH_BITS), dtype=bool)
+            bits[np.repeat(np.arange(len(sizes)), sizes), (_mix(flat) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS] = True
+            sketch = np.concatenate([sizes.astype(np.float32)[:, None].view(np.uint8), np.packbits(bits, axis=1)], axis=1)
+            top = batch.column("top").to_numpy(zero_copy_only=False).astype(np.int64)
+
+            def signature(i: int, flat=flat, starts=starts) -> np.ndarray:
+                return np.minimum.reduceat(_mix(flat ^ seeds[i]) * (seeds[i] * np.uint64(2) + np.uint64(1)), starts)
+
+            yield from _rows(batch.column("cls"), top, _keys(top, signature, trees, depth, level), sketch)
+
+    return run
+
+
+def vector_forest(trees: int, depth: int, level: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the forest from (cls, top, vector): the nearest signed random direction; the sketch is the vector in steps, two
+    places a byte, with the size of a step and the length of what the rounding left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in map(int, np.unique(lengths)):
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                if dim not in directions:
+                    rng = np.random.default_rng([7, dim, level])
+                    directions[dim] = rng.standard_normal((trees * depth, dim, min(dim, DIRECTIONS)), dtype=np.float32)
+                small = x.astype(np.float32)
+
+                def signature(i: int, small=small, dim=dim) -> np.ndarray:
+                    at = small @ directions[dim][i]
+                    best = np.abs(at).argmax(axis=1)
+                    return (2 * best + (at[np.arange(len(at)), best] < 0)).astype(np.uint64)
+
+                step = np.abs(x).max(axis=1, keepdims=True) / 7
+                q = np.round(x / step)
+                left = np.linalg.norm(x - q * step, axis=1, keepdims=True) + 1e-6
+                even = np.pad((q + 8).astype(np.uint8), ((0, 0), (0, dim % 2)), constant_values=8)
+                sketch = np.concatenate(
+                    [step.astype(np.float32).view(np.uint8), left.astype(np.float32).view(np.uint8), even[:, ::2] << 4 | even[:, 1::2]], axis=1
                 )
-            small = x.astype(np.float32)
-            signatures = []
-            for g in directions[dim]:
-                at = small @ g
-                best = np.abs(at).argmax(axis=1)
-                signatures.append((2 * best + (at[np.arange(len(at)), best] < 0)).astype(np.uint64))
-            step = np.abs(x).max(axis=1) / 127
-            tag = np.full(len(own), int(dim) << 20, dtype=np.uint64)
-            yield _forest_batch(part.column("cls"), np.round(x / step[:, None]).astype(np.int8), step, signatures, VECTOR_TREES, VECTOR_DEPTH, tag)
-
-
-def regions(forest: DataFrame, depth: int, leaf: int = LEAF) -> DataFrame:
-    """Rows (key, cls, blk, cross): the regions of all trees with two records or more, each at its own depth.
-
-    Level by level, regions of up to ``leaf`` records are done and larger ones go one deeper. What is still larger at the
-    last level is spread over blocks, every pair of blocks a region of its own.
-    """
-    open_rows = forest.select("cls", F.explode("keys").alias("keys"))
-    done = None
-    for d in range(depth):
-        rows = open_rows.withColumn("key", F.element_at("keys", d + 1))
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        flat = [F.lit(0).alias("blk"), F.lit(False).alias("cross")]
-        fits = rows.join(sizes.where(F.col("n") <= leaf), "key").select("key", "cls", *flat)
-        done = fits if done is None else done.unionByName(fits)
-        large = sizes.where(F.col("n") > leaf)
-        if d + 1 < depth:
-            open_rows = cut(rows.join(large, "key", "left_semi").select("cls", "keys"), f"open{d}")
-            continue
-        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-        blocked = rows.join(large, "key").withColumn("parts", parts)
-        blocked = blocked.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pair = F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other"), F.lit("block"))
-        done = done.unionByName(blocked.select(pair.alias("key"), "cls", "blk", (F.col("blk") != F.col("other")).alias("cross")))
-    return done
-
-
-def _close_words(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, least: float) -> np.ndarray:
-    """Whether a pair may have the similarity: a bit set on one side only is a word the other side lacks."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    common = np.minimum(sa - np.bitwise_count(a & ~b).sum(axis=1), sb - np.bitwise_count(b & ~a).sum(axis=1))
-    return common >= (least - 1e-9) * (sa + sb - common)
-
-
-def _close_vectors(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, least: float) -> np.ndarray:
-    """Whether a pair may have the cosine, by vectors rounded to steps: each side is off by half a step a place at most."""
-    dot = np.einsum("ij,ij->i", a.view(np.int8).astype(np.float32), b.view(np.int8).astype(np.float32)) * sa * sb
-    return dot + 0.5 * np.sqrt(a.shape[1]) * (sa + sb) + 0.25 * a.shape[1] * sa * sb >= least
-
-
-def compare(close: Callable, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A pass over rows sorted by key that gives the pairs (a, b) of each key's rows that may be links."""
-
-    def pairs_of(key, cls, payload, size, blk, cross):
-        order = np.argsort(key, kind="stable")
-        key, cls, size, blk, cross = key[order], cls[order], size[order], blk[order], cross[order]
-        lengths = np.array([len(p) for p in payload])[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(key)]]))
+                top = part.column("top").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield from _rows(part.column("cls"), top, _keys(top, signature, trees, depth, level * 65_537 + dim), sketch)
+
+    return run
+
+
+def word_sides(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Two matrices, an order of the records and a bound: of two records that may have the similarity, the first in this order, the
+    product of the first's row in the one and the second's in the other is at least the bound. A bit set on one side only is a
+    word the other side lacks; the records are ordered by the words that share a bit, for the fewer don't matter."""
+    size = np.ascontiguousarray(sketch[:, :4]).view(np.float32)
+    bits = np.unpackbits(sketch[:, 4:], axis=1).astype(np.float32)
+    want, spare = size * np.float32(least / (1 + least)), bits.sum(axis=1, keepdims=True) - size
+    one = np.ones_like(size)
+    return np.hstack([bits, one, -want]), np.hstack([bits, -(want + spare), one]), spare[:, 0], -1e-3
+
+
+def vector_sides(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same for the cosine: the product of the rounded vectors and what rounding may have taken from it, in any order."""
+    step, left = (np.ascontiguousarray(sketch[:, i : i + 4]).view(np.float32) for i in (0, 4))
+    q = np.stack([sketch[:, 8:] >> 4, sketch[:, 8:] & 15], axis=2).reshape(len(sketch), -1).astype(np.float32) - 8
+    q *= step
+    long = np.linalg.norm(q, axis=1, keepdims=True)
+    return np.hstack([q, long, left, left]), np.hstack([q, left, long, left]), np.zeros(len(q), dtype=np.float32), least - 1e-4
+
+
+def compare(sides: Callable, least: float, crowd: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over rows sorted by key: the pairs (a, b) of each region's records that may be links, and, with a null b, the
+    records a of each region (key) of more than ``crowd``. Sides other than 0 are compared with each other only."""
+
+    def pairs_of(key, cls, side, sketch):
+        widths = np.array([len(p) for p in sketch])
         found = []
-        for width in np.unique(lengths):
-            table = np.zeros((len(key), width), dtype=np.uint8)
-            own = np.flatnonzero(lengths == width)
-            table[own] = np.frombuffer(b"".join(payload[i] for i in order[own]), dtype=np.uint8).reshape(-1, width)
-            for m in np.unique(counts[counts > 1]):
+        for width in np.unique(widths):
+            own = np.flatnonzero(widths == width)
+            left, right, rank, bound = sides(np.frombuffer(b"".join(sketch[i] for i in own), dtype=np.uint8).reshape(-1, width), least)
+            order = np.lexsort((rank, key[own]))
+            own, left, right = own[order], left[order], right[order]
+            k, c, s = key[own], cls[own], side[own]
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            counts = np.diff(np.concatenate([starts, [len(k)]]))
+            for m in np.unique(counts[(counts > 1) & (counts <= 24)]):
                 heads = starts[counts == m]
-                heads = heads[lengths[heads] == width]
-                iu, ju = np.triu_indices(m, 1)
-                step = max(1, 500_000 // len(iu))
-                for at in range(0, len(heads), step):
-                    for sub in range(0, len(iu), 500_000):
-                        h = heads[at : at + step, None]
-                        i = (h + iu[sub : sub + 500_000]).ravel()
-                        j = (h + ju[sub : sub + 500_000]).ravel()
-                        use = ~cross[i] | (blk[i] != blk[j])
-                        i, j = i[use], j[use]
-                        good = close(table[i], size[i], table[j], size[j], least)
-                        x, y = cls[i[good]], cls[j[good]]
-                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        if not found:
-            return None
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    def numbers(col: pa.Array) -> np.ndarray:
-        return col.to_numpy(zero_copy_only=False)
+                for at in range(0, len(heads), 4096):
+                    rows = heads[at : at + 4096, None] + np.arange(m)
+                    h, i, j = np.nonzero(np.matmul(left[rows], right[rows].transpose(0, 2, 1)) >= bound)
+                    found.append((rows[h, i][i < j], rows[h, j][i < j]))
+            for at, m in zip(starts[counts > 24], counts[counts > 24]):
+                for sub in range(at, at + m, 1024):
+                    i, j = np.nonzero(left[sub : min(sub + 1024, at + m)] @ right[sub : at + m].T >= bound)
+                    found.append((sub + i[i < j], sub + j[i < j]))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found))
+                use = (s[i] == 0) | (s[i] != s[j])
+                x, y = c[i[use]], c[j[use]]
+                yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+            found = []
+
+    def numbers(table: pa.Table, col: str) -> np.ndarray:
+        return table.column(col).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, dtype=np.int64)
+
+    def batch(key, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b], names=["key", "a", "b"])
+
+    def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, cls, side = (numbers(table, c) for c in ("key", "cls", "side"))
+        if crowd is not None and len(key):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            counts = np.diff(np.concatenate([starts, [len(key)]]))
+            many = np.repeat(counts > crowd, counts)
+            if many.any():
+                yield batch(key[many], cls[many], pa.nulls(int(many.sum()), pa.int64()))
+                table = table.filter(pa.array(~many))
+                key, cls, side = key[~many], cls[~many], side[~many]
+        pairs = list(pairs_of(key, cls, side, table.column("sketch").to_pylist()))
+        if pairs:
+            out = np.unique(np.concatenate(pairs), axis=0)
+            yield batch(np.zeros(len(out), dtype=np.int64), out[:, 0], pa.array(out[:, 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush(table: pa.Table):
-            t = table.combine_chunks()
-            cols = [numbers(t.column(c)) for c in ("key", "cls")]
-            payload = t.column("payload").to_pylist()
-            return pairs_of(*cols, payload, *[numbers(t.column(c)) for c in ("size", "blk", "cross")])
-
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
+        rows, passing = 0, None  # passing: the crowded region whose records go on as they come
+        for part in batches:
+            if passing is not None:
+                keys = part.column("key").to_numpy(zero_copy_only=False)
+                n = int(np.searchsorted(keys, passing, "right"))
+                if n:
+                    yield batch(keys[:n], part.column("cls").slice(0, n).to_numpy(zero_copy_only=False), pa.nulls(n, pa.int64()))
+                    part = part.slice(n)
+                if part.num_rows:
+                    passing = None
+            if not part.num_rows:
+                continue
+            held.append(part)
+            rows += part.num_rows
             if rows < 20_000:
                 continue
             table = pa.Table.from_batches(held)
-            keys = numbers(table.column("key"))
-            whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on in the next batch
+            keys = numbers(table, "key")
+            whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last region may go on in the next batch
+            if crowd is not None and rows - whole > crowd:
+                whole, passing = rows, keys[-1]
             if whole:
-                out = flush(table.slice(0, whole))
-                if out is not None:
-                    yield out
+                yield from flush(table.slice(0, whole))
                 rest = table.slice(whole)
                 held, rows = rest.to_batches(), rest.num_rows
         if rows:
-            out = flush(pa.Table.from_batches(held))
-            if out is not None:
-                yield out
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
 
-def forest_pairs(forest: DataFrame, depth: int, close: Callable, least: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of classes that meet in some region and pass the sketch."""
-    met = regions(forest, depth).join(forest.select("cls", "payload", "size"), "cls")
-    together = met.repartition("key").sortWithinPartitions("key").select("key", "cls", "payload", "size", "blk", "cross")
-    return together.mapInArrow(compare(close, least), "a long, b long").distinct()
+def meetings(forest: DataFrame, sides: Callable, least: float, crowd: int | None, name: str) -> DataFrame:
+    """Rows (key, a, b) of :func:`compare` over the forest's regions, written down: one shuffle by region and one sort."""
+    tasks = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    near = forest.repartition(tasks, "key").sortWithinPartitions("key").select("key", "cls", "side", "sketch")
+    return cut(near.mapInArrow(compare(sides, least, crowd), "key long, a long, b long"), name)
+
+
+def blocks(crowd: DataFrame, size: int = CROWD) -> DataFrame:
+    """Forest rows for the full comparison of regions (top, n, cls, sketch): every pair of blocks a region of its own."""
+    parts = crowd.withColumn("parts", F.ceil(F.col("n") / F.lit(size)).cast("int"))
+    parts = parts.withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("top", F.least("blk", "other"), F.greatest("blk", "other"))
+    side = F.when(F.col("blk") < F.col("other"), 1).when(F.col("blk") > F.col("other"), 2).otherwise(0)
+    return parts.select(key.alias("key"), "cls", "top", side.alias("side"), "sketch")
+
+
+def forest_pairs(one: DataFrame, make: Callable, sides: Callable, least: float, agree: float, alike: float, crowd: int = CROWD) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of records (cls, value) that meet in some region and pass the sketch."""
+    records = one.count()
+    depth = depth_for(records, alike)
+    flat = one.withColumn("top", F.lit(0).cast("long"))
+    met = meetings(flat.mapInArrow(make(trees_for(agree, depth), depth), FOREST), sides, least, crowd, "met")
+    found = met.where("b is not null").select("a", "b")
+    for level in range(1, LEVELS + 1):
+        open_rows = met.where("b is null").select(F.col("key").alias("top"), F.col("a").alias("cls")).distinct()
+        if open_rows.isEmpty():
+            break
+        deeper = cut(open_rows.join(one, "cls").mapInArrow(make(trees_for(agree, 1), 1, level), FOREST), "deeper")
+        sizes = open_rows.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+        own = deeper.groupBy("top", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("top").agg(F.sum(F.col("m") * F.col("m")).alias("s"))
+        judged = own.join(sizes, "top").withColumn("split", (F.col("s") <= F.col("n") * F.col("n") / 2) & F.lit(level < LEVELS))
+        judged = cut(judged.select("top", "n", "split"), "judged")
+        full = deeper.join(judged.where("not split"), "top").groupBy("top", "cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        done = meetings(blocks(full, crowd), sides, least, None, "blocks")
+        met = meetings(deeper.join(judged.where("split"), "top", "left_semi").select(*[x.split()[0] for x in FOREST.split(", ")]), sides, least, crowd, "met")
+        found = found.unionByName(done.select("a", "b")).unionByName(met.where("b is not null").select("a", "b"))
+    return found.distinct()
 
 
 # --- the two kinds of likeness ----------------------------------------------------------------------------------------
@@ -229,16 +302,17 @@ def words_of(*texts: Column) -> Column:
 
 def word_classes(nodes: DataFrame, least_words: int = 10) -> DataFrame:
     """(seq, cls, words): records with equal word sets share a class; words are hashes, at least ``least_words`` of them."""
-    words = nodes.select(F.col("seq").cast("long").alias("seq"), F.array_sort(words_of(F.col("label"), F.col("summary"))).alias("w"))
+    words = nodes.select(F.col("seq").cast("long").alias("seq"), words_of(F.col("label"), F.col("summary")).alias("w"))
     words = words.where((F.size("w") >= least_words) & F.col("seq").isNotNull())
-    return words.select("seq", F.xxhash64(F.array_join("w", " ")).alias("cls"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+    words = words.select("seq", F.sort_array(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
+    return words.select("seq", F.xxhash64("words").alias("cls"), "words")
 
 
 def vector_classes(nodes: DataFrame) -> DataFrame:
     """(seq, cls, vector): records with equal vectors share a class; empty, zero, broken and infinite vectors are out."""
-    good = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e30))), F.lit(False))
-    v = nodes.select(F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<double>").alias("vector"), good.alias("g"))
-    v = v.where("g and seq is not null and size(vector) > 0").where(F.exists("vector", lambda x: x != 0))
+    v = nodes.select(F.col("seq").cast("long").alias("seq"), F.col("embedding").alias("vector")).where("seq is not null")
+    most, least = F.array_max("vector"), F.array_min("vector")  # NaN is the greatest; what contains a null says null
+    v = v.where((most < 1e30) & (least > -1e30) & ((most > 0) | (least < 0)) & ~F.array_contains("vector", F.lit(1e31).cast("float")))
     return v.select("seq", F.xxhash64("vector").alias("cls"), "vector")
 
 
@@ -248,13 +322,11 @@ def _norm(v: Column) -> Column:
 
 def links(classes: DataFrame, what: str, jaccard: float, cosine: float) -> DataFrame:
     """Checked links (a, b) between different classes, a < b."""
-    one = classes.groupBy("cls").agg(F.first(what).alias(what))
+    one = cut(classes.groupBy("cls").agg(F.first(what).alias(what)), what)
     if what == "words":
-        forest = cut(one.mapInArrow(word_forest, FOREST), "words")
-        found = forest_pairs(forest, WORD_DEPTH, _close_words, jaccard)
+        found = forest_pairs(one, word_forest, word_sides, jaccard, jaccard, WORDS_ALIKE)
     else:
-        forest = cut(one.mapInArrow(vector_forest, FOREST), "vectors")
-        found = forest_pairs(forest, VECTOR_DEPTH, _close_vectors, cosine)
+        found = forest_pairs(one, vector_forest, vector_sides, cosine, vectors_agree(cosine), VECTORS_ALIKE)
     pairs = found.join(one.select(F.col("cls").alias("a"), F.col(what).alias("x")), "a").join(
         one.select(F.col("cls").alias("b"), F.col(what).alias("y")), "b"
     )
@@ -262,6 +334,7 @@ def links(classes: DataFrame, what: str, jaccard: float, cosine: float) -> DataF
         common = F.size(F.array_intersect("x", "y"))
         exact = common / (F.size("x") + F.size("y") - common) >= F.lit(jaccard)
     else:
+        pairs = pairs.select("a", "b", *[F.col(c).cast("array<double>").alias(c) for c in ("x", "y")])
         dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
         exact = (F.size("x") == F.size("y")) & (dot / (_norm(F.col("x")) * _norm(F.col("y"))) >= F.lit(cosine))
     return pairs.where(exact).select("a", "b")

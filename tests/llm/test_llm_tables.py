@@ -132,16 +132,38 @@ def test_pairs_against_brute_force(spark):
     assert set(groups) == {r[0] for r in rows} and all(groups[a] == groups[b] for a, b in got)
 
 
-def test_oversized_regions_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    base = [f"w{i}" for i in range(30)]
-    data = [{"label": "", "summary": " ".join(base[:28] + [f"x{i}"])} for i in range(90)]
-    df = nodes(spark, *data)
+@pytest.mark.parametrize("alike", [28, 12])
+def test_crowded_regions_go_deeper_or_are_compared_in_blocks(spark, alike):
+    rnd = random.Random(alike)
+    base = [f"w{i}" for i in range(alike)]
+    texts = [base + rnd.sample([f"x{j}" for j in range(400)], 30 - alike) for _ in range(150)]
+    df = nodes(spark, *[{"label": "", "summary": " ".join(t)} for t in texts])
     one = neardup.word_classes(df).groupBy("cls").agg(F.first("words").alias("words"))
-    forest = one.mapInArrow(neardup.word_forest, neardup.FOREST)
-    r = neardup.regions(forest, neardup.WORD_DEPTH, leaf=4)
-    assert r.where("cross").count() > 0
-    assert neardup.near_pairs(df).count() == 90 * 89 // 2
+    found = neardup.forest_pairs(one, neardup.word_forest, neardup.word_sides, 0.6, 0.6, neardup.WORDS_ALIKE, crowd=16)
+    want = {(i, j) for i in range(150) for j in range(i) if len(set(texts[i]) & set(texts[j])) / len(set(texts[i]) | set(texts[j])) >= 0.6}
+    seq = {r.cls: r.seq for r in neardup.word_classes(df).collect()}
+    got = {(max(seq[r.a], seq[r.b]), min(seq[r.a], seq[r.b])) for r in found.collect()}
+    assert len(got & want) >= 0.99 * len(want) and (len(want) == 150 * 149 // 2 if alike == 28 else len(got) < 150 * 149 // 2)
+
+
+def test_trees_keep_the_chance_to_meet():
+    for agree in (0.6, neardup.vectors_agree(0.9)):
+        for depth in (1, 2, 3, 5):
+            assert 1 - (1 - agree**depth) ** neardup.trees_for(agree, depth) >= 1 - neardup.LOSS
+    assert neardup.depth_for(10, 1 / 12) == 1 < neardup.depth_for(100_000, 1 / 12) < neardup.depth_for(10**9, 1 / 12)
+
+
+@pytest.mark.parametrize("dim", [5, 64])
+def test_sketches_lose_no_link(dim):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, dim))
+    x = np.concatenate([x, x + rng.standard_normal((60, dim)) * 0.3])
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array(range(120)), neardup.pa.array([0] * 120), neardup.pa.array(x.tolist())], names=["cls", "top", "vector"])
+    rows = next(neardup.vector_forest(1, 1)([batch]))
+    sketch = np.stack([np.frombuffer(b, dtype=np.uint8) for b in rows.column("sketch").to_pylist()])
+    left, right, _, bound = neardup.vector_sides(sketch, 0.9)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert ((left @ right.T >= bound) | (unit @ unit.T < 0.9)).all() and (left @ right.T >= bound).mean() < 0.5
 
 
 def test_no_records(spark):
