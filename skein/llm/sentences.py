@@ -1,10 +1,10 @@
 """Sentence boundaries in many languages and scripts: a lexer of boundary marks and a finite transducer over its symbols.
 
 The lexer looks at the few characters that may matter (marks, quotation marks, brackets, line breaks) and names each with a
-symbol, using at most HALO characters around it. The transducer has a state for what is open at a place (nothing, a
-sentence, quotations in it) and says for each symbol whether a sentence ends there. Texts longer than CHUNK are cut into
-ranges: each range becomes a function from the state before it to the state after it, the functions are composed by a
-parallel prefix scan, and each range is then run once more from its own state.
+symbol. The transducer has a state for what is open at a place (nothing, a sentence, quotations in it) and says for each
+symbol whether a sentence ends there. Texts longer than CHUNK are cut into ranges, between paragraphs where one ends in
+reach: each range is lexed once and becomes a function from the state before it to the state after it, the functions are
+composed by a parallel prefix scan, and the transducer runs over each range's symbols from its own state.
 """
 
 from __future__ import annotations
@@ -22,10 +22,15 @@ from pyspark.sql.window import Window
 
 from skein.session import cut
 
-CHUNK = 65_536
-HALO = 2_048
-#: A quotation or bracket that isn't closed within so many characters of its block counts as a plain mark.
-SPAN = 600
+CHUNK = 4_096
+#: A range goes on to the end of its paragraph, up to so many times CHUNK.
+REACH = 16
+#: A quotation or bracket that isn't closed in its paragraph, or is longer than this, counts as a plain mark.
+SPAN = 16_384
+#: What the lexer sees on either side of a range: to the end of the paragraph and a little of the next, or so much.
+HALO, NEAR = SPAN + 2_048, 64
+#: Quotations and brackets inside each other that are told apart.
+DEPTH = 16
 
 # Abbreviations after which a sentence goes on (in lower case, without the last full stop).
 ABBREVIATIONS = frozenset(
@@ -93,7 +98,7 @@ SYMBOLS = 10
 def _states() -> list[tuple]:
     """() between sentences, (0,) in one, (depth, bracket, first, marked) in something opened: whether the outermost is a
     bracket, whether it opened the sentence, whether an ending mark came last."""
-    deep = [(d, b, f, m) for d in (1, 2, 3) for b in (0, 1) for f in (0, 1) for m in (0, 1)]
+    deep = [(d, b, f, m) for d in range(1, DEPTH + 1) for b in (0, 1) for f in (0, 1) for m in (0, 1)]
     return [(), (0,), *deep]
 
 
@@ -108,7 +113,7 @@ def _step(state: tuple, symbol: int) -> tuple[tuple, bool, bool]:
         return ((), starts, True) if symbol == E else ((0,), starts, False)
     depth, bracket, first, marked = state
     if symbol in (O, P):
-        return (min(3, depth + 1), bracket, first, 0), False, False
+        return (min(DEPTH, depth + 1), bracket, first, 0), False, False
     if symbol == W:
         return (depth, bracket, first, 0), False, False
     if symbol == E:
@@ -127,6 +132,7 @@ _AT = {s: i for i, s in enumerate(STATES)}
 #: NEXT[state][symbol], and what is put out: 1 a start, 2 an end, 3 both.
 NEXT = [[_AT[_step(s, x)[0]] for x in range(SYMBOLS)] for s in STATES]
 PUT = [[_step(s, x)[1] + 2 * _step(s, x)[2] for x in range(SYMBOLS)] for s in STATES]
+MOVES = np.array(NEXT).T.copy()
 
 
 # --- lexer ------------------------------------------------------------------------------------------------------------
@@ -218,7 +224,7 @@ def _ellipsis(text: str, at: int, end: int) -> bool:
         return m.start() > end or c.isupper()
     if c.islower() or c.isdigit():
         return False
-    before = text[:at].rstrip()[-1:]
+    before = text[max(0, at - HALO) : at].rstrip()[-1:]
     return m.start() > end and (before.islower() or before.isupper()) and c.isalpha()
 
 
@@ -338,8 +344,14 @@ def lex(text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
     return kinds, places, ends
 
 
-def run(text: str, kinds: list[int], places: list[int], ends: list[int], state: int = 0) -> tuple[list[int], list[int], int]:
-    """Starts and ends of sentences and the state afterwards."""
+def _visible_end(text: str, at: int) -> int:
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def run(text: str | None, kinds: list[int], places: list[int], ends: list[int], state: int = 0) -> tuple[list[int], list[int], int]:
+    """Starts and ends of sentences and the state afterwards; without a text, the ends of blocks are known already."""
     starts: list[int] = []
     stops: list[int] = []
     nxt, out = NEXT, PUT
@@ -349,11 +361,7 @@ def run(text: str, kinds: list[int], places: list[int], ends: list[int], state:
             if put & 1:
                 starts.append(at)
             if put & 2:
-                if x == B:
-                    end = at
-                    while end and text[end - 1].isspace():
-                        end -= 1
-                stops.append(end)
+                stops.append(_visible_end(text, at) if x == B and text is not None else end)
         state = nxt[state][x]
     return starts, stops, state
 
@@ -369,10 +377,10 @@ def split_sentences(text: str | None) -> list[tuple[int, int]]:
 
 def transfer(kinds: list[int]) -> list[int]:
     """The state after a range for each state before it."""
-    states = list(range(len(STATES)))
+    states = np.arange(len(STATES))
     for x in kinds:
-        states = [NEXT[s][x] for s in states]
-    return states
+        states = MOVES[x][states]
+    return states.tolist()
 
 
 def prefix_states(functions: np.ndarray) -> np.ndarray:
@@ -386,6 +394,34 @@ def prefix_states(functions: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], scan[:-1, 0]]).astype("int64")
 
 
+def ranges_of(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """The ranges [lo, hi) of a text: at least ``size`` characters, up to the next paragraph, but at most REACH times as much."""
+    lo = 0
+    while lo < len(text):
+        hi = min(len(text), lo + size)
+        if hi < len(text):
+            most = min(len(text), lo + REACH * size)
+            m = BREAK.search(text, hi, most)
+            hi = m.start() if m else most
+        yield lo, hi
+        lo = hi
+
+
+def context(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """The part [at, to) of a text that decides what the range [lo, hi) means."""
+    at, to = max(0, lo - HALO), min(len(text), hi + HALO)
+    if BREAK.match(text, lo):
+        at = max(0, _visible_end(text, lo) - NEAR)
+    elif lo:
+        for m in BREAK.finditer(text, at, lo):
+            at = max(0, _visible_end(text, m.start()) - NEAR)
+    m = BREAK.search(text, hi, to)
+    if m:
+        ahead = NONSPACE.search(text, m.end(), to)
+        to = min(to, ahead.start() + NEAR) if ahead else to
+    return at, to
+
+
 # --- plans ------------------------------------------------------------------------------------------------------------
 
 
@@ -393,8 +429,10 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """Rows (id, sent_start, sent_end), one per sentence, offsets in code points, the end exclusive, outer white space left
     out. Null, empty and blank texts have none; repeated rows and ids give repeated sentences; other columns are ignored.
 
-    Texts of up to ``chunk`` characters are done where they lie, without a shuffle. Longer ones are cut into ranges with a
-    halo of HALO characters that are spread over all tasks, so one giant text is not one task's work.
+    Texts of up to ``chunk`` characters are a range of their own, begin in a known state and are done where they lie, without a
+    shuffle. Longer ones are cut into ranges that are spread over all tasks, so one giant text is not one task's work. The
+    sentences don't depend on the ranges, but for paragraphs of more than REACH times ``chunk`` characters in which quotations are
+    longer than SPAN.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     id_type = rows.schema["doc_id"].dataType
@@ -425,71 +463,64 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long(rows: DataFrame, id_type: T.DataType, chunk: int) -> DataFrame:
-    ranges = T.StructType(
-        [
-            T.StructField("doc_id", id_type),
-            T.StructField("copy", T.LongType()),
-            T.StructField("no", T.LongType()),
-            T.StructField("at", T.LongType()),
-            T.StructField("lo", T.LongType()),
-            T.StructField("hi", T.LongType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
+    def fields(*names: str) -> list[T.StructField]:
+        return [T.StructField(c, T.LongType()) for c in names]
+
+    def lists(*names: str) -> list[T.StructField]:
+        return [T.StructField(c, T.ArrayType(T.IntegerType())) for c in names]
+
+    known = [T.StructField("doc_id", id_type), *fields("copy", "no", "at")]
+    ranges = T.StructType([*known, *fields("lo", "hi"), T.StructField("text", T.StringType())])
+    lexed = T.StructType([*known, *lists("f", "kinds", "places", "ends")])
 
     def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for doc_id, copy, text in zip(pdf["doc_id"], pdf["copy"], pdf["text"]):
-                for no, lo in enumerate(range(0, len(text), chunk)):
-                    at, hi = max(0, lo - HALO), min(len(text), lo + chunk)
-                    own = text[at : hi + HALO]
+                for no, (lo, hi) in enumerate(ranges_of(text, chunk)):
+                    at, to = context(text, lo, hi)
                     yield pd.DataFrame(
-                        {"doc_id": [doc_id], "copy": copy, "no": no, "at": at, "lo": lo - at, "hi": hi - at, "text": own}
+                        {"doc_id": [doc_id], "copy": copy, "no": no, "at": at, "lo": lo - at, "hi": hi - at, "text": text[at:to]}
                     )
 
+    def symbols(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = []
+            for text, lo, hi in zip(pdf["text"], pdf["lo"], pdf["hi"]):
+                kinds, places, ends = lex(text, lo, hi)
+                # a block ends before the white space in front of it
+                ends = [_visible_end(text, x) if k == B else y for k, x, y in zip(kinds, places, ends)]
+                found.append((transfer(kinds), kinds, places, ends))
+            f, kinds, places, ends = zip(*found) if found else ([], [], [], [])
+            yield pdf[["doc_id", "copy", "no", "at"]].assign(f=f, kinds=kinds, places=places, ends=ends)
+
     # rows with one id stay apart: each takes its own number
     cutted = rows.withColumn("copy", F.monotonically_increasing_id()).mapInPandas(slices, ranges)
-    pieces = cut(cutted.repartition("doc_id", "copy", "no"), "ranges")
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def function(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([transfer(lex(t, a, b)[0]) for t, a, b in zip(text, lo, hi)])
-
-    functions = pieces.select("doc_id", "copy", "no", function("text", "lo", "hi").alias("f"))
+    pieces = cut(cutted.repartition("doc_id", "copy", "no").mapInPandas(symbols, lexed), "symbols")
 
     def entry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
         pdf["state"] = prefix_states(np.stack(pdf["f"].to_numpy()))
-        return pdf[["doc_id", "copy", "no", "state"]]
+        return pdf[["copy", "no", "state"]]
 
-    entry_schema = T.StructType(
-        [T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("copy", "no", "state")]]
-    )
-    states = functions.groupBy("copy").applyInPandas(entry, entry_schema).drop("doc_id")
-    marks = T.StructType(
-        [T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("copy", "no", "pos", "kind")]]
-    )
+    states = pieces.select("copy", "no", "f").groupBy("copy").applyInPandas(entry, T.StructType(fields("copy", "no", "state")))
+    pair = T.ArrayType(T.StructType(fields("s", "e")))
+    marks = T.StructType([T.StructField("doc_id", id_type), *fields("copy", "no"), T.StructField("own", pair), *fields("ends", "opens")])
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            out = []
             for r in pdf.itertuples(index=False):
-                a, b, _ = run(r.text, *lex(r.text, r.lo, r.hi), r.state)
-                pos = [*(x + r.at for x in a), *(x + r.at for x in b)]
-                if pos:
-                    kinds = [1] * len(a) + [0] * len(b)
-                    yield pd.DataFrame({"doc_id": [r.doc_id] * len(pos), "copy": r.copy, "no": r.no, "pos": pos, "kind": kinds})
-
-    found = pieces.join(states, ["copy", "no"]).select(*[c.name for c in ranges], "state").mapInPandas(emit, marks)
-    # an end belongs to the start before it: within a range by order, across ranges by the last start of those before
-    own = Window.partitionBy("copy", "no").orderBy("pos", "kind")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    inside = found.withColumn("s", F.last(F.when(F.col("kind") == 1, F.col("pos")), True).over(upto))
-    lasts = found.where("kind = 1").groupBy("copy", "no").agg(F.max("pos").alias("last"))
-    every = states.select("copy", "no").join(lasts, ["copy", "no"], "left")
+                a, b, _ = run(None, r.kinds, r.places, r.ends, r.state)
+                first = b.pop(0) + r.at if b and (not a or b[0] <= a[0]) else None  # of a sentence that began before
+                last = a.pop() + r.at if len(a) > len(b) else None  # one that goes on
+                own = [{"s": int(x + r.at), "e": int(y + r.at)} for x, y in zip(a, b)]
+                out.append((r.doc_id, r.copy, r.no, own, first, last))
+            yield pd.DataFrame(out, columns=marks.names).astype({"ends": "Int64", "opens": "Int64"})
+
+    found = pieces.drop("f").join(states, ["copy", "no"]).mapInPandas(emit, marks)
     before = Window.partitionBy("copy").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.withColumn("carried", F.last("last", True).over(before)).select("copy", "no", "carried")
-    return (
-        inside.where("kind = 0")
-        .join(carried, ["copy", "no"])
-        .select("doc_id", F.coalesce("s", "carried").alias("sent_start"), F.col("pos").alias("sent_end"))
+    begun = F.struct(F.last("opens", True).over(before).alias("s"), F.col("ends").alias("e"))
+    every = F.concat("own", F.when(F.col("ends").isNotNull(), F.array(begun)).otherwise(F.array().cast(pair)))
+    return found.select("doc_id", every.alias("all")).select("doc_id", F.explode("all").alias("x")).select(
+        "doc_id", F.col("x.s").alias("sent_start"), F.col("x.e").alias("sent_end")
     )

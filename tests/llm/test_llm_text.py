@@ -281,6 +281,17 @@ def test_ranges_give_the_same_sentences(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [200, 4096])
+def test_long_quotations_deep_nesting_and_giant_paragraphs(spark, chunk):
+    inner = "It holds. " * 70
+    quote = f'He wrote, "{inner}done" and left. Next one.'
+    deep = "He said " + "".join(f"{o}so. " for o in "«“「«“「«") + "".join(f"{c} so. " for c in "»”」»”」»") + "and left. Next."
+    texts = [quote, deep, (quote + " ") * 40, "一句。" * 9000, ("word " * 30 + ". ") * 300, "a\n\n" * 4000, quote.replace('"', "")]
+    assert [quote[a:b] for a, b in sentences.split_sentences(quote)] == [quote[: -len(" Next one.")], "Next one."]
+    got = sorted(tuple(r) for r in sentences.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk=chunk).collect())
+    assert got == sorted((i, a, b) for i, t in enumerate(texts) for a, b in sentences.split_sentences(t))
+
+
 def test_transfer_functions_compose():
     rnd = random.Random(2)
     kinds = [rnd.randrange(sentences.SYMBOLS) for _ in range(200)]
