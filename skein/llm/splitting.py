@@ -1,27 +1,34 @@
 """Splitting oversized texts between their blocks, range by range.
 
-A text is worked on in ranges with halos. Each range knows its own lines; what it cannot know is the block that is open where
-it begins (a code fence may have been opened far before). So a first pass gives each range's state afterwards for every state
-before it that could matter (the boundary table), the tables of one text are stitched in order, and a second pass gives
-blocks and pieces, by offset, from the state each range really begins in. Giant files are read by byte ranges in the same way;
-the characters of the ranges before, summed up, turn a range's own offsets into offsets of the file.
+Every text is worked on in ranges of RANGE characters with halos, whatever its size. Each range knows its own lines; what it
+cannot know is the block that is open where it begins (a code fence may have been opened far before). So a first pass gives
+each range's state afterwards for every state before it that could matter (the boundary table), the tables of one text are
+stitched in order and the lengths summed up, and a second pass gives each range's blocks and other boundaries, as offsets of
+the text, from the state it really begins in. Pieces are then cut from the stitched boundaries alone. Giant files are read by
+byte ranges in the same way.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skein.session import cut
 
-RANGE = 65_536
-HALO = 8_192
+RANGE = 4_096
+#: Characters of a line that are looked at, and what a range sees of the text before and behind it besides.
+HALO, NEAR = 16_384, 32
+#: Characters after which the pieces of a giant file are cut anew, so that no task holds all its boundaries.
+SEGMENT = 1 << 30
 
 BLANK = re.compile(r"[^\S\n]*(?:\n|$)")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\n]*)")
@@ -84,7 +91,7 @@ def step(text: str, at: int, state: tuple) -> tuple[tuple, str | None]:
         first = item.group(2) or text[item.end(1) : item.end() - 1].rstrip(".)").lstrip() == "1"
         if kind not in ("para", "quote") or first and not empty:
             return ("list", sign, 0), "list"
-    end = text.find("\n", at)
+    end = text.find("\n", at, at + HALO)
     if kind != "table" and end > 0 and "|" in text[at:end] and DELIMITER.match(text, end + 1) and "-" in text[end + 1 : end + 200]:
         if text.find("|", end + 1, text.find("\n", end + 1) % (len(text) + 1)) > 0:
             return ("table",), "table"
@@ -109,59 +116,101 @@ def scan(text: str, lo: int, hi: int, state: tuple) -> tuple[list[tuple[int, str
     return out, state
 
 
-def boundary_table(text: str, lo: int, hi: int) -> dict[tuple, tuple]:
-    """The state after a range for every state before it; fences longer than any sign run in the range never close in it."""
-    longest = max((len(m.group(1)) for at in line_starts(text, lo, hi) if (m := FENCE.match(text, at))), default=2)
-    before = [START, ("para",), ("quote",), ("table",)]
-    before += [("list", s, b) for s in "-*+.)" for b in (0, 1)]
-    before += [("fence", c, n) for c in "`~" for n in range(3, longest + 1)]
-    return {s: scan(text, lo, hi, s)[1] for s in before}
+STATES = [START, ("para",), ("quote",), ("table",), *[("list", s, b) for s in "-*+.)" for b in (0, 1)]]
 
 
-def after(table: dict[tuple, tuple], state: tuple) -> tuple:
-    """Looks a state up in a boundary table."""
-    return table.get(state, state)
+def code(state: tuple) -> str:
+    return " ".join(map(str, state))
+
+
+def decode(text: str) -> tuple:
+    return tuple(int(x) if x.isdigit() else x for x in text.split(" "))
 
 
-def anchor(text: str, at: int, halo: int, state: tuple) -> int:
-    """Where the pieces of a range begin: the first block, line or word near its start, or the start itself."""
-    blocks, _ = scan(text, at, min(len(text), at + halo), state)
-    if blocks:
-        return blocks[0][0]
-    stop = min(len(text), at + halo)
-    line = text.find("\n", at, stop)
-    if line >= 0:
-        return line + 1
-    m = SPACE.search(text, at, stop)
-    return m.end() if m else at
+def boundary_table(text: str, lo: int, hi: int) -> dict:
+    """The state after a range for every state before it. For open fences, by sign: the longest fence each closing line can end
+    that no line before it ended, and the state at the end if it does. Ways that meet at a line are followed once."""
+    lines = list(line_starts(text, lo, hi))
+    known: dict[tuple, tuple] = {}
+
+    def follow(i: int, state: tuple) -> str:
+        way = []
+        while i < len(lines) and (i, state) not in known:
+            way.append((i, state))
+            state, _ = step(text, lines[i], state)
+            i += 1
+        end = state if i == len(lines) else known[i, state]
+        known.update(dict.fromkeys(way, end))
+        return code(end)
 
+    fences: dict[str, list] = {"`": [], "~": []}
+    for i, at in enumerate(lines):
+        m = FENCE.match(text, at)
+        if m and not m.group(2).strip():
+            own, n = fences[m.group(1)[0]], len(m.group(1))
+            if not own or n > own[-1][0]:
+                own.append([n, follow(i + 1, START)])
+    return {"ends": {code(s): follow(0, s) for s in STATES}, "fences": fences}
 
-def cuts(text: str, first: int, last: int, blocks: list[int], limit: int, overlap: int, head: bool) -> list[tuple[int, int]]:
+
+def after(table: dict, state: tuple) -> tuple:
+    """Looks a state up in a boundary table."""
+    if state[0] == "fence":
+        return next((decode(end) for n, end in table["fences"][state[1]] if n >= state[2]), state)
+    return decode(table["ends"][code(state)])
+
+
+def context(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """The part [at, to) of a text that decides about the lines that begin in [lo, hi): the last of them and the next one end in it."""
+    to = hi
+    if lo == 0 or text.find("\n", lo - 1, hi - 1) >= 0:
+        for _ in range(2):
+            end = text.find("\n", to, to + HALO)
+            to = end + 1 if end >= 0 else to + HALO
+    return max(0, lo - NEAR), min(len(text), to + NEAR)
+
+
+def gaps(marks: list[int], lo: int, hi: int, reach: int) -> list[tuple[int, int]]:
+    """The parts of [lo, hi) between marks that are more than ``reach`` apart, or may be, at the edges."""
+    if not marks:
+        return [(lo, hi)]
+    inner = [(a + 1, b) for a, b in zip(marks, marks[1:]) if b - a > reach]
+    return [(lo, marks[0]), *inner, (marks[-1] + 1, hi)]
+
+
+def boundaries(text: str, lo: int, hi: int, state: tuple, reach: int) -> tuple[list[tuple[int, str]], list[int], list[int], list[int]]:
+    """Of the range [lo, hi): the blocks (start, kind) and, where no block is in reach, the other lines' starts, the ends of
+    sentences and, where none of these is, of words."""
+    found, _ = scan(text, lo, hi, state)
+    starts = [b for b, _ in found]
+    lines: list[int] = []
+    sentences: list[int] = []
+    words: list[int] = []
+    for a, b in gaps(starts, lo, hi, reach):
+        lines += [x for x in line_starts(text, a, b) if x]
+        sentences += [x for m in SENTENCE.finditer(text, max(0, a - NEAR), min(len(text), b + 2)) if a <= (x := m.end()) < b]
+    for a, b in gaps(sorted({*starts, *lines, *sentences}), lo, hi, reach):
+        words += [x for m in SPACE.finditer(text, max(0, a - 1), b) if a <= (x := m.end()) < b]
+    return found, lines, sentences, words
+
+
+def cuts(first: int, last: int, levels: list, limit: int, overlap: int, head: bool = True) -> list[tuple[int, int]]:
     """Pieces (start, end) covering [first, last), each ``overlap`` longer at its start than where the one before ends
-    (unless ``head``: it begins the text), none over ``limit``."""
-    out, at, i = [], first, 0
+    (unless ``head``: it begins the text), none over ``limit``. A piece ends at the last boundary in reach of the first of
+    ``levels`` (sorted offsets each) that has one, else at the limit."""
+    out, at = [], first
     while at < last:
         start = at if head and at == first else at - overlap
         most = start + limit
         if last <= most:
             out.append((start, last))
             break
-        while i < len(blocks) and blocks[i] <= at:
-            i += 1
-        j = i
-        while j < len(blocks) and blocks[j] <= most:
-            j += 1
-        if j > i:
-            to = blocks[j - 1]
-            i = j
-        else:
-            to = text.rfind("\n", at + 1, most) + 1
-            if to <= at:
-                to = max((m.end() for m in SENTENCE.finditer(text, at + 1, most)), default=-1)
-            if to <= at:
-                to = max((m.end() for m in SPACE.finditer(text, at + 1, most)), default=-1)
-            if to <= at:
-                to = most
+        to = most
+        for marks in levels:
+            i = bisect_right(marks, most) - 1
+            if i >= 0 and marks[i] > at:
+                to = int(marks[i])
+                break
         out.append((start, to))
         at = to
     return out
@@ -169,121 +218,110 @@ def cuts(text: str, first: int, last: int, blocks: list[int], limit: int, overla
 
 # --- plans ------------------------------------------------------------------------------------------------------------
 
-KEY = [T.StructField("src", T.StringType()), T.StructField("row_id", T.LongType())]
-OUT = T.StructType(
-    [*KEY, *[T.StructField(c, T.LongType()) for c in ("copy", "no", "chars")], T.StructField("what", T.StringType())]
-    + [T.StructField("start_at", T.LongType()), T.StructField("end_at", T.LongType())]
-)
 
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(c, T.LongType()) for c in names]
 
-def _emit(r, text: str, lo: int, hi: int, base: int, state: tuple, limit: int, overlap: int) -> Iterator[pd.DataFrame]:
-    """Blocks and pieces of a range, if it has any: own characters [lo, hi) of ``text``, whose first character has offset ``base``."""
-    ended = hi >= len(text) and r.final
-    blocks, then = scan(text, lo, hi, state)
-    begins = r.no == 0
-    first = 0 if begins else anchor(text, lo, HALO // 2, state)
-    last = len(text) if ended else anchor(text, hi, HALO // 2, then)
-    marks = [b for b, _ in blocks] + ([] if ended else [b for b, _ in scan(text, hi, last, then)[0]])
-    pieces = cuts(text, first, last, marks, limit, overlap, begins)
-    rows = [(k, base + b, -1) for b, k in blocks] + [("piece", base + a, base + b) for a, b in pieces]
-    if not rows:
-        return
-    yield pd.DataFrame(
-        {
-            "src": r.src,
-            "row_id": r.row_id,
-            "copy": r.copy,
-            "no": r.no,
-            "chars": hi - lo,
-            "what": [x[0] for x in rows],
-            "start_at": [x[1] for x in rows],
-            "end_at": [x[2] for x in rows],
-        }
-    )
+
+TEXT = ["src", "row_id", "copy"]
+_KEY = [T.StructField("src", T.StringType()), *_longs("row_id", "copy")]
+RANGES = T.StructType([*_KEY, *_longs("no", "lo", "hi"), T.StructField("text", T.StringType())])
+TABLES = T.StructType([*RANGES, T.StructField("table", T.StringType())])
+LEVELS = ["blocks", "lines", "sentences", "words"]
+BOUNDARIES = T.StructType(
+    [*_KEY, *_longs("no", "base", "chars"), T.StructField("kinds", T.ArrayType(T.StringType()))]
+    + [T.StructField(c, T.ArrayType(T.LongType())) for c in LEVELS]
+)
 
 
 def oversized(texts: DataFrame, limit: int = 6000, overlap: int = 200, size: int = RANGE) -> DataFrame:
     """Rows (src, row_id, what, start_at, end_at) of all texts longer than ``limit`` characters: their blocks (what is
     paragraph, heading, list, table, quotation or code; end_at is null) and the pieces they are cut into (what is piece).
 
-    texts: (src, row_id, text). Pieces have at most ``limit`` characters, end before a block where one begins in reach, else
-    after a line, a sentence, a word, else at the limit; each piece after the first repeats the last ``overlap`` characters
-    of the one before. Offsets are code points. Null and shorter texts give no rows, repeated rows give repeated ones. Texts of
-    up to ``size`` characters are one range and are done where they lie; longer ones are spread over all tasks.
+    texts: (src, row_id, text). Pieces have at most ``limit`` characters, end before the last block in reach where one begins
+    there, else after a line, a sentence, a word, else at the limit; each piece after the first repeats the last ``overlap``
+    characters of the one before. Offsets are code points. Null and shorter texts give no rows, repeated rows give repeated
+    ones. All texts are cut into ranges of ``size`` characters that are spread over all tasks; the result doesn't depend on
+    ``size``. A table is not known as one if its first line has more than HALO characters.
     """
-    if not 0 <= overlap < min(limit, HALO // 2) // 2:
+    if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     rows = texts.select("src", F.col("row_id").cast("long").alias("row_id"), "text").where(F.length("text") > limit)
 
-    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.assign(copy=0, no=0, final=True).itertuples(index=False):
-                yield from _emit(r, r.text, 0, len(r.text), 0, START, limit, overlap)
-
     def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
+                out = []
                 for no, lo in enumerate(range(0, len(r.text), size)):
-                    at, hi = max(0, lo - HALO), min(len(r.text), lo + size)
-                    own = r.text[at : hi + HALO]
-                    yield pd.DataFrame(
-                        {"src": [r.src], "row_id": r.row_id, "copy": r.copy, "no": no, "final": hi == len(r.text)}
-                        | {"lo": lo - at, "hi": hi - at, "text": own}
-                    )
-
-    short = rows.where(F.length("text") <= size).mapInPandas(whole, OUT)
-    long = rows.where(F.length("text") > size).withColumn("copy", F.monotonically_increasing_id())
-    ranges = long.mapInPandas(slices, RANGES)
-    return _finish(short.unionByName(stitched(ranges, limit, overlap)))
-
-
-RANGES = T.StructType(
-    [*KEY, T.StructField("copy", T.LongType()), T.StructField("no", T.LongType()), T.StructField("final", T.BooleanType())]
-    + [T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("text", T.StringType())]
-)
+                    hi = min(len(r.text), lo + size)
+                    at, to = context(r.text, lo, hi)
+                    out.append((r.src, r.row_id, r.copy, no, lo - at, hi - at, r.text[at:to]))
+                yield pd.DataFrame(out, columns=RANGES.names)
 
+    return _rows_of(rows.withColumn("copy", F.monotonically_increasing_id()).mapInPandas(slices, RANGES), limit, overlap)
 
-def _finish(found: DataFrame) -> DataFrame:
-    return found.select("src", "row_id", "what", "start_at", F.when(F.col("end_at") >= 0, F.col("end_at")).alias("end_at"))
 
+def _rows_of(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
+    found = stitched(ranges, limit - overlap)
+    each = found.select("src", "row_id", F.explode(F.arrays_zip("kinds", "blocks")).alias("b"))
+    blocks = each.select("src", "row_id", F.col("b.kinds").alias("what"), F.col("b.blocks").alias("start_at"), F.lit(None).cast("long").alias("end_at"))
+    return blocks.unionByName(pieces(found, limit, overlap))
 
-def stitched(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """Blocks and pieces of texts given as ranges (RANGES), in two passes."""
-    spread = cut(ranges.repartition("src", "row_id", "copy", "no"), "ranges")
 
-    @F.pandas_udf(T.StringType())
-    def table(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([repr(boundary_table(t, a, b)) for t, a, b in zip(text, lo, hi)], dtype=object)
+def stitched(ranges: DataFrame, reach: int) -> DataFrame:
+    """The boundaries of texts given as ranges (RANGES), by range (BOUNDARIES), in two passes."""
 
-    entry_schema = T.StructType(
-        [T.StructField("src", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("row_id", "copy", "no", "base")]]
-        + [T.StructField("state", T.StringType())]
-    )
+    def tables(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf.assign(table=[json.dumps(boundary_table(t, a, b)) for t, a, b in zip(pdf["text"], pdf["lo"], pdf["hi"])])
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        import ast
+    spread = cut(ranges.repartition("src", "row_id", "copy", "no").mapInPandas(tables, TABLES), "ranges")
+    entry_schema = T.StructType([*_KEY, *_longs("no", "base"), T.StructField("state", T.StringType())])
 
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
         state, states = START, []
         for t in pdf["table"]:
-            states.append(repr(state))
-            state = after(ast.literal_eval(t), state)
-        before = pdf["chars"].cumsum() - pdf["chars"]
-        return pdf.assign(state=states, base=before)[["src", "row_id", "copy", "no", "base", "state"]]
+            states.append(code(state))
+            state = after(json.loads(t), state)
+        return pdf.assign(state=states, base=pdf["chars"].cumsum() - pdf["chars"])[entry_schema.names]
 
-    key = ["src", "row_id", "copy"]
-    tables = spread.select(*key, "no", (F.col("hi") - F.col("lo")).alias("chars"), table("text", "lo", "hi").alias("table"))
-    entries = tables.groupBy(*key).applyInPandas(stitch, entry_schema)
+    known = spread.select(*TEXT, "no", (F.col("hi") - F.col("lo")).alias("chars"), "table")
+    entries = known.groupBy(*TEXT).applyInPandas(stitch, entry_schema)
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ast
-
         for pdf in parts:
+            out = []
             for r in pdf.itertuples(index=False):
-                yield from _emit(r, r.text, r.lo, r.hi, r.base - r.lo, ast.literal_eval(r.state), limit, overlap)
+                found, *rest = boundaries(r.text, r.lo, r.hi, decode(r.state), reach)
+                levels = [[x + r.base - r.lo for x in level] for level in ([b for b, _ in found], *rest)]
+                out.append((r.src, r.row_id, r.copy, r.no, r.base, r.hi - r.lo, [k for _, k in found], *levels))
+            yield pd.DataFrame(out, columns=BOUNDARIES.names)
+
+    return spread.drop("table").join(entries, [*TEXT, "no"]).mapInPandas(emit, BOUNDARIES)
+
+
+def pieces(found: DataFrame, limit: int, overlap: int, segment: int = SEGMENT) -> DataFrame:
+    """The pieces of texts given by their boundaries (BOUNDARIES), as rows of :func:`oversized`. Texts of more than ``segment``
+    characters are cut anew at the first block of each further segment."""
+    parts = found.withColumn("seg", F.floor(F.col("base") / F.lit(segment)))
+    own = [*TEXT, "seg"]
+    spans = parts.groupBy(*own).agg(
+        F.min(F.array_min("blocks")).alias("f"), F.min("base").alias("b"), F.max(F.col("base") + F.col("chars")).alias("e")
+    )
+    order = Window.partitionBy(*TEXT).orderBy("seg")
+    spans = spans.withColumn("first", F.when(F.col("seg") == 0, F.col("b")).otherwise(F.coalesce("f", "b")))
+    spans = spans.select(*own, "first", F.coalesce(F.lead("first").over(order), "e").alias("last"))
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no")
+        levels = [np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf[c]]) for c in LEVELS]
+        r = pdf.iloc[0]
+        made = cuts(int(r["first"]), int(r["last"]), levels, limit, overlap, int(r["seg"]) == 0)
+        return pd.DataFrame({"src": r["src"], "row_id": r["row_id"], "what": "piece", "start_at": [a for a, _ in made], "end_at": [b for _, b in made]})
 
-    joined = spread.join(entries, [*key, "no"])
-    return joined.mapInPandas(emit, OUT)
+    out = T.StructType([*_KEY[:2], T.StructField("what", T.StringType()), *_longs("start_at", "end_at")])
+    return parts.join(spans, own).select(*own, "no", "first", "last", *LEVELS).groupBy(*own).applyInPandas(assemble, out)
 
 
 def blocks_of(found: DataFrame) -> DataFrame:
@@ -306,36 +344,46 @@ def message_texts(copilot: DataFrame, export: DataFrame) -> DataFrame:
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = 6000, overlap: int = 200, size: int = 4 << 20) -> DataFrame:
-    """Rows as :func:`oversized` for UTF-8 files in a folder all executors see; row_id is the place in ``paths``.
+    """Rows as :func:`oversized` for UTF-8 files of any length; row_id is the place in ``paths``.
 
-    Workers read only their own ``size`` bytes and a halo on either side; broken bytes become replacement characters.
-    Offsets are characters of the file, summed up over the ranges before. Empty files give no rows.
+    The files are opened on the executors, by path or URI of a file system that Arrow knows (local, hdfs, s3, gs). Workers ask
+    for the files' lengths, and each reads only the ``size`` bytes of its range and what its halos need; broken bytes become
+    replacement characters. Offsets are characters of the file, summed up over the ranges before. Empty files give no rows.
     """
-    plan = []
-    for i, path in enumerate(paths):
-        total = os.path.getsize(path)
-        for no, lo in enumerate(range(0, total, size)):
-            plan.append((path, i, no, lo, min(total, lo + size), total))
-    asked = spark.createDataFrame(plan, "path string, i long, no long, lo long, hi long, total long").repartition(max(1, len(plan)))
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def whole_characters(raw: bytes, at: int) -> int:
-            while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
-                at -= 1
-            return at
+    def opened(path: str):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        return system, place
+
+    def lengths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = [system.get_file_info(place).size or 0 for system, place in map(opened, pdf["path"])]
+            yield pdf.assign(total=found)
+
+    known = spark.createDataFrame(list(enumerate(paths)), "row_id long, path string").repartition("row_id").mapInPandas(lengths, "row_id long, path string, total long")
+    last = F.floor((F.col("total") - 1) / F.lit(size))
+    asked = known.where("total > 0").withColumn("no", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("row_id", "no")
 
+    def whole(raw: bytes, at: int) -> int:
+        while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                at, to = max(0, r.lo - 4 * HALO), min(r.total, r.hi + 4 * HALO)
-                with open(r.path, "rb") as f:
-                    f.seek(at)
-                    raw = f.read(to - at)
-                lo, hi = whole_characters(raw, r.lo - at), whole_characters(raw, r.hi - at)
-                begin, end = whole_characters(raw, 4) if at else 0, whole_characters(raw, len(raw) - 4) if to < r.total else len(raw)
-                left, own, right = (x.decode("utf-8", "replace") for x in (raw[begin:lo], raw[lo:hi], raw[hi:end]))
-                yield pd.DataFrame(
-                    {"src": ["file"], "row_id": r.i, "copy": 0, "no": r.no, "final": r.hi == r.total}
-                    | {"lo": len(left), "hi": len(left) + len(own), "text": left + own + right}
-                )
-
-    return _finish(stitched(asked.mapInPandas(read, RANGES), limit, overlap))
+                begin, end = r.no * size, min(r.total, (r.no + 1) * size)
+                at, to = max(0, begin - 4 * (NEAR + 1)), min(r.total, end + 8 * (HALO + NEAR))
+                system, place = opened(r.path)
+                with system.open_input_file(place) as f:
+                    raw = f.read_at(to - at, at)
+                lo, hi = whole(raw, begin - at), whole(raw, end - at)
+                left, right = whole(raw, 4) if at else 0, whole(raw, len(raw) - 4) if to < r.total else len(raw)
+                before, own, behind = (x.decode("utf-8", "replace") for x in (raw[left:lo], raw[lo:hi], raw[hi:right]))
+                text = before + own + behind
+                a, b = context(text, len(before), len(before) + len(own))
+                yield pd.DataFrame([("file", r.row_id, 0, r.no, len(before) - a, len(before) + len(own) - a, text[a:b])], columns=RANGES.names)
+
+    return _rows_of(asked.mapInPandas(read, RANGES), limit, overlap)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,23 +198,46 @@ def test_blocks():
     ]
 
 
-@pytest.mark.parametrize("size", [64, 333, 65_536])
+@pytest.mark.parametrize("size", [64, 333, 4096])
 def test_ranges_give_the_same_blocks_and_cover_the_text(spark, size):
     rnd = random.Random(size)
     parts = MARKDOWN.replace("~~~\nnever closed\n", "").split("\n\n")
-    texts = ["\n\n".join(rnd.choice(parts) for _ in range(150)), "word " * 3000, "x" * 9000, MARKDOWN, None, ""]
+    texts = ["\n\n".join(rnd.choice(parts) for _ in range(150)), "word " * 3000, "x" * 9000, ("A line. " * 9 + "\n") * 60 + "# H\n" + "y" * 3000, MARKDOWN, None, ""]
     rows = spark.createDataFrame([("t", i, t, 3) for i, t in enumerate(texts)], "src string, row_id long, text string, no int")
     limit, overlap = 1200, 50
     out = splitting.oversized(rows, limit, overlap, size).collect()
-    for i in (0, 1, 2):
+    for i in (0, 1, 2, 3):
         t = texts[i]
+        whole = splitting.boundaries(t, 0, len(t), splitting.START, limit - overlap)
+        levels = [[b for b, _ in whole[0]], *whole[1:]]
         want = sorted(splitting.scan(t, 0, len(t), splitting.START)[0])
         assert sorted((r.start_at, r.what) for r in out if r.row_id == i and r.what != "piece") == want
         p = sorted((r.start_at, r.end_at) for r in out if r.row_id == i and r.what == "piece")
+        every = [levels[0], *(sorted(m.end() for m in f.finditer(t)) for f in (re.compile("\n"), splitting.SENTENCE, splitting.SPACE))]
+        assert p == splitting.cuts(0, len(t), levels, limit, overlap) == splitting.cuts(0, len(t), every, limit, overlap)
         assert p[0][0] == 0 and p[-1][1] == len(t) and all(0 < b - a <= limit for a, b in p)
         assert all(y[0] == x[1] - overlap for x, y in zip(p, p[1:]))
         assert t[: p[0][1]] + "".join(t[a + overlap : b] for a, b in p[1:]) == t
-    assert {r.row_id for r in out} == {0, 1, 2}
+    assert {r.row_id for r in out} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("fence", ["~~~~", "`" * 80, "~" * 1600])
+def test_fences_open_over_many_ranges(spark, fence):
+    lines = "".join("~" * n + "\n\ntext\n\n" for n in range(3, 90))
+    t = f"intro\n\n{fence}\n# no heading\n{lines}{fence}~{fence[0]}\n\nlast\n" + "end. " * 300
+    out = splitting.oversized(spark.createDataFrame([("t", 1, t)], "src string, row_id long, text string"), 500, 20, 128).collect()
+    assert sorted((r.start_at, r.what) for r in out if r.what != "piece") == sorted(splitting.scan(t, 0, len(t), splitting.START)[0])
+
+
+def test_giant_texts_are_cut_anew_by_segments(spark):
+    t = "\n\n".join(f"paragraph {i} " + "word " * 30 for i in range(200))
+    rows = spark.createDataFrame([("t", 1, t)], "src string, row_id long, text string")
+    ranges = rows.withColumn("copy", F.lit(0).cast("long")).mapInPandas(
+        lambda parts: (splitting.pd.DataFrame([("t", 1, 0, no, lo - a, min(lo + 500, len(t)) - a, t[a:b])], columns=splitting.RANGES.names) for _ in parts for no, lo in enumerate(range(0, len(t), 500)) for a, b in [splitting.context(t, lo, min(lo + 500, len(t)))]),
+        splitting.RANGES,
+    )
+    p = sorted((r.start_at, r.end_at) for r in splitting.pieces(splitting.stitched(ranges, 980), 1000, 20, segment=4000).collect())
+    assert t[: p[0][1]] + "".join(t[a + 20 : b] for a, b in p[1:]) == t and all(b - a <= 1000 for a, b in p)
 
 
 def test_files_by_byte_ranges(spark, tmp_path):
