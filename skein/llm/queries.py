@@ -41,6 +41,10 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("src", "conv_key", "msg_no", "row_id")
 
 
+def p3_fragments(spark: SparkSession, root: str) -> DataFrame:
+    return conv.delivery_report(table(spark, root, "copilot_session"), table(spark, root, "claude_export"))
+
+
 def _oversized(spark: SparkSession, root: str) -> DataFrame:
     return splitting.oversized(_messages(spark, root))
 
@@ -91,7 +95,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_masked, p2_found, p2_survivors, p2_consensus, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p1_found, p1_masked, p2_found, p2_survivors, p2_consensus, p3_found, p3_fragments, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 _INVISIBLE = r"\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{034F}\x{FE00}-\x{FE0F}"

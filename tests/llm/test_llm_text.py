@@ -150,6 +150,21 @@ def test_overlapping_fragments_join_where_it_is_unambiguous(spark):
 
 
 
+def test_exports_of_several_days_are_assembled(spark):
+    u, a = "user.message", "assistant.message"
+    day = 86_400
+    m = [("over", i, (u, a)[i % 2], f"o{i}", "t", day * d + i) for d, (lo, hi) in enumerate([(0, 6), (4, 10), (9, 12)]) for i in range(lo, hi)]
+    m += [("apart", i, (u, a)[i % 2], f"p{i}", "t", day * d + i) for d, (lo, hi) in enumerate([(0, 4), (4, 8)]) for i in range(lo, hi)]
+    m += [("once", 0, u, "x", "t", 0), ("once", 1, a, "y", "t", 1)]
+    rows = build(m, spark)
+    none = spark.createDataFrame([], EXPORT)
+    got = {r.conv_key: (r.fragments, r.edges, r.whole) for r in conv.assembled(conv.deliveries(conv.message_rows(rows, none))).collect()}
+    assert got == {"over": (3, 2, True), "apart": (2, 0, False), "once": (1, 0, True)}
+    report = conv.delivery_report(rows, none).collect()
+    assert [tuple(r) for r in report] == [("copilot_session", 3, 2, 5, 2, 1)]
+    assert conv.delivery_report(rows.where("false"), none).count() == 0
+
+
 def test_written_times(spark):
     rows = [("2026-01-01T00:00:00Z", 1767225600), ("2026-01-01 00:00:00", 1767225600), ("1767225600000", 1767225600), ("2026-01-01T09:00:00+09:00", 1767225600), ("unknown", None), ("0000-00-00T00:00:00Z", None), ("", None), (None, None)]
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", conv.instant(F.col("t")).alias("v"))
