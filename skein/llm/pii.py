@@ -42,16 +42,16 @@ EXPECTED = {
 EXPECTED_WEIGHT = 300
 
 # Given names, common and across languages.
-GIVEN = """Aaron Ada Adam Ahmed Aiko Alan Alex Alice Amara Amir Amy Ana André Andrew Anita Anna Anselm Anthony Antonio Art Arthur
-Ayşe Barbara Ben Bettina Bill Bob Björn Bruno Carl Carla Carlos Carmen Chase Chen Chloe Chris Christine Cillian Clara Claire
-Daniel David Dawn Deborah Delphine Diego Dmitri Edward Elena Elif Elizabeth Emeka Emily Emma Eric Eva Fatima Felix Fjola Frank
-Fritz George Giulia Goran Grace Greta Hana Hannah Hans Hassan Helen Henry Hiroshi Hugo Iker Ines Ingrid Irina Isabel Ivan Ivo Jack
-Jakob James Jan Jane Javier Jean Jennifer Jessica Jim Joan Joe John Jonas Jorge Jorun José Joseph Juan Julia Karen Kate Katya
+GIVEN = """Aaron Ada Adam Ahmed Aiko Alan Alex Alice Amara Amir Amy Ana André Andrew Anita Anna Anthony Antonio Art Arthur
+Ayşe Barbara Ben Bettina Bill Bob Björn Bruno Carl Carla Carlos Carmen Chase Chen Chloe Chris Christine Clara Claire
+Daniel David Dawn Deborah Diego Dmitri Edward Elena Elif Elizabeth Emily Emma Eric Eva Fatima Felix Frank
+Fritz George Giulia Grace Greta Hana Hannah Hans Hassan Helen Henry Hiroshi Hugo Ines Ingrid Irina Isabel Ivan Ivo Jack
+Jakob James Jan Jane Javier Jean Jennifer Jessica Jim Joan Joe John Jonas Jorge José Joseph Juan Julia Karen Kate Katya
 Kenji Kevin Klaus Kofi Lars Laura Leila Leo Liam Liang Linda Lisa Louis Luca Lucía Lukas Luis Magda Marco Maria Mark Marta Mary
-Mateo Max May Mei Mia Michael Miguel Mila Mohammed Nadia Nina Noah Noor Nuno Odile Oliver Olga Omar Oskar Pablo Patricia Paul
-Pavel Pedro Peter Petra Pierre Piotr Priya Quentin Rachel Rahul Renée Rich Richard Rob Robert Rosa Rune Sana Sara Sarah Sergei
-Siobhan Sofia Susan Sven Tariq Théo Thomas Tim Tom Tove Ulla Vikram Wanjiru Wei Will William Yara Yuki Yusuf Zofia"""
-GIVEN_HAN = """葉月 玲音 聡一 ミラ 太郎 花子 健太 翔太 美咲 さくら 大輔 直樹 陽子 恵子 由美 真一 健 誠 愛 結衣 伟 芳 娜 敏 静 丽 强 磊 洋 艳 勇 军 杰 娟 涛 明 超
+Mateo Max May Mei Mia Michael Miguel Mila Mohammed Nadia Nina Noah Noor Oliver Olga Omar Oskar Pablo Patricia Paul
+Pavel Pedro Peter Petra Pierre Piotr Priya Rachel Rahul Renée Rich Richard Rob Robert Rosa Rune Sana Sara Sarah Sergei
+Siobhan Sofia Susan Sven Tariq Théo Thomas Tim Tom Ulla Vikram Wei Will William Yara Yuki Yusuf Zofia"""
+GIVEN_HAN = """太郎 花子 健太 翔太 美咲 さくら 大輔 直樹 陽子 恵子 由美 真一 健 誠 愛 結衣 伟 芳 娜 敏 静 丽 强 磊 洋 艳 勇 军 杰 娟 涛 明 超
 秀英 建国 建华 志强 小明 晓东"""
 GIVEN_OTHER = "Анна Борис Виктор Елена Зоя Иван Мила Мария Наталья Ольга Павел Пётр Сергей Тимур Юрий"
 # Capitalised words that are no part of a name.
@@ -138,19 +138,20 @@ ADDRESS = [
     ),
     (r"(?<![\p{L}\d\-./:])\d{1,4}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|quai|impasse|place|boulevard|chemin|allée|cours|route|square|passage|villa)(?:\s(?:de|du|des|la|le|les)){0,2}\s\p{L}[\p{L}'’\-]*(?:\s\p{Lu}[\p{L}'’\-]*)?", True),
     (
-        r"(?<!\p{L})(?:\p{Lu}[\p{L}\-]*(?:straße|strasse|str\.|gasse|platz|weg|allee|ring|damm|ufer|markt|tor)|(?:Am|An\sder|An\sden|Im|In\sder|Zum|Zur|Auf\sdem|Auf\sder|Unter\sden)\s\p{Lu}[\p{L}\-]+)\s\d{1,4}\s?\p{Ll}?(?![\p{L}\d])",
+        r"(?<!\p{L})(?:\p{Lu}[\p{L}\-]*(?:straße|strasse|str\.|gasse|platz|weg|allee|ring|damm|ufer|markt|tor|straat|laan|plein|gracht|kade|dijk|gatan|vägen|gränd|torget|gade|vej|veien)|(?:Am|An\sder|An\sden|Im|In\sder|Zum|Zur|Auf\sdem|Auf\sder|Unter\sden)\s\p{Lu}[\p{L}\-]+)\s\d{1,4}\s?\p{Ll}?(?![\p{L}\d])",
         True,
     ),
     (
         r"(?<!\p{L})(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Ronda|Carrera|Travesía|Rua|Via|Viale|Piazza|Largo)\s(?:(?:de|del|la|las|los|el|da|do|di)\s)*\p{L}[\p{L}'’\-]*(?:\s\p{L}[\p{L}'’\-]*){0,3}?,?\s\d{1,4}",
         True,
     ),
+    (r"(?<!\p{L})(?:ul\.|al\.|pl\.|os\.)\s\p{Lu}[\p{L}\-]+(?:\s\p{Lu}[\p{L}\-]+)?\s\d{1,4}\p{L}?(?:/\d+)?(?![\p{L}\d])", True),
     (r"(?<!\p{L})(?:ул|улица|пр|просп|пр-т|пер|наб|бул|пл|ш)\.?\s\p{L}[\p{L}\-]+(?:\s\p{L}+)?,\sд\.?\s?\d+", True),
     (r"[\p{Han}ヶ々]{1,4}[都道府県][\p{Han}ヶ々ケ]{1,8}[市区町村郡][\p{Han}ヶ々\p{Katakana}ー]{0,8}\d+(?:[-－丁目番地号]\d*)*", True),
     (r"(?:\p{Han}{2,6}[省市])?\p{Han}{2,6}[市区县]\p{Han}{2,8}[路街道巷]\d+[号號弄]", True),
     (r"(?<!\p{L})(?:P\.?\s?O\.?\sBox|PO\sBox|Post\sOffice\sBox|Postfach|Apartado|Casilla|BP)\s\d{1,6}", True),
 ]
-ADDRESS = [regex.compile(p, regex.IGNORECASE if i == 0 or i == 7 else 0) for i, (p, _) in enumerate(ADDRESS)]
+ADDRESS = [regex.compile(p, regex.IGNORECASE if i == 0 or i == len(ADDRESS) - 1 else 0) for i, (p, _) in enumerate(ADDRESS)]
 
 _CAP = r"(?:[OD]['’]|Mc|Mac)?\p{Lu}\p{Ll}+(?:['’\-](?:[OD]['’])?\p{Lu}\p{Ll}+)*"
 _PART = r"(?:(?:de|del|della|di|da|dos|du|van|von|der|den|la|le|el|al|bin|ibn|ben|zu|y)[ ]|(?:al|el|as|ibn|bin)-)"
@@ -177,43 +178,70 @@ def _tree(words: list[str]) -> str:
 LOWER = regex.compile(
     r"(?<![\p{Latin}\p{Cyrillic}\p{N}_@./\-+])(" + _tree(sorted({x.lower() for x in _G})) + rf")[ ](?:\p{{Ll}}\.[ ])?{_PART}*\p{{Ll}}[\p{{Ll}}'’\-]{{3,}}(?![\p{{Latin}}\p{{Cyrillic}}\p{{N}}_@.]\p{{L}})"
 )
+#: Two or three words in small letters right after what announces a person, where nothing but a person's data follows.
+LABELLED = regex.compile(
+    r"(?i:(?<![\p{L}\p{N}_])(?:(?:owner|author|name|assignee|reviewer|contact|signed|user)\s?[:=]\s?[\"']?|(?:user|name|owner),|(?:reported by|(?:reviewer|owner|author|assignee) (?:is|was)|ticket from|invoice for|belongs to|talked to|spoke to|thanks,?|regards,?|cheers,?|hi|hello|dear|ask|ping|bitte|llama a|demandez à|écrivez à|call|reach)\s))"
+    r"(?P<name>\p{Ll}[\p{Ll}'’\-]+(?:[ ]\p{Ll}\.)?[ ]\p{Ll}[\p{Ll}'’\-]+(?:[ ]\p{Ll}[\p{Ll}'’\-]+)?)(?=\s*(?:$|[\n,;)\"'<(\]]|\.(?:\s|$))|\s(?:unter|al|on|au|at|under)\s[+(\d])",
+    regex.MULTILINE,
+)
+# The most common Chinese family names.
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_COMPOUND = "欧阳|司马|上官|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐"
 _HAN_GIVEN = "|".join(sorted(GIVEN_HAN.split(), key=len, reverse=True))
-_HAN_START = r"(?:(?<=请找|请联系|联系|致电|担当は|は|我是|叫)|(?<![\p{Han}\p{Katakana}\p{Hiragana}ー々]))"
+_HAN_CUE = r"请找|请联系|请问|联系人|联系|致电|找|叫|问|我是|担当は|担当者は|は|、"
+_HAN_START = rf"(?:(?<={_HAN_CUE})|(?<![\p{{Han}}\p{{Katakana}}\p{{Hiragana}}ー々]))(?!{_HAN_CUE}|[我你您他她它这那本该])"
 HAN = regex.compile(
-    rf"{_HAN_START}(?:(?P<known>[\p{{Han}}ヶ々]{{1,4}}?[ \u3000]?(?:{_HAN_GIVEN}))|(?P<cued>[\p{{Han}}ヶ々]{{1,3}}[ \u3000][\p{{Han}}\p{{Katakana}}ー]{{1,4}}|[\p{{Han}}ヶ々]{{2,4}}))"
-    r"(?=$|[^\p{Han}\p{Katakana}ー々]|[为请没每我空旧新共])",
+    rf"{_HAN_START}(?:(?P<known>[\p{{Han}}ヶ々]{{1,4}}?[ \u3000]?(?:{_HAN_GIVEN}))"
+    rf"|(?P<family>(?:{_COMPOUND}|[{SURNAMES}])\p{{Han}}{{1,2}}?)"
+    rf"|(?P<cued>[\p{{Han}}ヶ々]{{1,4}}[ \u3000]?[\p{{Han}}\p{{Katakana}}][\p{{Han}}\p{{Katakana}}ー]{{0,4}}))"
+    r"(?=$|[^\p{Han}\p{Katakana}ー々]|[为请没每我空旧新共说在和的])",
     regex.MULTILINE,
 )
 
 # --- words before and after -------------------------------------------------------------------------------------------
 
-BEFORE = {
-    "email": re.compile(r"(?i)(?:mail(?:to)?|e-?mail|контакт|contact|reach|write|écrivez|邮箱|メールは|to|from|at|use|or|and|cc|by|ping|forward|for|user|login|author|owner|ssn|<|\(|[:=])[\s:=<(\"'“]*$"),
-    "phone": re.compile(r"(?i)(?:tel|tél|phone|call|contact|fax|mobile|handy|cell|text me|sms|whatsapp|reach\w*|under|unter|dial|ring|ping .{1,40} on|llama .{1,40} al|bitte .{1,40}|demandez .{1,40}|позвоните .{1,40}|тел|电话是?|電話は?|手机号?|número)[\s.:=,“\"'(]*(?:unter|al|on|under|is|是)?[\s.:=“\"']*$"),
-    "identity": re.compile(r"(?i)(?:ssn|nin|nino|dni|nie|cpf|ausweis\w*|nummer|steuer-?id\w*|sécu\w*|passport|passeport|pasaporte|id[_ -]?(?:number|no|nr|card)?|insurance no|national|aadhaar|tax\w*|social|身份证号码?|identity|identification|number|it is|personal\w*|паспорт|инн|снилс)[\s.:=#“\"'(]*(?:hat die nummer|lautet|es|is|no\.?|number|nr\.?)?[\s.:=“\"']*$"),
-    "address": re.compile(r"(?i)(?:live[sd]? (?:at|in)|living (?:at|in)|home|address|addr|ship .{1,40} to|goes to|went to|sent? to|deliver\w* to|wohne hier|wohnt?|adresse?|dirección(?: es)?|domicilio|адрес|живу|zip|住所は?|地址是?|located at|resid\w+ (?:at|in)|package .{1,20} to)[\s.:=,“\"'(]*$"),
-    "name": re.compile(r"(?:(?i:thanks|regards|cheers|hi|hello|hey|dear|cc|bcc|to|from|by|ask|ping|frag|bitte|llama a|demandez à|écrivez à|appelez|позвоните|call|contact|reach|owner|author|name|user|whois|said|reviewer was|talked to|met|belongs to|invoice for|ticket from|signed-off-by|reviewed-by|and|for|with|of|mr\.?|mrs\.?|ms\.?|dr\.?|prof\.?|sr\.?|sra\.?|herr|frau|mme)[\s:,=“\"'<]*|担当は|请找|找|\] <|[,(/] ?|name: \"|[\"=<])$"),
+# Words that announce a mention, that follow one, and that tell it is something else, by kind.
+ANNOUNCE = {
+    "email": "mail|mailto|e-mail|контакт|contact|reach|write|écrivez|邮箱|メールは|to|from|at|use|or|and|cc|by|ping|forward|for|user|login|author|owner|<|[(]|[:=]",
+    "phone": "tel|tél|phone|call|contact|fax|mobile|handy|cell|text me|sms|whatsapp|reach|dial|ring|under|unter|al|on|тел|по телефону|电话是?|電話は?|手机号?|número|number|au|anrufen",
+    "identity": "ssn|nin|nino|dni|nie|cpf|ausweis[a-z]*|personalausweis|nummer|steuer-?id[a-z]*|sécu[a-zé]*|passport|passeport|pasaporte|id|insurance no|national|aadhaar|tax[a-z]*|social|身份证号码?|identity|identification|number|it is|personal[a-z]*|паспорт|инн|снилс",
+    "address": "live[sd]? (?:at|in)|living (?:at|in)|home|address|addr|ship[a-z]* (?:it |them |this )?to|goes to|went to|sent? to|deliver[a-z]* to|wohne hier|wohnt?|adresse?|dirección(?: es)?|domicilio|адрес|живу|zip|住所は?|地址是?|located at|resid[a-z]+ (?:at|in)|to",
+    "name": "thanks|thank you|regards|cheers|hi|hello|hey|dear|cc|bcc|to|from|by|ask|tell|meet|ping|frag|fragen sie|bitte|llama a|pregunta a|demandez à|écrivez à|appelez|позвоните|call|contact|reach|owner|author|name|user|whois|said|with|reviewer (?:is|was)|met|talked to|spoke (?:to|with)|belongs to|invoice for|ticket from|signed-off-by|reviewed-by|co-authored-by|and|for|of|mr[.]?|mrs[.]?|ms[.]?|dr[.]?|prof[.]?|sr[.]?|sra[.]?|herr|frau|mme",
 }
+_BETWEEN = r"[\s.:=#,“\"'(<]*(?:unter|al|on|under|is|es|lautet|est|是|no\.?|nr\.?|number)?[\s.:=“\"'(<]*$"
+BEFORE = {k: re.compile(rf"(?i)(?<![^\W\d_])(?:{v}){_BETWEEN}" if k != "email" else rf"(?i)(?:{v})[\s:=<(\"'“]*$") for k, v in ANNOUNCE.items()}
+#: A phone number is also announced by a name and a word such as "on" before it.
+BEFORE["phone"] = re.compile(BEFORE["phone"].pattern + r"|(?i:(?<![^\W\d_])(?:ping|call|llama a|bitte|demandez|позвоните)\s[^\n.]{1,40}\s(?:on|al|au|unter|under|по)\s*$)")
+BEFORE["identity"] = re.compile(BEFORE["identity"].pattern + r"|(?i:(?:id|ausweis|pass|card|carte|karte)[^\n.]{0,40}\s(?:nummer|number|numéro|número)\s*$)")
+BEFORE["address"] = re.compile(BEFORE["address"].pattern + r"|(?i:(?:ship|send|deliver|package|parcel)[^\n.]{1,40}\sto\s*$)")
+BEFORE["name"] = re.compile(BEFORE["name"].pattern + "|担当は$|请找$|找$|\\] <$|[,(/] ?$|name: \"$|[\"=<]$")
+#: What announces a person and hardly anything else.
+CUE = re.compile(r"(?i)(?:^|[^\w])(?:thanks|thank you|regards|cheers|hi|hello|hey|dear|ask|tell|ping|frag|llama a|demandez à|appelez|позвоните|call|owner|author|reviewer|assignee|mr\.?|mrs\.?|ms\.?|dr\.?|herr|frau|mme|talked to|spoke (?:to|with)|met with|ticket from|invoice for|belongs to|bitte|(?:reviewer|owner|author) (?:is|was)|signed-off-by|reviewed-by)[\s:,]+$|(?:name|user|owner|author|assignee|reviewer)\s?[=:,]\s?[\"']?$")
+_END = r"[\s]*(?:[,.;\"')?!。，」]|$)"
 AFTER = {
     "email": re.compile(r"[\s>)\"',.;:?&」。）]|$"),
-    "phone": re.compile(r"(?i)\s*(?:ext|anrufen|if|or|before|please|,|\.|;|\"|'|\)|。|，|です|$)"),
-    "identity": re.compile(r"(?i)\s*(?:,|\.|;|\"|'|\)|belongs|, is that masked|was in|stored|in the|\?|。|，|$)"),
+    "phone": re.compile(rf"(?i){_END}|\s*(?:ext|anrufen|if|or|before|after|please|です)\b"),
+    "identity": re.compile(rf"(?i){_END}|\s*(?:belongs|is|was|stored|saved|kept|logged|shown|masked)\b"),
     "address": re.compile(r"(?i)[.,]?\s*(?:,\s?\d|,\s?[^\W\d]|\n[^\W\d])"),
-    "name": re.compile(r"(?i)\s?(?:<|>|\(|,\s?(?:living|reachable|tél|warum|\d|\+|\(|[^\W\d_]+ (?:st|street|lane|road|ave))|;|\"|'|:\s|\n|$|left\b|wrote\b|disagree\b|and\b[^.\n]{2,40} disagree|and\b[^.\n]{2,40} about the|approved|said|unter\b|al \+?\d|on [+(\d]|at \S+(?:@| at|\()|/|、|。|，|,)"),
+    "name": re.compile(r"(?i)\s?(?:<|>|\(|,\s?(?:\d|\+|\(|[^\W\d_]+ing\b|tél|[^\W\d_]+ (?:st|street|lane|road|ave))|;|\"|'|:\s|\n|$|(?:left|wrote|approved|said|asked|thinks|agrees?|disagrees?|unter|a dit|dijo|sagte)\b|and\b[^.\n]{2,40}\b(?:agree|disagree|about|wrote|said)|al [+(\d]|on [+(\d]|at \S+(?:@| at|\()|/|、|。|，|,)"),
 }
+# What a number is the number of, where it is nobody's.
+_COUNTED = r"entries|rows|bytes|files|items|times|records|lines|tokens|points|tests|runs|errors|ms|seconds|days|%"
+_NUMBERED = r"part no\.?|build|node|port|commit|run|set \w+ =|\w+ = |version|\bv|line|step|issue|pin|order|sku|serial|#|item|rev|release|page|isbn|wrote"
+_TOLD = r"is (?:only |just )?an? (?:\w+ )?(?:label|id|key|code|version|hash|tag)|is (?:green|red|broken|failing|passing)"
 AGAINST_BEFORE = {
     "email": re.compile(r"(?i)(?:clone|git|ssh|scp|pull|push|fetch|remote|pin|install|npm|pip|import|@)\s*$"),
-    "phone": re.compile(r"(?i)\b(?:part no\.?|build|node|port|commit|run|set \w+ =|\w+ = |version|v|line|step|issue|pin|order|sku|serial|#|item|rev|release|page|wrote|isbn|id)\s*$"),
-    "identity": re.compile(r"(?i)\b(?:part no\.?|build|node|port|commit|run|set \w+ =|version|\bv|line|step|issue|pin|order|sku|serial|#|item|rev|release|page|wrote|isbn)\s*$"),
-    "address": re.compile(r"(?i)(?:section|chapter|line|step|version|v|page|test|build|part|no\.|limit is|holds|keeps?|scores|drops)\s*$"),
-    "name": re.compile(r"(?i)(?:section \d+|chapter|the|a|an|der|die|das|le|la|el|queue|nobody noticed that|i think)\s*$"),
+    "phone": re.compile(rf"(?i)\b(?:{_NUMBERED}|id)\s*$"),
+    "identity": re.compile(rf"(?i)\b(?:{_NUMBERED})\s*$"),
+    "address": re.compile(r"(?i)(?:section|chapter|line|step|version|v|page|test|build|part|no\.|(?:limit|size|count|total|score) (?:is|was|of))\s*$"),
+    "name": re.compile(r"(?i)(?:section \d+|chapter|the|a|an|der|die|das|le|la|el|queue|that|i think)\s*$"),
 }
 AGAINST_AFTER = {
     "email": re.compile(r":[^\s/]+/|:\d|/"),
-    "phone": re.compile(r"(?i)\s*(?:is only a label|is green|is an? \w+ id|entries|rows|stay|broke|wrote|bytes|ms\b|%)"),
-    "identity": re.compile(r"(?i)\s*(?:is only a label|is green|is an? \w+ id|entries|rows|stay|broke|wrote|bytes|ms\b|%)"),
-    "address": re.compile(r"(?i)\s*(?:milestone|pattern|rows|entries|tokens|files|days)\b"),
-    "name": re.compile(r"\s(?:milestone|Pattern|Period|Street|Queue|Bridge|Inc|Ltd|GmbH|Corp|Road|Lane|Avenue|Court)\b"),
+    "phone": re.compile(rf"(?i)\s*(?:{_TOLD}|(?:{_COUNTED})\b)"),
+    "identity": re.compile(rf"(?i)\s*(?:{_TOLD}|(?:{_COUNTED})\b)"),
+    "address": re.compile(rf"(?i)\s*(?:(?:{_COUNTED}|milestone|release|project|pattern|team)\b)"),
+    "name": re.compile(r"\s(?:[Mm]ilestone|[Pp]roject|[Tt]eam|Pattern|Period|Street|Queue|Bridge|Inc|Ltd|GmbH|Corp|Road|Lane|Avenue|Court)\b"),
 }
 
 
@@ -250,6 +278,9 @@ def _names(text: str) -> Iterator[tuple[int, int, dict]]:
         words = text[a:b].replace("-", " ").split()
         if kind == "one":
             if words[0] not in _G:
+                # any other capitalised word may be a name where one is announced; what it is worth is estimated
+                if words[0] not in _COMMON and len(words[0]) > 2 and CUE.search(text[max(0, a - 30) : a]):
+                    yield a, b, {"form": 0, "gazetteer": 0, "against": 0}
                 continue
             doubtful = words[0] in _COMMON or words[0].lower() in _WORDS
             begins = doubtful and _sentence_begins(text, a)
@@ -260,6 +291,8 @@ def _names(text: str) -> Iterator[tuple[int, int, dict]]:
             spaced = [(x.start(), x.end(), x.group()) for x in re.finditer(r"\S+", text[a:b])]
             while len(spaced) > 1 and spaced[0][2] in _COMMON and not (spaced[0][2] in _G and spaced[1][2] not in _COMMON and not spaced[1][2] in _G):
                 spaced.pop(0)
+            if len(spaced) > 1 and spaced[0][2] not in _G and CUE.fullmatch(spaced[0][2] + " "):
+                spaced.pop(0)
             given = [i for i, x in enumerate(spaced) if x[2] in _G]
             if given and given[0] and given[0] < len(spaced) - 1:
                 spaced = spaced[given[0] :]
@@ -270,6 +303,8 @@ def _names(text: str) -> Iterator[tuple[int, int, dict]]:
             if len(names) == 1:
                 if names[0] in _G and names[0] not in _COMMON | {"May", "Will", "Mark"}:
                     yield a, b, {"form": 0, "gazetteer": 1, "against": 0}
+                elif names[0] not in _COMMON and len(names[0]) > 2 and CUE.search(text[max(0, a - 30) : a]):
+                    yield a, b, {"form": 0, "gazetteer": 0, "against": 0}
                 continue
             common = sum(x in _COMMON for x in names if x not in _G)
             known = any(x in _G for x in names)
@@ -285,11 +320,18 @@ def _names(text: str) -> Iterator[tuple[int, int, dict]]:
     for m in LOWER.finditer(text):
         weak = m.group(1) in _WORDS
         yield m.start(), m.end(), {"form": int(not weak), "gazetteer": 1, "against": 0}
+    for m in LABELLED.finditer(text):
+        if any(w.capitalize() in _COMMON for w in m.group("name").split()):
+            continue
+        yield *m.span("name"), {"form": 0, "gazetteer": int(m.group("name").split()[0] in _LOW), "against": 0}
     for m in HAN.finditer(text):
-        if m.lastgroup == "cued" and not (BEFORE["name"].search(text[max(0, m.start() - 30) : m.start()]) and regex.match(r"[\"'<>,(;/|、]|\s?[<(]|$", text, pos=m.end())):
+        cued = regex.search(rf"(?:{_HAN_CUE})$", text[max(0, m.start() - 4) : m.start()])
+        if m.lastgroup == "family" and not cued and not regex.match(r"[\"'<>,(;/|、]|\s?[<(]|$", text, pos=m.end()):
+            continue
+        if m.lastgroup == "cued" and not (BEFORE["name"].search(text[max(0, m.start() - 30) : m.start()]) and regex.match(r"\W|\p{Hiragana}|[为请没每我空旧新共说在和的]|$", text, pos=m.end())):
             continue
-        known = m.lastgroup == "known" and m.end() - m.start() >= 3
-        yield m.start(), m.end(), {"form": int(known), "gazetteer": 1 if known else -1, "against": 0}
+        known = m.lastgroup == "known" and m.end() - m.start() >= 3 or m.lastgroup == "family" and bool(cued)
+        yield m.start(), m.end(), {"form": int(known), "gazetteer": int(known), "against": 0}
 
 
 def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
@@ -370,7 +412,6 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
     (votes, count), with the expected vote shares as EXPECTED_WEIGHT earlier candidates of either truth."""
     votes = np.array([p for p, _ in patterns]) + 1
     count = np.array([n for _, n in patterns], dtype=float)
-    count *= min(1.0, 20_000 / count.sum())
     expected = np.array([EXPECTED[x] for x in LABELERS])[:, ::-1]  # false, true
     table, share, at = expected.copy(), 0.6, np.arange(len(LABELERS))
     for _ in range(rounds):
@@ -406,9 +447,13 @@ def train(rows: list[tuple[tuple[int, ...], list[int], float]], rounds: int = 20
     return weights
 
 
-def chance(weights: np.ndarray, votes: list[int], slots: list[int]) -> float:
+def chances(weights: np.ndarray, kind: np.ndarray, votes: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The classifiers' (rows of ``weights``, by kind) answers for candidates: their votes in rows, their ``counts`` of slots one after
+    the other; one product over all of them."""
     base = 3 * len(LABELERS)
-    z = weights[base + SLOTS] + sum(weights[3 * j + v + 1] for j, v in enumerate(votes)) + sum(weights[base + s] for s in slots)
+    owner = np.repeat(np.arange(len(kind)), counts)
+    z = weights[kind, base + SLOTS] + weights[kind[:, None], 3 * np.arange(len(LABELERS)) + votes + 1].sum(axis=1)
+    z += np.bincount(owner, weights[kind[owner], base + slots], len(kind))
     return 1 / (1 + np.exp(-z))
 
 
@@ -487,24 +532,41 @@ def mentions(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     found = cut(candidate_rows(texts), "candidates")
     models, _ = fit(found, sample)
+    weights = np.stack(models)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for src, row_id, own in zip(*(batch.column(c).to_pylist() for c in ("src", "row_id", "found"))):
-                good = []
-                for c in own:
-                    p = chance(models[c["k"]], c["votes"], c["slots"])
-                    if p >= 0.5:
-                        good.append((c["k"], c["a"], c["b"], p))
-                rows += [(src, row_id, KINDS[k], a, b) for k, a, b in resolve(good)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["src", "row_id", "kind", "start_at", "end_at"])
+            flat = batch.column("found").flatten()
+            kind, start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b"))
+            votes = flat.field("votes").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LABELERS))
+            slots, counts = flat.field("slots").flatten().to_numpy(zero_copy_only=False), flat.field("slots").value_lengths().to_numpy(zero_copy_only=False)
+            p = chances(weights, kind, votes, slots, counts)
+            row = np.repeat(np.arange(batch.num_rows), batch.column("found").value_lengths().to_numpy(zero_copy_only=False))
+            own: dict[int, list] = {}
+            for i in np.flatnonzero(p >= 0.5).tolist():
+                own.setdefault(int(row[i]), []).append((int(kind[i]), int(start[i]), int(end[i]), float(p[i])))
+            kept = [(r, *m) for r, spans in own.items() for m in resolve(spans)]
+            rows, kinds, starts, ends = zip(*kept) if kept else ((), (), (), ())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("src").take(at), batch.column("row_id").take(at), pa.array([KINDS[k] for k in kinds], pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                names=["src", "row_id", "kind", "start_at", "end_at"],
+            )
 
     return found.mapInArrow(judge, "src string, row_id long, kind string, start_at long, end_at long")
 
 
+def reliabilities(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Rows (kind, labeler, truth, vote, expected, estimated): the share of each vote on true and on false candidates, as expected
+    beforehand and as estimated from these texts."""
+    _, notes = fit(cut(candidate_rows(texts), "candidates"), sample)
+    rows = [
+        (n["kind"], x, bool(y), v - 1, float(EXPECTED[x][1 - y][v]), float(n[x][y][v]))
+        for n in notes if "share" in n for x in LABELERS for y in (0, 1) for v in range(3)
+    ]
+    return texts.sparkSession.createDataFrame(rows, "kind string, labeler string, truth boolean, vote int, expected double, estimated double")
+
+
 def masked(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(src, row_id, text) with every mention of ``found`` replaced by its kind in capitals in square brackets."""
     spans = found.groupBy("src", "row_id").agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("m"))

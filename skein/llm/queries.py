@@ -24,6 +24,10 @@ def p1_masked(spark: SparkSession, root: str) -> DataFrame:
     return pii.masked(texts, pii.mentions(texts))
 
 
+def p1_labelers(spark: SparkSession, root: str) -> DataFrame:
+    return pii.reliabilities(_messages(spark, root))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return representative.field_origins(representative.survivors(table(spark, root, "nodes")))
 
@@ -95,7 +99,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_masked, p2_found, p2_survivors, p2_consensus, p3_found, p3_fragments, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p1_found, p1_masked, p1_labelers, p2_found, p2_survivors, p2_consensus, p3_found, p3_fragments, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
 }
 
 _INVISIBLE = r"\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{034F}\x{FE00}-\x{FE0F}"

@@ -70,6 +70,39 @@ def test_mentions_and_masking(spark):
             assert masked[i] == t
 
 
+HELD_OUT = "Saoirse Kinsella|Ngozi Okafor|Thandiwe Mbeki|Zbigniew Kowalczyk|Ximena Ortega|Oluwaseun Adeyemi|Ragnhild Solberg|Tamsin Wetherby|Bartosz Zielinski|Xochitl Reyes"
+FRAMES = [
+    "Thanks, {first}", "Hi {first},\nthe index is slow.", "Please ask {full} about the logs.", "Signed-off-by: {full} <x@y.org>", "owner: {lower}", "Dear {full},", "Ping {first} before the merge.",
+    "{full} wrote the parser.", "I met {full} and we fixed it.", "Call {full} on +44 20 7946 0958.", "author={first}", "cc {full}", "Mrs. {last} called.", "Reviewed-by: {full}",
+]
+
+
+def test_held_out_names_in_held_out_frames(spark):
+    base = [r.text for r in splitting.message_texts(spark.read.parquet(f"{ROOT}/copilot_session.parquet"), spark.read.parquet(f"{ROOT}/claude_export.parquet")).collect()]
+    texts, want = list(base), {}
+    for name in HELD_OUT.split("|"):
+        first, last = name.split()
+        assert first not in pii.GIVEN.split()
+        for frame in FRAMES:
+            want[len(texts)] = {"first": first, "full": name, "lower": name.lower(), "last": last}[frame.split("{")[1].split("}")[0]]
+            texts.append(frame.format(first=first, full=name, lower=name.lower(), last=last))
+    plain = ["The Cache is slow.", "Call the server again.", "Ask for the token.", "Hi there, the Parser failed.", "Thanks for the quick fix.", "owner: data team", "To Do: rename it."]
+    texts += plain
+    rows = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "src string, row_id long, text string")
+    got = pairs_of(texts, pii.mentions(rows))
+    right = sum(("name", w) in got.get(i, set()) for i, w in want.items())
+    assert right >= 0.9 * len(want)
+    assert sum(len(got.get(len(texts) - 1 - i, ())) for i in range(len(plain))) <= 1
+
+
+def test_names_and_addresses_of_more_languages():
+    for text, kind, span in [
+        ("担当は紗英です。", 4, "紗英"), ("请找欧阳明月。", 4, "欧阳明月"), ("请找王伟。", 4, "王伟"), ("Prinsengracht 263, 1016 Amsterdam", 3, "Prinsengracht 263, 1016 Amsterdam"),
+        ("ul. Marszałkowska 10 jest", 3, "ul. Marszałkowska 10"), ("Storgatan 12, Malmö", 3, "Storgatan 12, Malmö"),
+    ]:
+        assert (kind, span) in [(k, text[a:b]) for k, a, b, *_ in pii.candidates(text)]
+
+
 def test_no_texts_no_mentions(spark):
     empty = spark.createDataFrame([], "src string, row_id long, text string")
     assert pii.mentions(empty).count() == 0
