@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from skein import rules
 
@@ -39,7 +44,7 @@ def all_matches(col: Column, pattern: str, group: int = 1) -> Column:
 
 def code_blocks(col: Column) -> Column:
     """Fenced blocks as an array of (language, content): aliases resolved, no language is text."""
-    fence = r"(?s)```(\w*)\n(.*?)```"
+    fence = rules.FENCE
     language = F.transform(
         all_matches(col, fence, 1),
         lambda x: rules.lookup(rules.LANGUAGES, F.lower(x), None),
@@ -72,16 +77,30 @@ def symbols(col: Column, language: str, most: int = 20) -> Column:
 
 def urls(col: Column, most: int = 10) -> Column:
     """Distinct addresses in order, without marks at their end."""
-    found = F.transform(all_matches(col, r"(https?://[^\s'\"<>)]+)"), lambda x: F.regexp_replace(x, r"[.,;)]+$", ""))
+    found = F.transform(all_matches(col, rules.URL, 0), lambda x: F.regexp_replace(x, r"[.,;)]+$", ""))
     return F.slice(F.array_distinct(found), 1, most)
 
 
-FILE_REF = r"(?md)(?:^|[\s`\"'])((?:\.{1,2}/|/|[A-Za-z]:[/\\])[A-Za-z0-9._/\\-]+\.[A-Za-z]{1,6})(?::(\d+))?"
+#: Line breaks are newlines only.
+FILE_REF = rules.FILE_REF.replace("(?m)", "(?md)")
 
 
 def file_refs(col: Column, most: int = 10) -> Column:
     """Distinct paths in order."""
-    return F.slice(F.array_distinct(all_matches(col, FILE_REF)), 1, most)
+    return F.transform(file_mentions(col, most), lambda x: x["path"])
+
+
+def file_mentions(col: Column, most: int = 10) -> Column:
+    """(path, line, language) of the distinct paths of at least four characters, in order, each as first mentioned; line is null
+    where none is given, language where the ending is unknown."""
+    paths, lines = all_matches(col, FILE_REF, 1), all_matches(col, FILE_REF, 2)
+    pairs = F.filter(F.zip_with(paths, lines, lambda p, n: F.struct(p.alias("p"), n.alias("n"))), lambda x: F.length(x["p"]) >= 4)
+    names = F.array_distinct(F.transform(pairs, lambda x: x["p"]))
+    first = F.transform(F.slice(names, 1, most), lambda p: F.struct(p.alias("p"), F.filter(pairs, lambda x: x["p"] == p)[0]["n"].alias("n")))
+    return F.transform(
+        first,
+        lambda x: F.struct(x["p"].alias("path"), F.nullif(x["n"], F.lit("")).try_cast("int").alias("line"), path_language(x["p"]).alias("language")),
+    )
 
 
 def path_language(path: Column) -> Column:
@@ -89,55 +108,115 @@ def path_language(path: Column) -> Column:
     return rules.lookup(rules.LANGUAGES, F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1)), None)
 
 
-def stack_trace(col: Column) -> Column:
-    """(exception, message, file, line, http_status) of a traceback, or of a script error where there is none; else null."""
-    python = r"(?s)(?:Traceback \(most recent call last\):.*?)(\w+(?:\.\w+)*Error|\w+Exception|KeyboardInterrupt):\s*(.+)"
-    script = r"(?d)(TypeError|ReferenceError|SyntaxError|Error):\s*(.+?)(?:\n|$)"
-    frame = r"at .+?\((.+?):(\d+):\d+\)"
-    place = r"File \"([^\"]+)\", line (\d+)"
+def stack_traces(col: Column) -> Column:
+    """(exception, message, file, line, http_status) of a text's traces: its traceback, whose message is the rest of the text,
+    or, where there is none, every script error; empty where there is neither. The place is the last one a traceback names, and
+    the first frame for script errors."""
+    python, script = rules.PYTHON_TRACE, rules.SCRIPT_ERROR.replace("(T", "(?d)(T", 1)
     message = F.left(strip(F.regexp_extract(col, python, 2)), F.lit(200))
-    last = F.try_element_at(all_matches(col, place, 1), F.lit(-1)), F.try_element_at(all_matches(col, place, 2), F.lit(-1))
-    is_python, is_script = col.rlike(python), col.rlike(script)
-    empty = F.lit(None)
-    return F.when(
-        is_python,
-        F.struct(
-            F.regexp_extract(col, python, 1).alias("exception"),
-            message.alias("message"),
-            last[0].alias("file"),
-            last[1].try_cast("int").alias("line"),
-            F.nullif(F.regexp_extract(message, r"\b(4\d\d|5\d\d)\b", 1), F.lit("")).try_cast("int").alias("http_status"),
-        ),
-    ).when(
-        is_script,
-        F.struct(
-            F.regexp_extract(col, script, 1).alias("exception"),
-            F.left(strip(F.regexp_extract(col, script, 2)), F.lit(200)).alias("message"),
-            F.nullif(F.regexp_extract(col, frame, 1), F.lit("")).alias("file"),
-            F.nullif(F.regexp_extract(col, frame, 2), F.lit("")).try_cast("int").alias("line"),
-            empty.cast("int").alias("http_status"),
+    files, lines = all_matches(col, rules.PYTHON_PLACE, 1), all_matches(col, rules.PYTHON_PLACE, 2)
+    file, line = F.nullif(F.regexp_extract(col, rules.SCRIPT_FRAME, 1), F.lit("")), F.nullif(F.regexp_extract(col, rules.SCRIPT_FRAME, 2), F.lit(""))
+    own = F.struct(
+        F.regexp_extract(col, python, 1).alias("exception"),
+        message.alias("message"),
+        F.try_element_at(files, F.lit(-1)).alias("file"),
+        F.try_element_at(lines, F.lit(-1)).try_cast("int").alias("line"),
+        F.nullif(F.regexp_extract(message, rules.HTTP_STATUS, 1), F.lit("")).try_cast("int").alias("http_status"),
+    )
+    others = F.zip_with(
+        all_matches(col, script, 1),
+        all_matches(col, script, 2),
+        lambda e, m: F.struct(
+            e.alias("exception"), F.left(strip(m), F.lit(200)).alias("message"), file.alias("file"), line.try_cast("int").alias("line"), F.lit(None).cast("int").alias("http_status")
         ),
     )
+    return F.when(col.rlike(python), F.array(own)).otherwise(others)
 
 
-def cli_tools(col: Column) -> Column:
-    """Names of the tools whose output a text shows, in order: pytest, jest, npm (only where neither is), aws."""
-    pytest = col.rlike(r"(?i)=+ ([\d,]+ passed|[\d,]+ failed|[\d,]+ error)")
-    jest = col.rlike(r"(?i)Tests:\s+(\d+) passed.*?(\d+) failed")
-    npm = col.rlike("(?i)npm ERR!") & ~pytest & ~jest
-    aws = col.rlike(r"arn:aws:[a-z0-9-]+:[a-z0-9-]*:\d+:[A-Za-z0-9:/_-]+")
-    return F.array_compact(
-        F.array(*[F.when(c, F.lit(n)) for n, c in (("pytest", pytest), ("jest", jest), ("npm", npm), ("aws", aws))])
+def stack_trace(col: Column) -> Column:
+    """The first of :func:`stack_traces`; null where there is none."""
+    return F.try_element_at(stack_traces(col), F.lit(1))
+
+
+def cli_outputs(col: Column) -> Column:
+    """(tool, exit_code, passed, failed, signal) of the tools whose output a text shows: every pytest summary with the text's exit
+    code, every jest summary, npm's errors where there is neither, and what cloud resources are named."""
+    number = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("int")
+
+    def out(tool: str, signal: Column, passed: Column | None = None, failed: Column | None = None, code: Column | None = None) -> Column:
+        none = F.lit(None).cast("int")
+        return F.struct(
+            F.lit(tool).alias("tool"), (none if code is None else code).alias("exit_code"), (none if passed is None else passed).alias("passed"),
+            (none if failed is None else failed).alias("failed"), signal.alias("signal"),
+        )
+
+    pytest = F.transform(all_matches(col, rules.PYTEST, 0), lambda x: out("pytest", strip(x), number(x, r"(\d+) passed"), number(x, r"(\d+) failed"), exit_code(col)))
+    jest = F.transform(
+        all_matches(col, rules.JEST, 0),
+        lambda x: out("jest", F.concat(F.regexp_extract(x, rules.JEST, 1), F.lit(" passed, "), F.regexp_extract(x, rules.JEST, 2), F.lit(" failed")), number(x, rules.JEST), F.nullif(F.regexp_extract(x, rules.JEST, 2), F.lit("")).try_cast("int")),
     )
+    runs = F.concat(pytest, jest)
+    kind = "array<struct<tool:string,exit_code:int,passed:int,failed:int,signal:string>>"
+    npm = F.when(col.rlike(rules.NPM) & (F.size(runs) == 0), F.array(out("npm", F.lit("npm error detected")))).otherwise(F.array().cast(kind))
+    arns = all_matches(col, f"({rules.ARN})")
+    found = F.concat(F.lit("AWS ARNs found: "), F.try_element_at(arns, F.lit(1)), F.when(F.size(arns) > 1, "...").otherwise(""))
+    return F.concat(runs, npm, F.when(F.size(arns) > 0, F.array(out("aws", found))).otherwise(F.array().cast(kind)))
 
 
-def exit_code(col: Column) -> Column:
-    return F.nullif(F.regexp_extract(col, r"(?i)exited? (?:with )?(?:code )?(\d+)", 1), F.lit("")).try_cast("int")
+def cli_tools(col: Column) -> Column:
+    """The distinct names of the tools of :func:`cli_outputs`, in order."""
+    return F.array_distinct(F.transform(cli_outputs(col), lambda x: x["tool"]))
 
 
-def json_keys(col: Column, most: int = 30) -> Column:
-    """Top-level keys of a JSON object; null for anything else."""
-    return F.slice(F.json_object_keys(col), 1, most)
+def exit_code(col: Column) -> Column:
+    return F.nullif(F.regexp_extract(col, rules.EXIT_CODE, 1), F.lit("")).try_cast("int")
+
+
+def nested_keys(value, prefix: str = "", depth: int = 0) -> Iterator[str]:
+    """The keys of JSON objects inside each other, by path, down to the fourth level; of a list the first entry counts."""
+    if depth > 3:
+        return
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            path = f"{prefix}.{key}" if prefix else key
+            yield path
+            yield from nested_keys(inner, path, depth + 1)
+    elif isinstance(value, list) and value:
+        yield from nested_keys(value[0], prefix, depth + 1)
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _schema_blobs(texts: pd.Series) -> pd.Series:
+    fence, inline = re.compile(rules.JSON_FENCE), re.compile(rules.JSON_INLINE)
+
+    def found(text: str | None) -> list[list[str]]:
+        out: list[list[str]] = []
+        for m in (m for pattern in (fence, inline) for m in pattern.finditer(text or "")):
+            try:
+                keys = list(islice(nested_keys(json.loads(m.group(1))), 30))
+            except (ValueError, RecursionError):
+                continue
+            if len(keys) >= 3:
+                out.append(keys)
+            if len(out) == 3:
+                break
+        return out
+
+    return texts.map(found)
+
+
+def schema_blobs(col: Column) -> Column:
+    """The keys (at most 30, nested ones by path) of the first three JSON values of three keys or more in a text, fenced ones
+    first; what isn't JSON is no value. Only texts with a brace leave the JVM's side as more than null."""
+    return _schema_blobs(F.when(F.contains(col, F.lit("{")), col))
+
+
+def block_symbols(content: Column, language: Column) -> Column:
+    """Names defined in a code block, by its language; empty for languages without patterns."""
+    out = F.array().cast("array<string>")
+    for name in SYMBOLS:
+        out = F.when(language == name, symbols(content, name)).otherwise(out)
+    return out
 
 
 def search_tokens(col: Column) -> Column:

@@ -80,28 +80,49 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: i
     return asked.join(found, key, "left")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(session_id, id, community): every node of a session with its community, named by an id in it.
 
-    Weighted label propagation: in each round a node takes the label its neighbours give most weight to, its own counting
-    once, ties to the least label; labels that swing between two are settled on the lesser. Nodes without links stay alone.
-    Weights that are null or not positive count as a small positive one.
+    Weighted label propagation: a node takes the label its neighbours give most weight to, its own counting half a link, ties to
+    the least label. In each round one half of the nodes moves, the other half in the next, so labels can't swing between two;
+    it ends when neither half moves any more (or after ``rounds``). Nodes without links stay alone. Weights that are null or
+    not positive count as a small positive one.
     """
     real = within(edges, node_ids(nodes)).where("from_id <> to_id")
     w = F.when(F.col("weight") > 0, F.least("weight", F.lit(1.0))).otherwise(0.01)
     one = real.select("session_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), w.alias("w"))
     both = one.unionByName(one.select("session_id", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     near = cut(both.groupBy("session_id", "a", "b").agg(F.sum("w").alias("w")), "near")
-    labels = node_ids(nodes).withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    labels = cut(node_ids(nodes).select("session_id", "id", F.col("id").alias("label"), half.alias("half"), F.lit(False).alias("moved")), "labels")
+    still = 0
+    for turn in range(rounds):
         heard = near.join(labels.select("session_id", F.col("id").alias("b"), "label"), ["session_id", "b"]).select("session_id", F.col("a").alias("id"), "label", "w")
-        own = labels.select("session_id", "id", "label", F.lit(0.5).alias("w"))
+        own = labels.where(F.col("half") == turn % 2).select("session_id", "id", "label", F.lit(0.5).alias("w"))
+        heard = heard.where(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
         votes = heard.unionByName(own).groupBy("session_id", "id", "label").agg(F.round(F.sum("w"), 6).alias("w"))
-        top = votes.groupBy("session_id", "id").agg(F.max("w").alias("m"))
-        labels = cut(
-            votes.join(top, ["session_id", "id"]).where("w = m").groupBy("session_id", "id").agg(F.min("label").alias("label")), "labels"
+        top = votes.groupBy("session_id", "id").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
+        step = labels.join(top, ["session_id", "id"], "left").select(
+            "session_id", "id", F.coalesce("new", "label").alias("label"), "half", F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")
         )
-    return labels.withColumnRenamed("label", "community")
+        labels = cut(step, "labels")
+        still = 0 if not labels.where("moved").isEmpty() else still + 1
+        if still == 2:
+            break
+    return labels.select("session_id", "id", F.col("label").alias("community"))
+
+
+def modularity(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(session_id, modularity): of each session with links, how much more of their number lies inside the communities of
+    members (session_id, id, community) than by chance."""
+    real = build(nodes, edges, directed=False).where("src <> dst").select("session_id", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("l"))
+    of = members.select("session_id", "id", "community")
+    ends = real.select("session_id", F.col("l.src").alias("id"), "l.dst").join(of, ["session_id", "id"])
+    ends = ends.join(of.select("session_id", F.col("id").alias("dst"), F.col("community").alias("other")), ["session_id", "dst"])
+    own = ends.groupBy("session_id", "community").agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("community") == F.col("other")).alias("i"))
+    whole = own.groupBy("session_id").agg(F.sum("d").alias("m"))
+    share = own.join(whole, "session_id").select("session_id", (F.col("i") / F.col("m") - F.pow(F.col("d") / F.col("m"), F.lit(2))).alias("q"))
+    return share.groupBy("session_id").agg(F.sum("q").alias("modularity"))
 
 
 def search(nodes: DataFrame, query: str, most: int = 5) -> DataFrame:

@@ -51,7 +51,7 @@ def exact_dedup(existing: DataFrame, incoming: DataFrame, policy: str = "manual"
         F.col("t_seq").alias("target_seq"),
         F.when(clash, settled).when(found & ~fresh, F.col("t_status")).otherwise(F.col("status")).alias("status"),
         F.when(found & (F.coalesce("summary", F.lit("")) == ""), F.col("t_summary")).otherwise(F.col("summary")).alias("summary"),
-        F.greatest("confidence", "t_confidence").alias("confidence"),
+        F.greatest(*[F.nanvl(c, F.lit(None).cast("double")) for c in ("confidence", "t_confidence")]).alias("confidence"),
         clash.alias("conflict"),
         F.when(clash, F.concat(F.lit(word + ": "), "t_status", F.lit(" → "), "status")).alias("note"),
     )
@@ -189,14 +189,15 @@ def orphan_patch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bind_edges(nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """Edges given by labels (session_id, from_label, to_label, relation) with the ids of the last nodes that carry them, case
-    ignored; edges to unknown labels are dropped."""
+    """Edges given by labels (session_id, from_label, to_label, relation, ...) with the ids of the last nodes that carry them,
+    case ignored, further columns kept; edges to unknown labels are dropped."""
+    more = [c for c in named.columns if c not in ("session_id", "from_label", "to_label", "relation")]
     ids = nodes.groupBy("session_id", F.lower("label").alias("l")).agg(F.max_by("id", "seq").alias("id"))
     out = named
     for end in ("from", "to"):
         side = ids.select("session_id", F.col("l").alias(f"_{end}"), F.col("id").alias(f"{end}_id"))
         out = out.withColumn(f"_{end}", F.lower(f"{end}_label")).join(side, ["session_id", f"_{end}"])
-    return out.select("session_id", "from_id", "to_id", valid_relation(F.col("relation")).alias("relation"))
+    return out.select("session_id", "from_id", "to_id", valid_relation(F.col("relation")).alias("relation"), *more)
 
 
 def _kept_of_hot(rows: DataFrame, least: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import escape_xml
+from skein.operators.ranking import bucketed_running
 from skein.operators.views import high_priority, resolved_summary
 from skein.schema import ACTIVE_THREAD
 
@@ -31,13 +32,9 @@ def demote_stale(nodes: DataFrame, min_nodes: int = 30, min_active: int = 50) ->
     )
     stale = facts.where((F.col("_n") >= min_nodes) & (F.col("_active") > min_active) & (F.col("_pending") > 0))
     half = F.greatest(F.lit(1), F.floor(F.col("_pending") / 2))
-    old = (
-        nodes.where(pending)
-        .join(stale, "session_id")
-        .withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "seq")))
-        .where(F.col("_r") <= half)
-        .select("seq", F.lit(True).alias("_stale"))
-    )
+    day = F.coalesce(F.floor(F.unix_micros("created_at") / 86_400_000_000), F.lit(-(2**40)))
+    ranked_tasks = bucketed_running(nodes.where(pending).join(stale, "session_id").withColumn("_day", day), ["session_id"], "_day", ["created_at", "seq"], rank="_r")
+    old = ranked_tasks.where(F.col("_r") < half).select("seq", F.lit(True).alias("_stale"))
     return nodes.join(old, "seq", "left").withColumn("status", F.when(F.col("_stale"), "deferred").otherwise(F.col("status"))).drop("_stale")
 
 
@@ -123,7 +120,9 @@ def ranked(shown: DataFrame, budget: int = 1200) -> DataFrame:
     by = Window.partitionBy("session_id", "section").orderBy(first, F.desc(sure), F.desc(new), "_order")
     cap = F.element_at(F.create_map(*[F.lit(x) for kv in limit.items() for x in kv]), F.col("section"))
     n = shown.groupBy("session_id", "section").agg(F.count(F.lit(1)).alias("_n"))
-    top = shown.withColumn("rank", F.row_number().over(by)).withColumn("_cap", F.coalesce(cap, F.lit(2**31 - 1))).where("rank <= _cap")
+    # the literal bound of all capped sections is pruned before the shuffle; conflicts have none
+    capped = shown.where("section <> 'conflicts'").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(limit.values())).withColumn("_cap", cap).where("rank <= _cap")
+    top = capped.unionByName(shown.where("section = 'conflicts'").withColumn("rank", F.row_number().over(by)).withColumn("_cap", F.lit(2**31 - 1)))
     return top.join(n, ["session_id", "section"]).withColumn("overflow", F.greatest(F.lit(0), F.col("_n") - F.col("_cap"))).drop("_n", "_cap", "_order")
 
 

@@ -30,8 +30,9 @@ ANSWER = (
 
 def hints(text: Column) -> Column:
     """What the content zones of a text hold, as lines to read with it; empty where there is nothing."""
-    blocks, files, links, tools = T.code_blocks(text), T.file_refs(text), T.urls(text), T.cli_tools(text)
-    trace = T.stack_trace(text)
+    blocks, files, links, tools = T.code_blocks(text), T.file_refs(text), T.urls(text), T.cli_outputs(text)
+    traces = F.transform(T.stack_traces(text), lambda t: F.concat(t["exception"], F.lit(": "), t["message"]))
+    names = F.array_distinct(F.flatten(F.transform(blocks, lambda b: T.block_symbols(b["content"], b["language"]))))
 
     def line(name: str, values: Column) -> Column:
         return F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, ", ")))
@@ -39,8 +40,10 @@ def hints(text: Column) -> Column:
     return F.concat_ws(
         "\n",
         line("code", F.array_distinct(F.transform(blocks, lambda b: b["language"]))),
-        F.when(trace.isNotNull(), F.concat(F.lit("error: "), trace["exception"], F.lit(": "), trace["message"])),
-        line("tools", tools),
+        line("symbols", names),
+        line("errors", traces),
+        line("tools", F.transform(tools, lambda t: F.concat_ws(" ", t["tool"], t["signal"]))),
+        line("keys", F.transform(T.schema_blobs(text), lambda k: F.array_join(k, " "))),
         line("files", files),
         line("links", links),
     )
@@ -150,20 +153,12 @@ def candidates(turns: DataFrame, extractor: Extractor = rule_extractor, masks: l
     return nodes, told.unionByName(patch).drop("batch")
 
 
-def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, policy: str = "manual", at: str | None = None, embedder: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The graph with a batch merged in: exact matches update the stored node; of the rest, in order of ``seq``, near-duplicates
-    update the node they are merged into, and the others are added, with relates-to edges to similar nodes of the type and,
-    within the session's budget, of types that go with it; edges are led to the nodes that stay, conflicts are marked, nodes
-    without edges get a fallback edge. ``seq`` numbers must be unique over both. Nodes without an embedding get one from the
-    ``embedder``; without one they are matched exactly only. What later steps read several times is written down on the way,
-    so plans stay small."""
-    now = F.lit(at).cast("timestamp") if at else F.current_timestamp()
-    m = cut(merge.exact_dedup(nodes, new_nodes, policy), "matched")
-    hit = m.where("target_seq is not null")
-    change = hit.groupBy("target_seq").agg(F.max_by(F.struct("status", "summary", "note"), "seq").alias("u"), F.max("confidence").alias("c"), F.max("conflict").alias("clash"))
+def _updated(nodes: DataFrame, hit: DataFrame, now: Column) -> DataFrame:
+    """Nodes with what was matched to them (rows of merge.exact_dedup) taken over, the last by seq, and the highest confidence."""
+    change = hit.groupBy("target_seq").agg(F.max_by(F.struct("status", "summary", "note"), "seq").alias("u"), F.max("confidence").alias("c"))
     kept = nodes.join(change.withColumnRenamed("target_seq", "seq"), "seq", "left")
     moved = F.col("u").isNotNull() & (F.col("u.status") != F.col("status"))
-    kept = (
+    return (
         kept.withColumn("status_history", F.when(moved, X.push_status(F.col("status_history"), F.col("status"), F.col("u.note"), now)).otherwise(F.col("status_history")))
         .withColumn("status", F.coalesce("u.status", "status"))
         .withColumn("summary", F.coalesce("u.summary", "summary"))
@@ -171,9 +166,31 @@ def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
         .withColumn("updated_at", F.when(F.col("u").isNotNull(), now).otherwise(F.col("updated_at")))
         .select(*nodes.columns)
     )
+
+
+def merge_batch(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, policy: str = "manual", at: str | None = None, embedder: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph with a batch merged in: exact matches update the stored node, or the first node of the batch with that label; of the rest, in order of ``seq``, near-duplicates
+    update the node they are merged into, and the others are added, with relates-to edges to similar nodes of the type and,
+    within the session's budget, of types that go with it; edges are led to the nodes that stay, conflicts are marked, nodes
+    without edges get a fallback edge. ``seq`` numbers must be unique over both. Nodes without an embedding get one from the
+    ``embedder``; without one they are matched exactly only. What later steps read several times is written down on the way,
+    so plans stay small."""
+    now = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    m = cut(merge.exact_dedup(nodes, new_nodes, policy), "matched")
+    hit = m.where("target_seq is not null")
+    kept = _updated(nodes, hit, now)
+    # a label said again in the batch meets its first node there
     fresh = new_nodes.join(hit.select("seq"), "seq", "left_anti")
+    key = ["session_id", "type", F.lower("label").alias("l")]
+    opened = fresh.where("session_id is not null and type is not null and label is not null").groupBy(*key).agg(F.min("seq").alias("seq"))
+    again = fresh.select("seq", *key).join(opened.withColumnRenamed("seq", "first"), ["session_id", "type", "l"]).where("seq > first").select("seq")
+    again = cut(again, "again")
+    later = fresh.join(again, "seq", "left_semi")
+    fresh = fresh.join(again, "seq", "left_anti")
+    said = cut(merge.exact_dedup(fresh, later, policy), "said")
+    hit = hit.unionByName(said)
     missing = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c not in fresh.columns]
-    fresh = fresh.select("*", *missing).select(*nodes.columns)
+    fresh = _updated(fresh.select("*", *missing).select(*nodes.columns), said, now)
     if embedder:
         kept, fresh = embed(kept, embedder), embed(fresh, embedder)
     kept, fresh = cut(kept, "kept"), cut(fresh, "fresh")

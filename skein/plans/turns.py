@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.functions.text import strip
 from skein.operators.ranking import bucketed_running
@@ -47,13 +46,16 @@ def unknown_events(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(F.col("type"), F.lit("")).isin(KNOWN_EVENTS)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def message_pairs(messages: DataFrame, conv: str, pos: str, role: str, text: str, user: str = "user", assistant: str = "assistant") -> DataFrame:
-    """(conv, turn_number, role_user, role_assistant): adjacent pairs of a user's and an assistant's message, in order."""
-    by = Window.partitionBy(conv).orderBy(pos)
-    rows = messages.select(conv, pos, F.col(role).alias("_r"), strip(F.coalesce(F.col(text), F.lit(""))).alias("role_user"))
-    rows = rows.withColumn("_n", F.lead("_r").over(by)).withColumn("role_assistant", F.lead("role_user").over(by))
-    pairs = rows.where((F.col("_r") == user) & (F.col("_n") == assistant))
-    return pairs.select(conv, F.row_number().over(by).alias("turn_number"), "role_user", "role_assistant")
+def message_pairs(messages: DataFrame, conv: str, pos: str, role: str, text: str, user: str = "user", assistant: str = "assistant", block: int = 4096) -> DataFrame:
+    """(conv, turn_number, role_user, role_assistant): adjacent pairs of a user's and an assistant's message, in order of the whole
+    numbers ``pos``. Places are counted over blocks of them with prefix sums and pairs meet by place, so a hot conversation isn't
+    one task's work."""
+    rows = messages.select(conv, pos, F.col(role).alias("_r"), strip(F.coalesce(F.col(text), F.lit(""))).alias("_t")).where(F.col(conv).isNotNull())
+    placed = bucketed_running(rows.withColumn("_b", F.floor(F.col(pos) / block)), [conv], "_b", [pos], rank="_at")
+    asked = placed.where(F.col("_r") == user).select(conv, (F.col("_at") + 1).alias("_at"), F.col("_t").alias("role_user"))
+    pairs = asked.join(placed.where(F.col("_r") == assistant).select(conv, "_at", F.col("_t").alias("role_assistant")), [conv, "_at"])
+    numbered = bucketed_running(pairs.withColumn("_b", F.floor(F.col("_at") / block)), [conv], "_b", ["_at"], rank="_n")
+    return numbered.select(conv, (F.col("_n") + 1).cast("int").alias("turn_number"), "role_user", "role_assistant")
 
 
 def delimited_turns(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -124,12 +124,18 @@ def urls(spark, root):
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.array_join(T.urls(F.col("text")), " ").alias("urls"))
 
 
-_FILES = r"regexp_extract_all(content, '(?m)(?:^|[\s`\"''])((?:\.{1,2}/|/|[A-Za-z]:[/\\])[A-Za-z0-9._/\\-]+\.[A-Za-z]{1,6})(?::(\d+))?', 1)"
+_PATHS = f"list_filter(list_zip(regexp_extract_all(content, {_q(rules.FILE_REF)}, 1), regexp_extract_all(content, {_q(rules.FILE_REF)}, 2)), lambda x: length(x[1]) >= 4)"
 
 
-@query(f"SELECT row_id, array_to_string({_first(_FILES, 10)}, ' ') AS files FROM copilot_session WHERE content IS NOT NULL")
+@query(
+    f"WITH p AS (SELECT row_id, {_PATHS} AS p FROM copilot_session WHERE content IS NOT NULL), e AS (SELECT row_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p),"
+    " f AS (SELECT row_id, x[1] AS path, min(i) AS i, arg_min(x[2], i) AS n FROM e GROUP BY ALL)"
+    f" SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i)::INT AS no, path, TRY_CAST(nullif(n, '') AS INT) AS line, {_case(rules.LANGUAGES, 'lower(regexp_extract(path, ' + _q('[.]([A-Za-z]+)$') + ', 1))')} AS language"
+    " FROM f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY i) <= 10"
+)
 def file_refs(spark, root):
-    return table(spark, root, "copilot_session").where("content is not null").select("row_id", F.array_join(T.file_refs(F.col("content")), " ").alias("files"))
+    t = table(spark, root, "copilot_session").where("content is not null").select("row_id", F.posexplode(T.file_mentions(F.col("content"))).alias("n", "f"))
+    return t.select("row_id", (F.col("n") + 1).alias("no"), "f.*")
 
 
 _LANGS = r"regexp_extract_all(content, '(?s)```(\w*)\n(.*?)```', 1)"
@@ -159,31 +165,53 @@ def python_symbols(spark, root):
     return table(spark, root, "documents").where("text is not null").select("doc_id", F.array_join(T.symbols(F.col("text"), "python"), " ").alias("symbols"))
 
 
-_PY = r"(?s)(?:Traceback \(most recent call last\):.*?)(\w+(?:\.\w+)*Error|\w+Exception|KeyboardInterrupt):\s*(.+)"
-_JS = r"(TypeError|ReferenceError|SyntaxError|Error):\s*(.+?)(?:\n|$)"
+_PY, _JS = _q(rules.PYTHON_TRACE), _q(rules.SCRIPT_ERROR)
+_PLACE = lambda i: f"regexp_extract_all(content, {_q(rules.PYTHON_PLACE)}, {i})[-1]"
+_MESSAGE = f"left({_strip(f'regexp_extract(content, {_PY}, 2)')}, 200)"
 
 
 @query(
-    f"SELECT row_id, CASE WHEN regexp_matches(content, {_q(_PY)}) THEN regexp_extract(content, {_q(_PY)}, 1) ELSE regexp_extract(content, {_q(_JS)}, 1) END AS exception,"
-    f" left({_strip(f'CASE WHEN regexp_matches(content, {_q(_PY)}) THEN regexp_extract(content, {_q(_PY)}, 2) ELSE regexp_extract(content, {_q(_JS)}, 2) END')}, 200) AS message"
-    f" FROM copilot_session WHERE regexp_matches(content, {_q(_PY)}) OR regexp_matches(content, {_q(_JS)})"
+    f"WITH j AS (SELECT row_id, content, unnest(regexp_extract_all(content, {_JS}, 1)) AS e, unnest(regexp_extract_all(content, {_JS}, 2)) AS m, generate_subscripts(regexp_extract_all(content, {_JS}, 1), 1)::INT AS no"
+    f" FROM copilot_session WHERE NOT regexp_matches(content, {_PY}))"
+    f" SELECT row_id, 1 AS no, regexp_extract(content, {_PY}, 1) AS exception, {_MESSAGE} AS message, {_PLACE(1)} AS file, TRY_CAST({_PLACE(2)} AS INT) AS line,"
+    f" TRY_CAST(nullif(regexp_extract({_MESSAGE}, {_q(rules.HTTP_STATUS)}, 1), '') AS INT) AS http_status FROM copilot_session WHERE regexp_matches(content, {_PY})"
+    f" UNION ALL SELECT row_id, no, e, left({_strip('m')}, 200), nullif(regexp_extract(content, {_q(rules.SCRIPT_FRAME)}, 1), ''), TRY_CAST(nullif(regexp_extract(content, {_q(rules.SCRIPT_FRAME)}, 2), '') AS INT), NULL FROM j"
 )
 def stack_traces(spark, root):
-    t = table(spark, root, "copilot_session").select("row_id", T.stack_trace(F.col("content")).alias("t")).where("t is not null")
-    return t.select("row_id", "t.exception", "t.message")
+    t = table(spark, root, "copilot_session").select("row_id", F.posexplode(T.stack_traces(F.col("content"))).alias("n", "t"))
+    return t.select("row_id", (F.col("n") + 1).alias("no"), "t.*")
+
+
+_RUNS = f"list_concat(list_transform(regexp_extract_all(content, {_q(rules.PYTEST)}), lambda x: {{'tool': 'pytest', 's': x}}), list_transform(regexp_extract_all(content, {_q(rules.JEST)}), lambda x: {{'tool': 'jest', 's': x}}))"
+_ARNS = f"regexp_extract_all(content, {_q(rules.ARN)})"
+_NUMBER = lambda p, i=1: f"TRY_CAST(nullif(regexp_extract(s, {_q(p)}, {i}), '') AS INT)"
 
 
 @query(
-    "SELECT row_id, array_to_string(list_filter(["
-    "CASE WHEN regexp_matches(content, '(?i)=+ ([\\d,]+ passed|[\\d,]+ failed|[\\d,]+ error)') THEN 'pytest' END,"
-    "CASE WHEN regexp_matches(content, '(?i)Tests:\\s+(\\d+) passed.*?(\\d+) failed') THEN 'jest' END,"
-    "CASE WHEN regexp_matches(content, '(?i)npm ERR!') AND NOT regexp_matches(content, '(?i)=+ ([\\d,]+ passed|[\\d,]+ failed|[\\d,]+ error)')"
-    " AND NOT regexp_matches(content, '(?i)Tests:\\s+(\\d+) passed.*?(\\d+) failed') THEN 'npm' END,"
-    "CASE WHEN regexp_matches(content, 'arn:aws:[a-z0-9-]+:[a-z0-9-]*:\\d+:[A-Za-z0-9:/_-]+') THEN 'aws' END], lambda x: x IS NOT NULL), ' ') AS tools"
-    " FROM copilot_session WHERE content IS NOT NULL"
+    f"WITH r AS (SELECT row_id, content, {_RUNS} AS r, {_ARNS} AS a FROM copilot_session WHERE content IS NOT NULL), x AS ("
+    f"SELECT row_id, content, unnest(r, recursive := true), generate_subscripts(r, 1) AS i FROM r"
+    f" UNION ALL SELECT row_id, content, 'npm', 'npm error detected', 1 FROM r WHERE len(r) = 0 AND regexp_matches(content, {_q(rules.NPM)})"
+    " UNION ALL SELECT row_id, content, 'aws', 'AWS ARNs found: ' || a[1] || CASE WHEN len(a) > 1 THEN '...' ELSE '' END, 1000000 FROM r WHERE len(a) > 0)"
+    f" SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i)::INT AS no, tool, CASE WHEN tool = 'pytest' THEN TRY_CAST(nullif(regexp_extract(content, {_q(rules.EXIT_CODE)}, 1), '') AS INT) END AS exit_code,"
+    f" CASE tool WHEN 'pytest' THEN {_NUMBER(chr(40) + chr(92) + 'd+) passed')} WHEN 'jest' THEN {_NUMBER(rules.JEST)} END AS passed, CASE tool WHEN 'pytest' THEN {_NUMBER(chr(40) + chr(92) + 'd+) failed')} WHEN 'jest' THEN {_NUMBER(rules.JEST, 2)} END AS failed,"
+    f" CASE tool WHEN 'jest' THEN regexp_extract(s, {_q(rules.JEST)}, 1) || ' passed, ' || regexp_extract(s, {_q(rules.JEST)}, 2) || ' failed' WHEN 'pytest' THEN {_strip('s')} ELSE s END AS signal FROM x"
 )
-def cli_tools(spark, root):
-    return table(spark, root, "copilot_session").where("content is not null").select("row_id", F.array_join(T.cli_tools(F.col("content")), " ").alias("tools"))
+def cli_outputs(spark, root):
+    t = table(spark, root, "copilot_session").where("content is not null").select("row_id", F.posexplode(T.cli_outputs(F.col("content"))).alias("n", "t"))
+    return t.select("row_id", (F.col("n") + 1).alias("no"), "t.*")
+
+
+@query()
+def schema_blobs(spark, root):
+    t = table(spark, root, "documents").where("text is not null").select("doc_id", F.posexplode(T.schema_blobs(F.col("text"))).alias("n", "k"))
+    return t.select("doc_id", (F.col("n") + 1).alias("no"), F.array_join("k", " ").alias("keys"))
+
+
+@query()
+def block_symbols(spark, root):
+    t = table(spark, root, "copilot_session").where("content is not null").select("row_id", F.posexplode(T.code_blocks(F.col("content"))).alias("n", "b"))
+    t = t.select("row_id", (F.col("n") + 1).alias("no"), "b.language", T.block_symbols(F.col("b.content"), F.col("b.language")).alias("s"))
+    return t.select("row_id", "no", "language", F.array_join("s", " ").alias("symbols"))
 
 
 def _chunks_sql(src: str, most: int) -> str:
@@ -205,13 +233,6 @@ def para_chunks(spark, root):
     return d.select("doc_id", F.posexplode(T.paragraph_chunks(F.col("text"))).alias("n", "chunk")).select("doc_id", (F.col("n") + 1).alias("chunk_no"), "chunk")
 
 
-@query()
-def turn_chunks(spark, root):
-    t = turns.transcript_turns(table(spark, root, "copilot_session"))
-    c = t.select("session_id", "turn_number", F.posexplode(T.turn_chunks(F.col("role_user"), F.col("role_assistant"))).alias("n", "chunk"))
-    return c.select("session_id", "turn_number", (F.col("n") + 1).alias("chunk_no"), "chunk")
-
-
 @query()
 def doc_sections(spark, root):
     d = table(spark, root, "documents").where("text is not null")
@@ -300,11 +321,23 @@ def grounding(spark, root):
     return _nodes(spark, root).where("label is not null").select("seq", X.grounded(F.col("label"), F.col("summary")).alias("grounded"))
 
 
-@query()
+def _speculative_sql() -> str:
+    # the same without looking ahead: a version ends in a digit that no further sign of a word follows
+    phantom = r"(?i)\b(?:(?:gpt-[5-9]|claude-[5-9]|gemini-[3-9])(?:[.\d]*\d)?(?:[^\w-]|$)|gpt-[1-9]\d(?:[.\d]*\d)?\b)"
+    window = "substr(t, greatest(1, p - 120), p + 200 - greatest(1, p - 120))"
+    reason = f"CASE WHEN regexp_matches(label, {_q(phantom)}) THEN 'model_name_unverified' WHEN p > 0 AND regexp_matches({window}, {_q(rules.SPECULATION)}) THEN 'speculative_language_in_context' END"
+    return (
+        "WITH n AS (SELECT seq, label, confidence, coalesce(summary, '') AS t, position(left(lower(label), 20) IN lower(coalesce(summary, ''))) AS p FROM nodes WHERE label IS NOT NULL),"
+        f" r AS (SELECT seq, {reason} AS reason, confidence AS c FROM n)"
+        " SELECT seq, reason, round(CASE WHEN isnan(c) THEN CASE WHEN reason IS NULL THEN NULL WHEN reason = 'model_name_unverified' THEN 0.40 ELSE 0.45 END WHEN reason = 'model_name_unverified' THEN least(c, 0.40) WHEN reason IS NOT NULL THEN least(c, 0.45) ELSE c END, 3) AS confidence FROM r"
+    )
+
+
+@query(_speculative_sql())
 def speculative(spark, root):
     reason = X.speculative_reason(F.col("label"), F.col("summary"))
     n = _nodes(spark, root).where("label is not null").withColumn("reason", reason)
-    return n.select("seq", "reason", F.round(X.capped(F.col("confidence"), F.col("reason")), 3).alias("confidence"))
+    return n.select("seq", "reason", F.round(X.capped(F.nanvl("confidence", F.lit(None).cast("double")), F.col("reason")), 3).alias("confidence"))
 
 
 _TASK, _CONCEPT, _KEEP = _q(rules.FILE_TO_TASK), _q(rules.FILE_TO_CONCEPT), _q(rules.FILE_KEEP)
@@ -344,11 +377,7 @@ def bind_edges(spark, root):
     named = edges.select("session_id", "from_id", "to_id", "relation", "seq")
     for end in ("from", "to"):
         named = named.join(label.select("session_id", F.col("id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label")), ["session_id", f"{end}_id"])
-    ids = nodes.groupBy("session_id", F.lower("label").alias("l")).agg(F.max_by("id", "seq").alias("id"))
-    for end in ("from", "to"):
-        side = ids.select("session_id", F.col("l").alias("_l"), F.col("id").alias(f"{end}_bound"))
-        named = named.withColumn("_l", F.lower(f"{end}_label")).join(side, ["session_id", "_l"]).drop("_l")
-    return named.select("seq", F.col("from_bound").alias("from_id"), F.col("to_bound").alias("to_id"), X.valid_relation(F.col("relation")).alias("relation"))
+    return merge.bind_edges(nodes, named.drop("from_id", "to_id")).select("seq", "from_id", "to_id", "relation")
 
 
 # --- merge ------------------------------------------------------------------------------------------------------------
@@ -363,14 +392,15 @@ def _dedup_sql(settled: str) -> str:
         f" max(struct_pack(c := created_at, s := seq)).s AS seq FROM {OLD} GROUP BY ALL),"
         " r AS (SELECT o.session_id, o.type, lower(o.label) AS l, o.id, o.status, o.seq, o.summary, o.confidence FROM t JOIN nodes o ON o.seq = t.seq)"
         f" SELECT n.seq, t.seq AS target_seq, CASE WHEN {_CLASH} THEN {settled} WHEN t.seq IS NOT NULL AND NOT coalesce(n.status <> '', false) THEN t.status ELSE n.status END AS status,"
-        f" CASE WHEN t.seq IS NOT NULL AND coalesce(n.summary, '') = '' THEN t.summary ELSE n.summary END AS summary, {_CLASH} AS conflict"
+        f" CASE WHEN t.seq IS NOT NULL AND coalesce(n.summary, '') = '' THEN t.summary ELSE n.summary END AS summary, {_CLASH} AS conflict,"
+        " greatest(CASE WHEN NOT isnan(n.confidence) THEN n.confidence END, CASE WHEN NOT isnan(t.confidence) THEN t.confidence END) AS confidence"
         f" FROM {NEW} n LEFT JOIN r t ON n.session_id = t.session_id AND n.type = t.type AND lower(n.label) = t.l"
     )
 
 
 def _dedup(spark, root, policy):
     old, new = _halves(spark, root)
-    return merge.exact_dedup(old, new, policy).select("seq", "target_seq", "status", "summary", "conflict")
+    return merge.exact_dedup(old, new, policy).select("seq", "target_seq", "status", "summary", "conflict", "confidence")
 
 
 @query(_dedup_sql("'conflicted'"))
@@ -415,8 +445,15 @@ def best_match(spark, root):
 _CROSS = " OR ".join(f"(n.type = '{a}' AND e.type = '{b}') OR (n.type = '{b}' AND e.type = '{a}')" for a, b in rules.CROSS_PAIRS)
 
 
-@query(_match_sql(f"({_CROSS})", "", 0.30))
+@query(_match_sql(f"({_CROSS})", "", 0.82))
 def cross_type_match(spark, root):
+    old, new = _halves(spark, root)
+    return merge.cross_type_match(old, new).withColumn("score", F.round("score", 5))
+
+
+@query(_match_sql(f"({_CROSS})", "", 0.30))
+def cross_type_loose(spark, root):
+    """As cross_type_match, at a threshold that more of the pairs reach."""
     old, new = _halves(spark, root)
     return merge.cross_type_match(old, new, 0.30).withColumn("score", F.round("score", 5))
 
@@ -616,9 +653,9 @@ def status_counts(spark, root):
     return views.counts_by(_nodes(spark, root))
 
 
-@query("SELECT session_id, array_to_string(list_sort(list_distinct(list(topic))), ',') AS topics FROM nodes WHERE topic IS NOT NULL GROUP BY session_id")
+@query("SELECT DISTINCT session_id, topic FROM nodes WHERE topic IS NOT NULL")
 def topics(spark, root):
-    return _nodes(spark, root).where("topic is not null").groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
+    return _nodes(spark, root).where("topic is not null").select("session_id", "topic").distinct()
 
 
 @query(
@@ -720,13 +757,23 @@ def export_json(spark, root):
     return export(_nodes(spark, root), _edges(spark, root))
 
 
-@query("SELECT session_id, seq, id, label, type, status, round(coalesce(confidence, 1.0), 6) AS confidence FROM nodes WHERE id IS NOT NULL")
+_SHOW = lambda c: f"round(coalesce(CASE WHEN NOT isnan({c}) THEN {c} END, 1.0), 6) AS {c}"
+
+
+@query(f"SELECT session_id, seq, id, label, type, status, coalesce(summary, '') AS summary, {_SHOW('confidence')} FROM nodes WHERE id IS NOT NULL")
 def viewer_graph(spark, root):
     from skein.store import viewer_nodes
 
     return viewer_nodes(_nodes(spark, root))
 
 
+@query(f"SELECT session_id, seq, id, from_id, to_id, relation, {_SHOW('weight')} FROM edges")
+def viewer_edges(spark, root):
+    from skein.store import viewer_edges as shown
+
+    return shown(_edges(spark, root))
+
+
 @query(
     "SELECT session_id, count(*) AS n_nodes, count(*) FILTER (status = 'unconfirmed') AS unconfirmed, count(*) FILTER (status = 'conflicted') AS conflicted,"
     " count(*) FILTER (subtype = 'test_failure') AS test_failures, count(*) FILTER (subtype = 'endpoint') AS endpoints FROM nodes GROUP BY session_id"
@@ -888,12 +935,23 @@ def cluster_top(spark, root):
     return reports.clusters(n, graph.communities(n, e))
 
 
-@query()
+_FOUND = f"(SELECT DISTINCT n.session_id, n.id FROM ({SQL['search_topk']}) s JOIN nodes n USING (seq) WHERE n.id IS NOT NULL)"
+_FOCUS = (
+    f"(WITH s AS (SELECT f.session_id, f.id FROM {_FOUND} f SEMI JOIN {IDS} i ON f.session_id = i.session_id AND f.id = i.id), h AS (SELECT session_id, id, min(hop)::INT AS hop FROM (SELECT *, 0 AS hop FROM s"
+    f" UNION ALL SELECT l.session_id, l.b, 1 FROM {LINKS} l JOIN s ON l.session_id = s.session_id AND l.a = s.id) GROUP BY ALL)"
+    " SELECT n.session_id, n.seq, n.id, n.type, n.status, n.label, h.hop FROM nodes n JOIN h ON n.session_id = h.session_id AND n.id = h.id QUALIFY row_number() OVER (PARTITION BY n.session_id ORDER BY hop, n.seq) <= 15)"
+)
+
+
+@query(f"SELECT * FROM {_FOCUS}")
 def focus(spark, root):
     return reports.focus(_nodes(spark, root), _edges(spark, root), "graph cache parser")[0]
 
 
-@query()
+@query(
+    f"WITH m AS MATERIALIZED (SELECT DISTINCT session_id, id FROM {_FOCUS}), r AS (SELECT e.session_id, e.from_id, e.to_id, e.relation, row_number() OVER (PARTITION BY e.session_id ORDER BY e.seq)::INT AS rank FROM edges e"
+    " SEMI JOIN m a ON e.session_id = a.session_id AND e.from_id = a.id SEMI JOIN m b ON e.session_id = b.session_id AND e.to_id = b.id) SELECT * FROM r WHERE rank <= 20"
+)
 def focus_relationships(spark, root):
     return reports.focus(_nodes(spark, root), _edges(spark, root), "graph cache parser")[1]
 
@@ -916,7 +974,26 @@ def active_thread_text(spark, root):
 
 @query()
 def digest(spark, root):
-    return reports.digest(_nodes(spark, root), _edges(spark, root))
+    d = reports.digest(_nodes(spark, root), _edges(spark, root))
+    return d.select("session_id", "part", F.array_join("place", "/").alias("place"), "seq", "line")
+
+
+_LABEL = "coalesce(label, '')"
+_SAYS = lambda sign: f"CASE WHEN coalesce(summary, '') <> '' THEN '{sign}' || summary ELSE '' END"
+
+
+@query(
+    f"SELECT session_id, 3 AS part, seq, '- [ ] ' || {_case(rules.ICONS, 'type', chr(39) + '•' + chr(39))} || ' **' || {_LABEL} || '**' || {_SAYS(' — ')} AS line FROM nodes WHERE status = 'deferred'"
+    f" UNION ALL SELECT session_id, 4, seq, '- ❓ **' || {_LABEL} || '**' || {_SAYS(': ')} FROM nodes WHERE type = 'question' AND status IN {_in(DIGEST_ACTIVE)}"
+)
+def digest_open_ends(spark, root):
+    return reports.open_ends(_nodes(spark, root))
+
+
+@query()
+def community_modularity(spark, root):
+    n, e = _nodes(spark, root), _edges(spark, root)
+    return graph.modularity(n, e, graph.communities(n, e)).withColumn("modularity", F.round("modularity", 6))
 
 
 # --- turns ------------------------------------------------------------------------------------------------------------
@@ -947,6 +1024,25 @@ def chat_pairs(spark, root):
     return turns.message_pairs(m, "conv_uuid", "row_id", "_role", "text", user="human")
 
 
+_PACKED = (
+    "list_reduce(list_prepend([''], list_transform(regexp_split_to_array(a, '\\n{2,}'), lambda x: [x])), lambda l, x: CASE WHEN length(l[-1]) + length(x[1]) > 6000 AND l[-1] <> '' THEN list_append(l, x[1])"
+    f" ELSE list_append(list_slice(l, 1, len(l) - 1), {_strip('l[-1] || chr(10) || chr(10) || x[1]')}) END)"
+)
+
+
+@query(
+    f"WITH t AS (SELECT session_id, turn_number, role_user AS u, role_assistant AS a FROM ({SQL['transcript_turns']})),"
+    f" c AS (SELECT session_id, turn_number, CASE WHEN length(u) + length(a) > 6000 THEN {_PACKED} ELSE [a] END AS c, length(u) + length(a) > 6000 AS big FROM t),"
+    f" x AS (SELECT session_id, turn_number, unnest(CASE WHEN big THEN list_filter(list_transform(c, lambda x, i: CASE WHEN i < len(c) THEN {_strip('x')} ELSE x END), lambda x, i: i < len(c) OR x <> '') ELSE c END) AS chunk,"
+    f" generate_subscripts(CASE WHEN big THEN list_filter(c, lambda x, i: i < len(c) OR x <> '') ELSE c END, 1)::INT AS chunk_no FROM c)"
+    " SELECT session_id, turn_number, chunk_no, chunk FROM x"
+)
+def turn_chunks(spark, root):
+    t = turns.transcript_turns(table(spark, root, "copilot_session"))
+    c = t.select("session_id", "turn_number", F.posexplode(T.turn_chunks(F.col("role_user"), F.col("role_assistant"))).alias("n", "chunk"))
+    return c.select("session_id", "turn_number", (F.col("n") + 1).alias("chunk_no"), "chunk")
+
+
 @query()
 def delimited_turns(spark, root):
     return turns.delimited_turns(table(spark, root, "documents").where("text is not null"), "doc_id", "text")
@@ -975,16 +1071,50 @@ def extract_candidates(spark, root):
     return _extracted(spark, root)[0].select("session_id", "id", "type", "label", "status", F.round("confidence", 3).alias("confidence"))
 
 
-@query()
-def ingest(spark, root):
-    """Candidates of all transcripts, in the order of their turns, merged into the stored graph and repaired: the edges of the
-    result. Nodes without an embedding get the word embedder's."""
+def _ingested(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of all transcripts, in the order of their turns, merged into the stored graph and repaired. Nodes without an
+    embedding get the word embedder's."""
     from skein.plans import pipeline
-    from skein.session import cut
 
-    new_nodes, new_edges = _extracted(spark, root)
-    top = 2**40
-    new_nodes = new_nodes.orderBy("session_id", "_order", "id").withColumn("seq", F.lit(top) + F.monotonically_increasing_id())
-    new_nodes = cut(new_nodes.drop("_order", "batch"), "candidates")
+    new_nodes, new_edges = _numbered(*_extracted(spark, root))
     nodes, edges = pipeline.merge_batch(_nodes(spark, root), _edges(spark, root), new_nodes, new_edges, at="2026-07-01", embedder=pipeline.word_embedder)
-    return pipeline.repair_all(nodes, edges, at="2026-07-01")[1]
+    return pipeline.repair_all(nodes, edges, at="2026-07-01")
+
+
+def _numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    from skein.session import cut
+
+    nodes = nodes.orderBy("session_id", "_order", "id").withColumn("seq", F.lit(2**40) + F.monotonically_increasing_id())
+    return cut(nodes.drop("_order", "batch"), "candidates"), edges
+
+
+@query()
+def ingest(spark, root):
+    """The edges of the graph after an ingest."""
+    return _ingested(spark, root)[1]
+
+
+@query()
+def ingest_nodes(spark, root):
+    """The nodes of the graph after an ingest."""
+    n = _ingested(spark, root)[0]
+    return n.select("session_id", "id", "type", "label", "status", "summary", F.round("confidence", 3).alias("confidence"), F.size(F.coalesce("status_history", F.array())).alias("n_history"))
+
+
+_ROW = "max(struct_pack(c := created_at, s := seq))"
+
+
+@query(
+    f"WITH o AS (SELECT session_id, type, lower(label) AS l, arg_max(seq, struct_pack(c := created_at, s := seq)) AS target FROM {OLD} WHERE label IS NOT NULL GROUP BY ALL),"
+    f" n AS (SELECT n.*, o.target FROM {NEW} n LEFT JOIN o ON n.session_id = o.session_id AND n.type = o.type AND lower(n.label) = o.l),"
+    " f AS (SELECT seq, target, coalesce(target, CASE WHEN session_id IS NOT NULL AND type IS NOT NULL AND label IS NOT NULL THEN first_value(seq) OVER (PARTITION BY session_id, type, lower(label), target IS NULL ORDER BY seq) ELSE seq END) AS stays FROM n)"
+    " SELECT seq, stays FROM f"
+)
+def batch_fold(spark, root):
+    """The node each incoming one ends in by exact labels: a stored one, the first of its batch, or itself."""
+    old, new = _halves(spark, root)
+    m = merge.exact_dedup(old, new).select("seq", "target_seq")
+    own = new.select("seq", "session_id", "type", F.lower("label").alias("l")).join(m, "seq")
+    firsts = own.where("target_seq is null and session_id is not null and type is not null and l is not null").groupBy("session_id", "type", "l").agg(F.min("seq").alias("first"))
+    own = own.join(firsts, ["session_id", "type", "l"], "left")
+    return own.select("seq", F.coalesce("target_seq", "first", "seq").alias("stays"))

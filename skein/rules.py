@@ -95,17 +95,37 @@ COMMIT_HINTS = {
 }
 
 # Node types of infrastructure resources; everything else is a concept.
-TERRAFORM_DECISIONS = [
-    "aws_lambda_function", "aws_ecs_service", "aws_ecs_task_definition", "aws_instance", "aws_dynamodb_table",
-    "aws_s3_bucket", "aws_rds_cluster", "aws_elasticache_cluster", "aws_opensearchservice_domain",
-    "aws_api_gateway_rest_api", "aws_api_gateway_v2_api", "aws_vpc", "aws_lb",
-]
-TERRAFORM_CONCEPTS = ["aws_subnet", "aws_security_group", "aws_iam_role", "aws_iam_policy", "variable", "locals", "output", "data"]
-CFN_DECISIONS = [
-    "AWS::Lambda::Function", "AWS::DynamoDB::Table", "AWS::S3::Bucket", "AWS::ApiGateway::RestApi", "AWS::ApiGatewayV2::Api",
-    "AWS::ECS::Service", "AWS::RDS::DBCluster", "AWS::ElastiCache::CacheCluster", "AWS::OpenSearchService::Domain",
-    "AWS::EC2::VPC", "AWS::ElasticLoadBalancingV2::LoadBalancer",
-]
+TERRAFORM_TYPES = {
+    "aws_lambda_function": "decision", "aws_ecs_service": "decision", "aws_ecs_task_definition": "decision", "aws_instance": "decision",
+    "aws_dynamodb_table": "decision", "aws_s3_bucket": "decision", "aws_rds_cluster": "decision", "aws_elasticache_cluster": "decision",
+    "aws_opensearchservice_domain": "decision", "aws_api_gateway_rest_api": "decision", "aws_api_gateway_v2_api": "decision",
+    "aws_vpc": "decision", "aws_subnet": "concept", "aws_security_group": "concept", "aws_lb": "decision", "aws_iam_role": "concept",
+    "aws_iam_policy": "concept", "variable": "concept", "locals": "concept", "output": "concept", "data": "concept",
+}
+CFN_TYPES = {
+    "AWS::Lambda::Function": "decision", "AWS::DynamoDB::Table": "decision", "AWS::S3::Bucket": "decision",
+    "AWS::ApiGateway::RestApi": "decision", "AWS::ApiGatewayV2::Api": "decision", "AWS::ECS::Service": "decision",
+    "AWS::RDS::DBCluster": "decision", "AWS::ElastiCache::CacheCluster": "decision", "AWS::OpenSearchService::Domain": "decision",
+    "AWS::IAM::Role": "concept", "AWS::IAM::Policy": "concept", "AWS::EC2::VPC": "decision", "AWS::EC2::SecurityGroup": "concept",
+    "AWS::ElasticLoadBalancingV2::LoadBalancer": "decision",
+}
+
+# Patterns of what turns hold beside prose.
+FENCE = r"(?s)```(\w*)\n(.*?)```"
+PYTHON_TRACE = r"(?s)(?:Traceback \(most recent call last\):.*?)(\w+(?:\.\w+)*Error|\w+Exception|KeyboardInterrupt):\s*(.+)"
+PYTHON_PLACE = r"File \"([^\"]+)\", line (\d+)"
+SCRIPT_ERROR = r"(TypeError|ReferenceError|SyntaxError|Error):\s*(.+?)(?:\n|$)"
+SCRIPT_FRAME = r"at .+?\((.+?):(\d+):\d+\)"
+HTTP_STATUS = r"\b(4\d\d|5\d\d)\b"
+PYTEST = r"(?i)=+ ([\d,]+ passed|[\d,]+ failed|[\d,]+ error)"
+JEST = r"(?i)Tests:\s+(\d+) passed.*?(\d+) failed"
+NPM = r"(?i)npm ERR!"
+ARN = r"arn:aws:[a-z0-9-]+:[a-z0-9-]*:\d+:[A-Za-z0-9:/_-]+"
+EXIT_CODE = r"(?i)exited? (?:with )?(?:code )?(\d+)"
+FILE_REF = r"(?m)(?:^|[\s`\"'])((?:\.{1,2}/|/|[A-Za-z]:[/\\])[A-Za-z0-9._/\\-]+\.[A-Za-z]{1,6})(?::(\d+))?"
+URL = r"https?://[^\s'\"<>)]+"
+JSON_FENCE = r"(?s)```json\n(.*?)```"
+JSON_INLINE = r"(?s)(?<!\w)(\{[^`]{50,}?\})"
 
 # Orders and icons of reports.
 TYPE_ORDER_FOCUS = ["question", "error", "decision", "task", "skill", "concept", "file"]

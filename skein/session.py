@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,16 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="skein-")
     sc.setCheckpointDir(own)
     return own
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def clean_up() -> None:
+    """Deletes what :func:`cut` wrote in this process; called at its end, too."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        except Exception:  # the session is gone: what is on this machine can still be deleted
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+atexit.register(clean_up)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """The same rows behind a cut lineage: written once to the shared folder and read back, so that lost executors
-    cost no recomputation and several readers share one computation."""
+    cost no recomputation and several readers share one computation. It is deleted when the process ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"skein-{name}-{uuid.uuid4().hex}")
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ def terraform(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = [F.regexp_extract_all("text", F.lit(RESOURCE), i) for i in (1, 2, 3)]
     r = files.select("path", F.explode(F.arrays_zip(*[c.alias(n) for c, n in zip(found, "knb")])).alias("r")).select("path", "r.*")
     ref = F.concat_ws(".", "k", "n")
-    kind = F.when(F.col("k").isin(rules.TERRAFORM_DECISIONS), "decision").otherwise("concept")
+    kind = rules.lookup(rules.TERRAFORM_TYPES, F.col("k"), "concept")
     short = F.regexp_replace(F.regexp_replace("k", r"^[^_]*_", ""), "_", " ")
     meta = metadata(resource_type=F.col("k"), resource_name=F.col("n"), provider=F.lit("terraform"), source=F.col("path"))
     nodes = r.select("path", *node(ref, kind, F.left(F.concat(short, F.lit(" "), "n"), F.lit(60)), F.concat(F.lit("Terraform "), "k", F.lit(": "), "n"), "iac_resource", meta))
@@ -39,7 +39,7 @@ def _list(text, path: str):
 def cloudformation(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = files.select("path", F.from_json(as_json(F.col("text")), "Resources map<string,string>").alias("d"))
     r = d.select("path", F.explode("d.Resources").alias("id", "v")).withColumn("k", F.get_json_object("v", "$.Type")).where("k <> ''")
-    kind = F.when(F.col("k").isin(rules.CFN_DECISIONS), "decision").otherwise("concept")
+    kind = rules.lookup(rules.CFN_TYPES, F.col("k"), "concept")
     label = F.left(F.concat(F.element_at(F.split("k", "::"), -1), F.lit(" "), "id"), F.lit(60))
     meta = metadata(resource_type=F.col("k"), logical_id=F.col("id"), source=F.col("path"), region=F.get_json_object("v", "$.Properties.Region"))
     nodes = r.select("path", *node(F.col("id"), kind, label, F.concat("k", F.lit(" resource: "), "id"), "iac_resource", meta))

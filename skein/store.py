@@ -24,19 +24,31 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(ids, ["session_id", "id"], "left_anti"), edges
 
 
+def _shown(col: str):
+    """A number as the viewer shows it: what is missing or not a number counts as 1."""
+    return F.round(F.coalesce(F.when(~F.isnan(col), F.col(col)), F.lit(1.0)), 6).alias(col)
+
+
 def viewer_nodes(nodes: DataFrame) -> DataFrame:
-    """What the graph viewer draws; a missing confidence counts as 1."""
-    c = F.round(F.coalesce("confidence", F.lit(1.0)), 6)
-    return nodes.where("id is not null").select("session_id", "seq", "id", "label", "type", "status", c.alias("confidence"))
+    """The nodes the graph viewer draws."""
+    return nodes.where("id is not null").select("session_id", "seq", "id", "label", "type", "status", F.coalesce("summary", F.lit("")).alias("summary"), _shown("confidence"))
+
+
+def viewer_edges(edges: DataFrame) -> DataFrame:
+    """The edges the graph viewer draws."""
+    return edges.select("session_id", "seq", "id", "from_id", "to_id", "relation", _shown("weight"))
 
 
 def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session_id, kind, seq, json): one JSON line per node and edge, embeddings left out. Lines, not one document: a session
-    may be larger than a task should hold."""
+    """(session_id, kind, seq, json): of each session a line with its counts, then one JSON line per node and edge, embeddings left out.
+    Lines, not one document: a session may be larger than a task should hold."""
     n = nodes.drop("embedding")
     a = n.select("session_id", F.lit("node").alias("kind"), "seq", F.to_json(F.struct(*n.columns)).alias("json"))
     b = edges.select("session_id", F.lit("edge").alias("kind"), "seq", F.to_json(F.struct(*edges.columns)).alias("json"))
-    return a.unionByName(b)
+    counts = a.select("session_id", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(b.select("session_id", F.lit(0).alias("n"), F.lit(1).alias("e")))
+    counts = counts.groupBy("session_id").agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
+    head = counts.select("session_id", F.lit("session").alias("kind"), F.lit(None).cast("long").alias("seq"), F.to_json(F.struct("session_id", "nodes", "edges")).alias("json"))
+    return head.unionByName(a).unionByName(b)
 
 
 def save(df: DataFrame, folder: str, by: str = "session_id") -> str:

@@ -19,7 +19,16 @@ def route(turns: DataFrame, every: int) -> DataFrame:
     return turns.withColumn("backend", F.when(second, "second").otherwise("first"))
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def fold(idle_ms: int) -> Callable:
+    """The stateful fold of :func:`stream_turns`, whose open turns close after ``idle_ms`` without a row."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _fold(key, frames, state, idle_ms)
+
+    return step
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
     """Closed turns of one session. A turn closes when the next user message comes, or when the session's timer runs out."""
     turn, user, answer, is_open = state.get if state.exists else (0, "", "", False)
     out = []
@@ -45,19 +54,20 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             elif kind == "assistant.message" and text:
                 answer, is_open = text, True
         state.update((turn, user, answer, is_open))
-        state.setTimeoutDuration(1)
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["session_id", "turn_number", "role_user", "role_assistant"])
 
 
-def stream_turns(events: DataFrame) -> DataFrame:
+def stream_turns(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """Turns (session_id, turn_number, role_user, role_assistant) of a stream of transcript events (sessionid, line_no,
-    row_id, type, content). Events of a session must come in order of line_no across micro-batches; the state held for one is
-    its open turn and a counter."""
+    row_id, type, content). Events of a session must come in order of line_no across micro-batches (within one they are sorted);
+    rows that come later than that are folded as they come. The state held for a session is its open turn and a counter; an open
+    turn is given out when the next question comes or nothing came for ``idle_ms``."""
     said = events.where("sessionid is not null and line_no is not null and type in ('user.message', 'assistant.message')")
     return (
         said.select("sessionid", "line_no", "row_id", "type", "content")
         .groupBy("sessionid")
-        .applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(fold(idle_ms), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
     )
 
 

@@ -20,7 +20,8 @@ def connect(root: str = ROOT):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        assert not math.isnan(v), "not a number in a result"
+        return repr(round(v, 6) + 0.0)
     return str(v)
 
 

@@ -75,7 +75,15 @@ def test_tools_urls_files(spark):
     assert one(spark, T.urls(F.col("t")), t="http://a.b/c, https://d.e). http://a.b/c") == ["http://a.b/c", "https://d.e"]
     assert one(spark, T.file_refs(F.col("t")), t="see ./a/b.py:12 and /x/y.md\nC:\\z\\w.txt") == ["./a/b.py", "/x/y.md", "C:\\z\\w.txt"]
     assert one(spark, T.path_language(F.col("t")), t="x/y.TSX") == "typescriptreact"
-    assert one(spark, T.json_keys(F.col("t")), t='{"a":1,"b":{"c":2}}') == ["a", "b"]
+    t = 'x {"a":1,"b":{"c":2,"d":[{"e":{"f":{"g":1}}}]},"text":"long enough for a heuristic"} y ```json\n[{"k":1,"l":2,"m":3}]\n``` {"broken": ' + "z" * 60 + "}"
+    assert one(spark, T.schema_blobs(F.col("t")), t=t) == [["k", "l", "m"], ["a", "b", "b.c", "b.d", "b.d.e", "text"]]
+    assert one(spark, T.schema_blobs(F.col("t")), t="none") == [] and one(spark, T.schema_blobs(F.col("t")), t=None) == []
+    r = one(spark, T.cli_outputs(F.col("t")), t="== 3 passed\n=== 1 FAILED\nexited with code 2, Tests: 4 passed, 5 failed")
+    assert [tuple(x) for x in r] == [("pytest", 2, 3, None, "== 3 passed"), ("pytest", 2, None, None, "=== 1 FAILED"), ("jest", None, 4, 5, "4 passed, 5 failed")]
+    r = one(spark, T.stack_traces(F.col("t")), t="TypeError: a\nError: b 500\n at f (x.js:3:1)")
+    assert [tuple(x) for x in r] == [("TypeError", "a", "x.js", 3, None), ("Error", "b 500", "x.js", 3, None)]
+    assert [tuple(x) for x in one(spark, T.file_mentions(F.col("t")), t="`./a.py:7` and ./a.py:9 /b.zz")] == [("./a.py", 7, "python"), ("/b.zz", None, None)]
+    assert one(spark, T.block_symbols(F.lit("func (r *T) Go() {}\nfunc x"), F.lit("go"))) == ["Go", "x"]
 
 
 def fold(text, most, keep=lambda s: s.lstrip("\n")):
@@ -245,6 +253,18 @@ def test_graph(spark, sample):
     com = {r.id: r.community for r in graph.communities(n, e).collect()}
     assert len(com) == 8 and com["n7"] == "n7" and com["n2"] == com["n3"] == com["n4"]
     assert {(r.id, r.n_edges) for r in graph.degrees(n, e).collect()} >= {("n1", 3), ("n5", 1)}
+    q = graph.modularity(n, e, graph.communities(n, e)).first().modularity
+    alone = graph.modularity(n, e, graph.node_ids(n).withColumn("community", F.col("id"))).first().modularity
+    assert q > alone and q >= 0.1
+
+
+def test_communities_find_planted_groups(spark):
+    n = nodes(spark, *[{"seq": i} for i in range(30)])
+    inside = [(f"n{a}", f"n{b}") for g in range(3) for a in range(10 * g, 10 * g + 10) for b in range(a + 1, 10 * g + 10)]
+    e = edges(spark, *inside, ("n9", "n10"), ("n19", "n20"))
+    com = {r.id: r.community for r in graph.communities(n, e).collect()}
+    assert len(set(com.values())) == 3 and all(com[f"n{i}"] == com[f"n{10 * (i // 10)}"] for i in range(30))
+    assert graph.modularity(n, e, graph.communities(n, e)).first().modularity > 0.6
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -355,7 +375,7 @@ def test_store(spark, tmp_path):
     left, e = store.delete_nodes(n, edges(spark, ("n0", "n1"), ("n1", "n1")), n.where("seq = 0"))
     assert left.count() == 1 and [(r.from_id, r.to_id) for r in e.collect()] == [("n1", "n1")]
     lines = [json.loads(r.json) for r in store.export_json(n, edges(spark, ("n0", "n1"))).collect()]
-    assert len(lines) == 3 and all("embedding" not in x for x in lines)
+    assert len(lines) == 4 and all("embedding" not in x for x in lines) and {"session_id": "s", "nodes": 2, "edges": 1} in lines
     path = tmp_path / "f.md"
     path.write_text("head\n")
     store.write_managed_block(str(path), "one")
@@ -368,15 +388,38 @@ def test_stream_equals_batch(spark, tmp_path):
 
     rows = [("s1", 0, 0, "user.message", "u1"), ("s1", 1, 1, "assistant.message", "a1"), ("s1", 2, 2, "assistant.message", "a2"), ("s1", 3, 3, "user.message", "u2"), ("s2", 0, 4, "user.message", "x"), ("s1", 4, 5, "assistant.message", "a3"), ("s1", 5, 6, "user.message", "u3")]
     schema = "sessionid string, line_no long, row_id long, type string, content string"
-    for i, part in enumerate((rows[:4], rows[4:])):
+    for i, part in enumerate((rows[:4], rows[4:5], rows[5:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = []
     q = each_batch(stream_turns(stream), lambda df, _: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     batch = turns.transcript_turns(spark.createDataFrame([(*r, None) for r in rows], schema + ", starttime string")).drop("ts")
-    closed = {("s1", 1, "u1", "a2"), ("s1", 2, "u2", "a3")}
-    assert closed <= set(seen) <= {tuple(r) for r in batch.collect()}
+    # s1 says nothing in the second batch, and its answer in the third still belongs to the question of the first
+    assert sorted(seen) == [("s1", 1, "u1", "a2"), ("s1", 2, "u2", "a3")]
+    assert set(seen) <= {tuple(r) for r in batch.collect()}
+
+
+def test_idle_turns_are_given_out():
+    from skein.streaming.turns import fold
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+    import pandas as pd
+
+    state, step = State(), fold(5000)
+    rows = pd.DataFrame({"line_no": [0], "row_id": [0], "type": ["user.message"], "content": ["u"]})
+    assert len(next(step(("s",), iter([rows]), state))) == 0 and state.ms == 5000
+    state.hasTimedOut = True
+    assert next(step(("s",), iter([]), state)).values.tolist() == [["s", 1, "u", ""]]
+    assert len(next(step(("s",), iter([]), state))) == 0
 
 
 def test_edits_names_and_embeddings(spark, tmp_path):

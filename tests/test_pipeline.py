@@ -79,6 +79,16 @@ def test_merge_and_repair(spark):
     assert ("n0", "n11", "documents") in e2 and ("n11", "n12", "relates-to") in e2
 
 
+def test_labels_said_again_in_a_batch_meet_their_first_node(spark):
+    old = stored(spark, {"seq": 0, "label": "Old one", "status": "adopted"})
+    new = stored(spark, {"seq": 10, "label": "Write tests", "type": "task", "status": "done", "confidence": 0.5}, {"seq": 11, "label": "Other", "type": "task"}, {"seq": 12, "label": "write TESTS", "type": "task", "status": "pending", "summary": "later", "confidence": 0.8}, {"seq": 13, "label": None}, {"seq": 14, "label": None})
+    links = spark.createDataFrame([("s", "n12", "n11", "depends-on", 1.0)], "session_id string, from_id string, to_id string, relation string, weight double")
+    nodes, edges = pipeline.merge_batch(old, spark.createDataFrame([], EDGES), new, links, at="2026-01-02")
+    got = {r.seq: r for r in nodes.collect()}
+    assert set(got) == {0, 10, 11, 13, 14} and (got[10].status, got[10].summary, got[10].confidence) == ("conflicted", "later", 0.8)
+    assert ("n10", "n11", "depends-on") in {(r.from_id, r.to_id, r.relation) for r in edges.collect()}
+
+
 def test_near_duplicates_are_merged_related_and_healed(spark):
     old = stored(spark, {"seq": 0, "embedding": [1.0, 0.0, 0.0]}, {"seq": 1, "label": "y", "type": "error"}, {"seq": 2, "label": "z", "type": "error"}, {"seq": 3, "label": "t", "type": "task", "embedding": [0.0, 0.0, 1.0]})
     had = spark.createDataFrame([("s", "n1", "n2", "uses", 1.0)] * 4, "session_id string, from_id string, to_id string, relation string, weight double")
