@@ -184,6 +184,10 @@ LABELLED = regex.compile(
     r"(?P<name>\p{Ll}[\p{Ll}'’\-]+(?:[ ]\p{Ll}\.)?[ ]\p{Ll}[\p{Ll}'’\-]+(?:[ ]\p{Ll}[\p{Ll}'’\-]+)?)(?=\s*(?:$|[\n,;)\"'<(\]]|\.(?:\s|$))|\s(?:unter|al|on|au|at|under)\s[+(\d])",
     regex.MULTILINE,
 )
+#: The first words of what LABELLED looks for.
+_LABELS = frozenset("owner author name assignee reviewer contact signed user reported ticket invoice belongs talked spoke thanks regards cheers hi hello dear ask ping bitte llama demandez écrivez call reach".split())
+RUN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u0400-\u052f\u1e00-\u1eff]+")
+HAN_SIGN = re.compile("[\u2e80-\u2fdf\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
 # The most common Chinese family names.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
 _COMPOUND = "欧阳|司马|上官|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐"
@@ -317,13 +321,26 @@ def _names(text: str) -> Iterator[tuple[int, int, dict]]:
         known = words[0].lower() in _LOW
         if known:
             yield a, b, {"form": 0, "gazetteer": 1, "against": 0}
-    for m in LOWER.finditer(text):
-        weak = m.group(1) in _WORDS
-        yield m.start(), m.end(), {"form": int(not weak), "gazetteer": 1, "against": 0}
-    for m in LABELLED.finditer(text):
-        if any(w.capitalize() in _COMMON for w in m.group("name").split()):
+    given, told = [], []
+    for m in RUN.finditer(text):  # one pass over the words; the patterns are only tried where one begins
+        w = m.group()
+        if w in _LOW:
+            given.append(LOWER.match(text, m.start()))
+        if w.lower() in _LABELS:
+            told.append(LABELLED.match(text, m.start()))
+    done = 0
+    for m in filter(None, given):
+        if m.start() >= done:
+            done = m.end()
+            yield m.start(), m.end(), {"form": int(m.group(1) not in _WORDS), "gazetteer": 1, "against": 0}
+    done = 0
+    for m in filter(None, told):
+        if m.start() < done or any(w.capitalize() in _COMMON for w in m.group("name").split()):
             continue
+        done = m.end()
         yield *m.span("name"), {"form": 0, "gazetteer": int(m.group("name").split()[0] in _LOW), "against": 0}
+    if not HAN_SIGN.search(text):
+        return
     for m in HAN.finditer(text):
         cued = regex.search(rf"(?:{_HAN_CUE})$", text[max(0, m.start() - 4) : m.start()])
         if m.lastgroup == "family" and not cued and not regex.match(r"[\"'<>,(;/|、]|\s?[<(]|$", text, pos=m.end()):
