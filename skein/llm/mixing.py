@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators.ranking import bucketed_running
 
-RUNS = 1024
+#: Rows a run of a sort holds on average, at most.
+RUN_ROWS = 100_000
 #: Targets a mix may have; their table is small by its nature, which is checked, and is sent to every executor.
 TARGETS = 10_000
 
@@ -65,13 +68,16 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
     ).where("_src is not null and _size > 0")
     found = (
         sizes.groupBy("_src")
-        .agg(F.sum("_size").alias("_total"), F.max("_size").alias("_longest"))
+        .agg(F.sum("_size").alias("_total"), F.max("_size").alias("_longest"), F.count(F.lit(1)).alias("_n"))
         .join(F.broadcast(want), "_src", "left")
         .groupBy(F.when(F.col("_name").isNotNull(), F.col("_src")).alias("_src"))
-        .agg(F.sum("_total").alias("_total"), F.max("_longest").alias("_longest"))
+        .agg(F.sum("_total").alias("_total"), F.max("_longest").alias("_longest"), F.sum("_n").alias("_n"))
         .collect()
     )
     budget = sum(int(r["_total"]) for r in found)
+    # runs of bounded size, a power of two of them, and enough for all tasks
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(1, math.ceil(math.log2(max(tasks, sum(int(r["_n"]) for r in found) / RUN_ROWS))))
     size_of = {r["_src"]: (int(r["_total"]), int(r["_longest"])) for r in found if r["_src"] is not None}
     plan, slack = [], 0.0
     for r in asked:
@@ -90,7 +96,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
     )
     drawn = F.broadcast(plan_df.where("_w > 0 and _rep > 0"))
     shuffled = sizes.join(drawn, "_src").withColumn("_h", F.xxhash64("_id", F.lit(seed)))
-    shuffled = shuffled.withColumn("_run", F.expr(f"shiftrightunsigned(_h, {64 - RUNS.bit_length() + 1})"))
+    shuffled = shuffled.withColumn("_run", F.expr(f"shiftrightunsigned(_h, {64 - bits})"))
     queued = bucketed_running(shuffled, ["_src"], "_run", ["_h", "_id", "_size"], sums={"_cum": "_size"})
     copies = queued.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rep"))))
     copies = copies.withColumn("finish", ((F.col("copy_no") - 1) * F.col("_total") + F.col("_cum")) / F.col("_w"))
@@ -98,7 +104,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
         # past the end of the fluid schedule each source has at most one document in flight
         copies = copies.where(F.col("finish") <= F.lit(end * (1 + 1e-9) + slack))
     horizon = max(1e-9, end if end is not None else max((p[5] / p[2] for p in plan if p[2] > 0), default=1.0))
-    slices = copies.withColumn("_slice", F.floor(F.least(F.col("finish") / F.lit(horizon), F.lit(4.0)) * RUNS).cast("long"))
+    slices = copies.withColumn("_slice", F.floor(F.least(F.col("finish") / F.lit(horizon), F.lit(4.0)) * (1 << bits)).cast("long"))
     slices = slices.withColumn("_all", F.lit(1))
     timed = bucketed_running(slices, ["_all"], "_slice", ["finish", "_src", "_id", "copy_no", "_size"], sums={"upto": "_size"})
     members = timed.where(F.col("upto") <= budget).select(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.operators.ranking import bucketed_running
+from skein.session import cut
 
 #: Rows of a plan, 40 bytes each, that are sent to every executor; a longer plan is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -54,11 +56,32 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return rows
 
 
+def cutter(capacity: int):
+    """A column function: the byte offsets at which a text is cut into pieces of at most ``capacity`` bytes, the first 0, none inside
+    a character (unless it is itself larger); null for null."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def starts(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> list[int]:
+            raw, at, out = text.encode("utf-8", "surrogatepass"), 0, [0]
+            while len(raw) - at > capacity:
+                to = at + capacity
+                while to > at and raw[to] & 0xC0 == 0x80:
+                    to -= 1
+                at = to if to > at else at + capacity
+                out.append(at)
+            return out
+
+        return texts.map(of, na_action="ignore")
+
+    return starts
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, run_rows: int = 200_000) -> DataFrame:
     """Rows (id, piece_no, n_pieces, piece_start, tokens, bin_id): every document's place in containers of ``capacity``.
 
-    Sizes are the UTF-8 bytes of the text. A document is split only if it alone exceeds the capacity; its pieces are cut at
-    multiples of the capacity and placed like other items. Null and empty texts need no room: one row with tokens 0 and a
+    Sizes are the UTF-8 bytes of the text. A document is split only if it alone exceeds the capacity; its pieces are as long as
+    fits without cutting a character (piece_start is in bytes) and are placed like other items. Null and empty texts need no room: one row with tokens 0 and a
     null bin_id. Documents with equal ids are separate items if their sizes differ and may swap slots if not. The histogram
     has at most ``capacity`` rows, whatever the input, and is the only thing the driver sees; the plan joined back has at
     most 2 * capacity patterns and is only broadcast up to BROADCAST_ROWS rows. Ranks within a length are spread over runs of about ``run_rows`` rows.
@@ -67,14 +90,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         raise ValueError("capacity must be positive")
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    whole = docs.select(F.col(id_col).alias("_id"), size.alias("_size"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(capacity))).cast("long")
-    items = (
-        whole.withColumn("n_pieces", pieces)
-        .withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)))
-        .withColumn("piece_start", F.col("piece_no") * capacity)
-        .withColumn("tokens", F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("piece_start")))
-    )
+    whole = docs.select(F.col(id_col).alias("_id"), size.alias("_size"), cutter(capacity)(F.when(size > capacity, F.col(text_col))).alias("_starts"))
+    starts = F.coalesce("_starts", F.array(F.lit(0).cast("long")))
+    pieces = whole.select("_id", "_size", F.size(starts).cast("long").alias("n_pieces"), F.posexplode(F.arrays_zip(starts.alias("at"), F.slice(starts, 2, F.size(starts)).alias("to"))).alias("piece_no", "p"))
+    pieces = pieces.select("_id", "_size", "n_pieces", F.col("piece_no").cast("long").alias("piece_no"), F.col("p.at").alias("piece_start"), (F.coalesce("p.to", "_size") - F.col("p.at")).alias("tokens"))
+    items = cut(pieces, "items")  # the texts are read once
     counts = {r["tokens"]: r["n"] for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = max(1, -(-max(counts.values(), default=0) // run_rows))
     ranked = bucketed_running(
@@ -99,3 +119,17 @@ def fill_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
     """Rows (used, containers): how many containers hold how many tokens; at most ``capacity`` rows."""
     per = packed.where("bin_id is not null").groupBy("bin_id").agg(F.sum("tokens").alias("used"))
     return per.groupBy("used").agg(F.count(F.lit(1)).alias("containers")).withColumn("unused", F.lit(capacity) - F.col("used"))
+
+
+def soundness(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row (items, tokens, over, containers, least): what was packed, the containers above the capacity (none), those used and the
+    fewest that any packing needs: the tokens over the capacity, or the items of more than half of it."""
+    items = packed.where("bin_id is not null")
+    bins = items.groupBy("bin_id").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("tokens") * 2 > capacity).alias("large"))
+    return bins.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("items"),
+        F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"),
+        F.count_if(F.col("used") > capacity).alias("over"),
+        F.count(F.lit(1)).alias("containers"),
+        F.coalesce(F.greatest(F.ceil(F.sum("used") / F.lit(capacity)), F.sum("large")), F.lit(0)).alias("least"),
+    )

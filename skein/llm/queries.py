@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import conversations as conv
 from skein.llm import mixing, neardup, packing, pii, representative, sentences, splitting
@@ -40,6 +41,10 @@ def p2_consensus(spark: SparkSession, root: str) -> DataFrame:
     return representative.consensus_text(table(spark, root, "nodes"))
 
 
+def p2_agreement(spark: SparkSession, root: str) -> DataFrame:
+    return representative.agreement(table(spark, root, "nodes"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     kept = conv.conversations(table(spark, root, "copilot_session"), table(spark, root, "claude_export"))
     return kept.select("src", "conv_key", "msg_no", "row_id")
@@ -57,6 +62,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.blocks_of(_oversized(spark, root))
 
 
+def p4_cover(spark: SparkSession, root: str) -> DataFrame:
+    """Every oversized text's characters, put together again from its pieces, and the pieces over the limit."""
+    p = p4_pieces(spark, root)
+    first = F.min("start_at")
+    return p.groupBy("src", "row_id").agg(
+        (F.sum(F.col("end_at") - F.col("start_at")) - 200 * (F.count(F.lit(1)) - 1)).alias("chars"), first.alias("begins"), F.max("end_at").alias("ends"), F.count_if(F.col("end_at") - F.col("start_at") > 6000).alias("over")
+    )
+
+
 def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces_of(_oversized(spark, root))
 
@@ -69,6 +83,11 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_groups(table(spark, root, "nodes"))
 
 
+def p5_members(spark: SparkSession, root: str) -> DataFrame:
+    """Every record's group."""
+    return p5_groups(spark, root).select("seq", "group_seq")
+
+
 def p6_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
@@ -81,6 +100,21 @@ def p6_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, root, "documents")))
 
 
+def p6_sound(spark: SparkSession, root: str) -> DataFrame:
+    return packing.soundness(packing.pack(table(spark, root, "documents"))).select("items", "tokens", "over", (F.col("containers") >= F.col("least")).alias("enough"), (F.col("containers") <= F.col("least") * 1.1 + 1).alias("tight"))
+
+
+def p6_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's tokens, put together again from its pieces."""
+    packed = packing.pack(table(spark, root, "documents"))
+    return packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > 4096).alias("over"), F.min("piece_start").alias("begins"))
+
+
+def p7_plan(spark: SparkSession, root: str) -> DataFrame:
+    """What each source has and may give, and whether that is too little."""
+    return p7_shares(spark, root).select("source", "target_share", "max_repeat", "source_tokens", "available", "unreachable")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_shares(spark, root).where("unreachable").select("source")
 
@@ -99,7 +133,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_masked, p1_labelers, p2_found, p2_survivors, p2_consensus, p3_found, p3_fragments, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_packed, p6_fill, p7_found, p7_shares, p7_mix, p8_found)
+    for f in (p1_found, p1_masked, p1_labelers, p2_found, p2_survivors, p2_consensus, p2_agreement, p3_found, p3_fragments, p4_found, p4_pieces, p4_cover, p5_found, p5_groups, p5_members, p6_found, p6_packed, p6_fill, p6_sound, p6_sizes, p7_found, p7_plan, p7_shares, p7_mix, p8_found)
 }
 
 _INVISIBLE = r"\p{Z}\p{Cc}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{034F}\x{FE00}-\x{FE0F}"
@@ -136,3 +170,19 @@ SQL: dict[str, str] = {
         WITH d AS (SELECT {_SOURCE.format("source")} AS s, sum(strlen(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT sum(size) AS total FROM d)
         SELECT t.source FROM mix_targets t CROSS JOIN b LEFT JOIN d ON d.s = {_SOURCE.format("t.source")} WHERE coalesce(d.size, 0) * t.max_repeat < t.target_share * b.total""",
 }
+
+_LONG = "(SELECT 'copilot_session' AS src, row_id, content AS t FROM copilot_session UNION ALL SELECT 'claude_export', row_id, text FROM claude_export)"
+_DRAWN = f"(SELECT {_SOURCE.format('source')} AS s, sum(strlen(text)) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1)"
+SQL |= {
+    "p4_cover": f"SELECT src, row_id, length(t) AS chars, 0 AS begins, length(t) AS ends, 0 AS over FROM {_LONG} WHERE length(t) > 6000",
+    "p5_members": f"""
+        WITH RECURSIVE p AS MATERIALIZED ({SQL["p5_found"]}), l AS MATERIALIZED (SELECT seq_a AS a, seq_b AS b FROM p UNION SELECT seq_b, seq_a FROM p),
+        r AS (SELECT seq AS a, seq AS b FROM nodes WHERE seq IS NOT NULL UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT a AS seq, min(b) AS group_seq FROM r GROUP BY a""",
+    "p6_sound": "SELECT sum(greatest(1, ceil(strlen(text) / 4096)))::BIGINT AS items, sum(strlen(text))::BIGINT AS tokens, 0 AS over, true AS enough, true AS tight FROM documents WHERE strlen(text) > 0",
+    "p6_sizes": "SELECT doc_id, coalesce(strlen(text), 0) AS tokens, 0 AS over, 0 AS begins FROM documents",
+    "p7_plan": f"""
+        WITH d AS (SELECT * FROM {_DRAWN}), b AS (SELECT sum(size) AS total FROM d)
+        SELECT t.source, t.target_share, t.max_repeat::BIGINT AS max_repeat, coalesce(d.size, 0)::BIGINT AS source_tokens, (coalesce(d.size, 0) * t.max_repeat)::BIGINT AS available, coalesce(d.size, 0) * t.max_repeat < t.target_share * b.total AS unreachable
+        FROM mix_targets t CROSS JOIN b LEFT JOIN d ON d.s = {_SOURCE.format("t.source")}""",
+}

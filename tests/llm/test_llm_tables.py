@@ -78,6 +78,36 @@ def test_consensus():
     assert representative.consensus([("a b", 1.0, 7), ("a b", 1.0, 3)]) == 3
 
 
+def slow_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def test_winners_are_the_nearest_to_the_vote():
+    rnd = random.Random(6)
+    for _ in range(40):
+        base = [rnd.choice("abcdef") for _ in range(rnd.randrange(1, 9))]
+        values = [(" ".join(rnd.choice("abcdef") if rnd.random() < 0.3 else t for t in base), rnd.choice([0.2, 0.5, 1.0]), i) for i in range(rnd.randrange(2, 7))]
+        tokens = {i: representative.tokens_of(t) for t, _, i in values}
+        vote = [t for col in representative.profile_of([(tokens[i], w, i) for _, w, i in values]) if (t := max(col.items(), key=lambda x: (x[1], x[0]))[0])]
+        apart = {i: slow_distance(tokens[i], vote) for i in tokens}
+        assert all(representative.distance(tokens[i], vote) == d for i, d in apart.items())
+        assert apart[representative.consensus(values)] == min(apart.values())
+
+
+def test_consensus_of_scripts_without_blanks_and_of_long_texts(spark):
+    assert representative.tokens_of("索引v2很慢 ok") == ["索", "引", "v2", "很", "慢", "ok"]
+    assert representative.consensus([("图的索引很慢", 0.5, 1), ("图的索引很快", 0.5, 2), ("图的索引很慢了", 0.5, 3), ("完全不同的句子", 0.6, 4)]) in (1, 3)
+    long = [" ".join(f"w{i}" for i in range(900))] * 2
+    values = [(long[0], 0.5, 1), (long[1].replace("w3 ", "x "), 0.4, 2), (long[0].replace("w850 ", "y z "), 0.4, 3)]
+    assert representative.consensus(values) == 1
+
+
 def test_consensus_rounds_are_bounded(spark):
     rows = [{"summary": f"the graph index number {i} is slow", "confidence": 0.5} for i in range(150)] + [{"summary": "the graph index is slow"}] + [{"summary": "the graph index is slow"}]
     got = representative.consensus_text(nodes(spark, *rows)).collect()
@@ -202,11 +232,16 @@ def test_packing(spark):
     for i, size in sizes.items():
         own = sorted((r.piece_no, r.piece_start, r.tokens, r.n_pieces, r.bin_id) for r in out if r.doc_id == i)
         assert sum(p[2] for p in own) == size and len(own) == own[0][3] == max(1, math.ceil(size / 100))
-        assert [p[1] for p in own] == [100 * p[0] for p in own] and all((p[4] is None) == (size == 0) for p in own)
+        assert [p[1] for p in own] == [sum(q[2] for q in own[:k]) for k, _ in enumerate(own)] and max(p[2] for p in own) <= 100 and all((p[4] is None) == (size == 0) for p in own)
         for p in own:
             if p[4] is not None:
                 used[p[4]] = used.get(p[4], 0) + p[2]
     assert max(used.values()) <= 100 and len(used) <= math.ceil(sum(sizes.values()) / 100) + 2
+    sound = packing.soundness(packing.pack(rows, capacity=100), 100).first()
+    assert sound.over == 0 and sound.tokens == sum(sizes.values()) and sound.least <= sound.containers <= sound.least + 2
+    wide = spark.createDataFrame([(1, "é" * 150), (2, "x" + "日" * 70)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.piece_start, r.tokens) for r in packing.pack(wide, capacity=101).collect())
+    assert got == [(1, 0, 100), (1, 100, 100), (1, 200, 100), (2, 0, 100), (2, 100, 99), (2, 199, 12)]
     assert packing.pack(rows.where("false")).count() == 0
     with pytest.raises(ValueError):
         packing.pack(rows, capacity=0)
