@@ -3,7 +3,7 @@
 import pytest
 
 from parity import ROOT, same
-from skein.queries import QUERIES, SQL
+from skein.source_queries import QUERIES, SQL
 
 EMPTY = {"focus_relationships", "minimum_edges", "schema_blobs"}
 
