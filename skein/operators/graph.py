@@ -44,8 +44,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(node_ids(nodes), ["session_id", "id"], "left_semi").groupBy("session_id", "id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """(session_id, id, hop): what is within ``hops`` links of the seeds (session_id, id), with the fewest links it takes."""
+def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int | None = None) -> DataFrame:
+    """(session_id, id, hop): what is within ``hops`` links of the seeds (session_id, id), with the fewest links it takes; of each
+    session at most ``most``, where given, nearer ones first, then by id."""
     pairs = cut(links(nodes, edges), "links")
     seen = seeds.join(node_ids(nodes), ["session_id", "id"], "left_semi").distinct().withColumn("hop", F.lit(0))
     front = seen
@@ -53,7 +54,10 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: in
         step = front.select("session_id", F.col("id").alias("a")).join(pairs, ["session_id", "a"]).select("session_id", F.col("b").alias("id")).distinct()
         front = cut(step.join(seen, ["session_id", "id"], "left_anti").withColumn("hop", F.lit(hop)), "front")
         seen = seen.unionByName(front)
-    return seen
+    if most is None:
+        return seen
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("hop", "id"))
+    return seen.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:

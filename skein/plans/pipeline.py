@@ -79,6 +79,22 @@ def rule_extractor(user: Column, assistant: Column) -> Column:
 EXTRACTORS: dict[str, Extractor] = {"rules": rule_extractor}
 
 
+def readable(answer: Column) -> Column:
+    """Whether an extractor's answer is a JSON object."""
+    return F.coalesce(F.try_parse_json(answer).isNotNull() & F.ltrim(answer).startswith("{"), F.lit(False))
+
+
+def hybrid_extractor(first: Extractor, second: Extractor, turn: Column, every: int = 10) -> Extractor:
+    """An extractor that asks ``second`` on every n-th turn and ``first`` on the others; where the second gives no readable answer,
+    the first is asked."""
+
+    def extract(user: Column, assistant: Column) -> Column:
+        own = second(user, assistant)
+        return F.when((turn % max(1, every) == 0) & readable(own), own).otherwise(first(user, assistant))
+
+    return extract
+
+
 #: Places of a vector of :func:`word_embedder`.
 WORD_PLACES = 256
 

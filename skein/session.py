@@ -77,6 +77,8 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session_name(project: str, day: str) -> str:
-    """The default name of a session: the project folder's, in lower case with hyphens, and the day."""
+def session_name(project: str, day: str, override: str | None = None) -> str:
+    """The name of a session: the one given, else the project folder's, in lower case with hyphens, and the day."""
+    if override and override.strip():
+        return override.strip()
     return f"{os.path.basename(os.path.normpath(project)).lower().replace(' ', '-')}-{day}"

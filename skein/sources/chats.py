@@ -2,15 +2,76 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.functions.text import iso_time, strip
+from skein.plans.turns import delimited_turns, message_pairs, transcript_turns
 
 ATTACHMENTS = "array<struct<name:string,fileName:string,uri:string,content:string,text:string,mimeType:string,type:string,kind:string>>"
 
 
+@F.pandas_udf(T.StringType())
+def literal_to_json(text: pd.Series) -> pd.Series:
+    """A Python literal as JSON text; null where it can't be read."""
+
+    def convert(x):
+        try:
+            return None if x is None else json.dumps(ast.literal_eval(x), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return text.map(convert)
+
+
+# Where a workspace may keep its transcripts, the first that has any counts.
+TRANSCRIPT_FOLDERS = ["GitHub.copilot-chat/transcripts", "GitHub.copilot-chat/debug-logs", "GitHub.copilot-chat/sessions"]
+
+
+def transcripts(spark: SparkSession, workspace: str) -> DataFrame:
+    """(path, modified) of a workspace's transcript files, the newest first, from the first of the known folders that has any."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(workspace).select("path", F.col("modificationTime").alias("modified"))
+    rank = F.lit(None).cast("int")
+    for i, folder in reversed(list(enumerate(TRANSCRIPT_FOLDERS))):
+        rank = F.when(F.col("path").rlike(f"/{re.escape(folder)}/[^/]+$"), i).otherwise(rank)
+    found = listed.withColumn("_r", rank).where("_r is not null")
+    first = found.agg(F.min("_r").alias("_m"))
+    return found.join(F.broadcast(first), F.col("_r") == F.col("_m")).orderBy(F.desc("modified"), "path").select("path", "modified")
+
+
+def workspace_turns(spark: SparkSession, workspace: str, session: str | None = None) -> DataFrame:
+    """The turns of a workspace's latest transcript, or of the one whose file is named ``session``; none without a transcript."""
+    found = transcripts(spark, workspace)
+    if session:
+        found = found.where(F.col("path").endswith(f"/{session}.jsonl"))
+    path = found.limit(1).collect()
+    if not path:
+        return spark.createDataFrame([], "session_id string, turn_number int, role_user string, role_assistant string, ts string")
+    return transcript_turns(read_transcripts(spark, path[0]["path"]))
+
+
+def with_source(turns: DataFrame, source: str) -> DataFrame:
+    """Turns that say where they come from."""
+    return turns.withColumn("source", F.lit(source))
+
+
+def chat_file_turns(files: DataFrame) -> DataFrame:
+    """(path, conv, turn_number, role_user, role_assistant) of chat files (path, text): as exports in JSON where that yields a turn, else
+    as pasted text with speaker labels."""
+    sides = export_messages(files).withColumn("_key", F.concat_ws("\x1f", "path", "conv"))
+    pairs = message_pairs(sides, "_key", "pos", "role", "text")
+    own = pairs.select(F.split("_key", "\x1f")[0].alias("path"), F.split("_key", "\x1f")[1].alias("conv"), "turn_number", "role_user", "role_assistant")
+    rest = files.join(own.select("path").distinct(), "path", "left_anti").where("text is not null")
+    return own.unionByName(delimited_turns(rest, "path", "text").select("path", F.lit("0").alias("conv"), "turn_number", "role_user", "role_assistant"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Events (sessionid, line_no, row_id, type, content, starttime) of transcript files, one JSON object a line; blank and
     broken lines are skipped, payloads are taken from ``data`` or the top level, a user's text from ``content`` or ``text``, and
@@ -20,7 +81,10 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     )
     place = F.row_number().over(Window.partitionBy("file").orderBy("block", "row_id")).cast("long") - 1
     lines = lines.withColumn("line_no", place).where(F.try_parse_json("v").isNotNull() & F.get_json_object("v", "$.type").isNotNull())
-    get = lambda *names: F.coalesce(*[F.get_json_object("v", f"$.{p}{n}") for n in names for p in ("data.", "")])
+    # a payload may be written as the text of a Python literal
+    lines = lines.withColumn("w", literal_to_json(F.when(F.get_json_object("v", "$.data").startswith("{") & (F.try_parse_json(F.get_json_object("v", "$.data")).isNull() | F.col("v").rlike(r'"data"\s*:\s*"')), F.get_json_object("v", "$.data"))))
+    places = [("w", "$."), ("v", "$.data."), ("v", "$.")]
+    get = lambda *names: F.coalesce(*[F.get_json_object(c, f"{p}{n}") for n in names for c, p in places])
     att = F.coalesce(F.from_json(get("attachments"), ATTACHMENTS), F.array().cast(ATTACHMENTS))
 
     def note(a):

@@ -69,6 +69,25 @@ def files_by_commit(lines: DataFrame) -> DataFrame:
     return lines.withColumn("hash", F.last(mark, True).over(upto)).where("hash is not null and line <> '' and not startswith(line, 'COMMIT:')").select("log", "hash", F.col("line").alias("file"))
 
 
+# The documents of a project that are read, in this order.
+PROJECT_DOCS = ["README.md", "CONTRIBUTING.md", "HANDOVER.md", "CHANGELOG.md", "ARCHITECTURE.md", "DECISIONS.md", "ADR.md", "docs/README.md"]
+
+
+def project_turns(files: DataFrame, root: str, commits: DataFrame | None = None) -> DataFrame:
+    """(turn_number, source, role_user, role_assistant) of a project: a turn for each commit (rows of :func:`commit_turns` with ``pos``,
+    their order), then those of its documents among (path, text), numbered through."""
+    place = F.lit(None).cast("int")
+    for i, name in enumerate(PROJECT_DOCS):
+        place = F.when(F.col("path").endswith(f"{root.rstrip('/')}/{name}"), i).otherwise(place)
+    own = files.withColumn("_p", place).where("_p is not null")
+    docs = document_turns(own.select("path", "text")).join(own.select("path", "_p"), "path")
+    rows = docs.select(F.lit(1).alias("_k"), F.col("_p").cast("long").alias("_a"), F.col("turn_number").cast("long").alias("_b"), F.lit("codebase_doc").alias("source"), "role_user", "role_assistant")
+    if commits is not None:
+        rows = rows.unionByName(commits.select(F.lit(0).alias("_k"), F.col("pos").cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"), F.lit("codebase").alias("source"), "role_user", "role_assistant"))
+    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_k", "_a", "_b"))
+    return rows.select(number.alias("turn_number"), "source", "role_user", "role_assistant")
+
+
 def pdf_pages(spark: SparkSession, folder: str, most: int = MOST) -> DataFrame:
     """(path, page, chunk_no, text) of PDF files, pages packed into chunks; needs the optional package pypdf."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder).select("path", "content")

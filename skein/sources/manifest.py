@@ -107,6 +107,15 @@ def dependencies(files: DataFrame) -> DataFrame:
     return out
 
 
+def project_dependencies(files: DataFrame, root: str) -> DataFrame:
+    """:func:`dependencies` of the manifests right in a project's folder, not below it, with ``place``, the order of their kinds."""
+    top = files.where(F.regexp_extract("path", r"^(?:file:)?/*(.*?)/*[^/]*$", 1) == root.strip("/"))
+    names = ["package.json", "pyproject.toml", "requirements.txt", "Cargo.toml", "go.mod", "Gemfile", "pom.xml"]
+    known = top.where(name_of(F.col("path")).isin(names))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), name_of(F.col("path")))
+    return dependencies(known).withColumn("place", place.cast("int"))
+
+
 def dependency_nodes(deps: DataFrame) -> DataFrame:
     """A skill node of subtype library for each dependency."""
     label = F.left("package", F.lit(50))

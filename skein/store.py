@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.schema import NODE_STATUSES
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("session_id", "id")) -> DataFrame:
     """Stored rows with incoming ones in their place where keys are equal; the greatest seq counts. Null ids are no rows."""
@@ -86,6 +88,43 @@ def write_managed_block(path: str, content: str, begin: str = "<!-- session cont
     os.replace(temp, path)
 
 
+def write_text(path: str, content: str) -> None:
+    """Writes a text file whole, by replacing it, its folder made where there is none."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    temp = f"{path}.{uuid.uuid4().hex}"
+    with open(temp, "w", encoding="utf-8") as f:
+        f.write(content)
+    os.replace(temp, path)
+
+
+def append_export(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with the rows of an imported session export (sources.chats.session_export) as they are; columns it lacks are null."""
+    take = lambda df, like: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+    session = lambda df: df if "session_id" in df.columns else df.withColumn("session_id", F.col("original_session_id")) if "original_session_id" in df.columns else df
+    return nodes.unionByName(take(session(more_nodes), nodes)), edges.unionByName(take(session(more_edges), edges))
+
+
+def set_title(sessions: DataFrame, session_id: str, title: str) -> DataFrame:
+    """The sessions with one's title set; a session that isn't known is added."""
+    known = sessions.withColumn("title", F.when(F.col("session_id") == session_id, F.lit(title)).otherwise(F.col("title")))
+    new = sessions.sparkSession.createDataFrame([(session_id, title)], "session_id string, title string").join(sessions.select("session_id"), "session_id", "left_anti")
+    return known.unionByName(new, allowMissingColumns=True)
+
+
+def edit_node(nodes: DataFrame, session_id: str, node_id: str, status: str | None = None, summary: str | None = None) -> DataFrame:
+    """The nodes with one's status or summary set, without a trace in its history; a status that isn't one of NODE_STATUSES, or an
+    unknown node, is an error."""
+    if status is not None and status not in NODE_STATUSES:
+        raise ValueError(f"unknown status: {status}")
+    one = (F.col("session_id") == session_id) & (F.col("id") == node_id)
+    if nodes.where(one).isEmpty():
+        raise LookupError(f"no node {node_id}")
+    for name, value in (("status", status), ("summary", summary)):
+        if value is not None:
+            nodes = nodes.withColumn(name, F.when(one, F.lit(value)).otherwise(F.col(name)))
+    return nodes
+
+
 def fan_out(paths: list[str], content: str) -> list[str]:
     """Writes a managed block to each path once, in the order given; the paths written."""
     own = list(dict.fromkeys(p for p in paths if p))
