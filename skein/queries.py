@@ -233,7 +233,20 @@ def para_chunks(spark, root):
     return d.select("doc_id", F.posexplode(T.paragraph_chunks(F.col("text"))).alias("n", "chunk")).select("doc_id", (F.col("n") + 1).alias("chunk_no"), "chunk")
 
 
-@query()
+_PARTS = "string_split(regexp_replace(text, '(?m)^(#{1,3}[ \\t]+[^\\s])', chr(1) || '\\1', 'g'), chr(1))"
+_TITLED = "regexp_matches(p, '^#{1,3}[ \\t]+[^\\s]')"
+_HEAD = "'^#{1,3}\\s+([^\\n]+)'"
+_LIST = _chunks_sql("body", 4000)
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, unnest({_PARTS}) AS p, generate_subscripts({_PARTS}, 1) AS i FROM documents WHERE text IS NOT NULL),"
+    f" s AS (SELECT doc_id, i, {_TITLED} AS titled, CASE WHEN {_TITLED} THEN {_strip(f'regexp_extract(p, {_HEAD}, 1)')} ELSE '' END AS heading, {_strip(f"CASE WHEN {_TITLED} THEN regexp_replace(p, {_HEAD}, '') ELSE p END")} AS body FROM p),"
+    f" c AS (SELECT *, CASE WHEN titled AND length(body) > 4000 THEN list_transform({_LIST}, lambda x: {_strip('x')}) ELSE [body] END AS l FROM s),"
+    " d AS (SELECT doc_id, i, heading, CASE WHEN len(l) > 1 AND l[-1] = '' THEN list_slice(l, 1, len(l) - 1) ELSE l END AS l FROM c),"
+    " x AS (SELECT doc_id, i, CASE WHEN len(l) > 1 THEN heading || ' (' || j || '/' || len(l) || ')' ELSE heading END AS heading, l[j] AS body, j FROM (SELECT *, unnest(range(1, len(l) + 1)) AS j FROM d))"
+    " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j)::INT AS section_no, heading, body FROM x WHERE heading <> '' OR body <> ''"
+)
 def doc_sections(spark, root):
     d = table(spark, root, "documents").where("text is not null")
     s = d.select("doc_id", F.posexplode(T.markdown_sections(F.col("text"))).alias("n", "s"))
@@ -956,7 +969,23 @@ def focus_relationships(spark, root):
     return reports.focus(_nodes(spark, root), _edges(spark, root), "graph cache parser")[1]
 
 
-@query()
+def _thread_sql() -> str:
+    view = f"SELECT n.* REPLACE (d.status AS status) FROM nodes n JOIN ({SQL['stale_demotion']}) d USING (seq)"
+    own = lambda q: q.replace("FROM nodes WHERE", "FROM v WHERE")
+    fits = own(SQL["budget_fill"]).replace("SELECT p.session_id, p.seq FROM p JOIN tot", "SELECT p.seq, CASE WHEN total <= 4800 THEN 0 ELSE -p.pr END AS o FROM p JOIN tot")
+    text = "coalesce(label, '') || CASE WHEN section = 'files' THEN '' ELSE ': ' || coalesce(summary, '') END"
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = f"replace({text}, '{sign}', '{name}')"
+    label = text.replace("coalesce(label, '') || CASE WHEN section = 'files' THEN '' ELSE ': ' || coalesce(summary, '') END", "coalesce(label, '')")
+    return (
+        f"WITH v AS MATERIALIZED ({view}), b AS ({fits}), s AS (SELECT v.*, b.o, {_WHICH} FROM v JOIN b USING (seq)),"
+        f" r AS (SELECT *, row_number() OVER (PARTITION BY session_id, section {_RANK}, o, seq) AS rank, count(*) OVER (PARTITION BY session_id, section) AS n FROM s)"
+        f" SELECT session_id, section, rank, seq, type, status, {text} AS text, greatest(0, n - {_CAP}) AS overflow FROM r WHERE rank <= {_CAP}"
+        f" UNION ALL SELECT d.session_id, 'resolved_this_session', d.rank, d.seq, v.type, v.status, {label}, d.overflow FROM ({own(SQL['resolved_summary'])}) d JOIN v USING (seq)"
+    )
+
+
+@query(_thread_sql())
 def active_thread(spark, root):
     return thread.active_thread(_nodes(spark, root), _edges(spark, root))
 
