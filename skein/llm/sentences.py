@@ -495,7 +495,8 @@ def _long(rows: DataFrame, id_type: T.DataType, chunk: int) -> DataFrame:
 
     # rows with one id stay apart: each takes its own number
     cutted = rows.withColumn("copy", F.monotonically_increasing_id()).mapInPandas(slices, ranges)
-    pieces = cut(cutted.repartition("doc_id", "copy", "no").mapInPandas(symbols, lexed), "symbols")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    pieces = cut(cutted.repartition(tasks, "doc_id", "copy", "no").mapInPandas(symbols, lexed), "symbols")
 
     def entry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")

@@ -153,6 +153,11 @@ def boundary_table(text: str, lo: int, hi: int) -> dict:
     return {"ends": {code(s): follow(0, s) for s in STATES}, "fences": fences}
 
 
+def first_table(text: str, lo: int, hi: int) -> dict:
+    """The boundary table of a range that begins a text: nothing is open there."""
+    return {"ends": {code(START): code(scan(text, lo, hi, START)[1])}, "fences": {"`": [], "~": []}}
+
+
 def after(table: dict, state: tuple) -> tuple:
     """Looks a state up in a boundary table."""
     if state[0] == "fence":
@@ -225,7 +230,7 @@ def _longs(*names: str) -> list[T.StructField]:
 
 TEXT = ["src", "row_id", "copy"]
 _KEY = [T.StructField("src", T.StringType()), *_longs("row_id", "copy")]
-RANGES = T.StructType([*_KEY, *_longs("no", "lo", "hi"), T.StructField("text", T.StringType())])
+RANGES = T.StructType([*_KEY, *_longs("no", "lo", "hi"), T.StructField("final", T.BooleanType()), T.StructField("text", T.StringType())])
 TABLES = T.StructType([*RANGES, T.StructField("table", T.StringType())])
 LEVELS = ["blocks", "lines", "sentences", "words"]
 BOUNDARIES = T.StructType(
@@ -255,7 +260,7 @@ def oversized(texts: DataFrame, limit: int = 6000, overlap: int = 200, size: int
                 for no, lo in enumerate(range(0, len(r.text), size)):
                     hi = min(len(r.text), lo + size)
                     at, to = context(r.text, lo, hi)
-                    out.append((r.src, r.row_id, r.copy, no, lo - at, hi - at, r.text[at:to]))
+                    out.append((r.src, r.row_id, r.copy, no, lo - at, hi - at, hi == len(r.text), r.text[at:to]))
                 yield pd.DataFrame(out, columns=RANGES.names)
 
     return _rows_of(rows.withColumn("copy", F.monotonically_increasing_id()).mapInPandas(slices, RANGES), limit, overlap)
@@ -271,11 +276,16 @@ def _rows_of(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
 def stitched(ranges: DataFrame, reach: int) -> DataFrame:
     """The boundaries of texts given as ranges (RANGES), by range (BOUNDARIES), in two passes."""
 
+    def table(no: int, final: bool, text: str, lo: int, hi: int) -> str | None:
+        # nothing follows a last range, so nobody asks for its table
+        return None if final else json.dumps((boundary_table if no else first_table)(text, lo, hi))
+
     def tables(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(table=[json.dumps(boundary_table(t, a, b)) for t, a, b in zip(pdf["text"], pdf["lo"], pdf["hi"])])
+            yield pdf.assign(table=[table(*r) for r in zip(pdf["no"], pdf["final"], pdf["text"], pdf["lo"], pdf["hi"])])
 
-    spread = cut(ranges.repartition("src", "row_id", "copy", "no").mapInPandas(tables, TABLES), "ranges")
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    spread = cut(ranges.repartition(tasks, "src", "row_id", "copy", "no").mapInPandas(tables, TABLES), "ranges")
     entry_schema = T.StructType([*_KEY, *_longs("no", "base"), T.StructField("state", T.StringType())])
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -283,7 +293,7 @@ def stitched(ranges: DataFrame, reach: int) -> DataFrame:
         state, states = START, []
         for t in pdf["table"]:
             states.append(code(state))
-            state = after(json.loads(t), state)
+            state = after(json.loads(t), state) if t else START
         return pdf.assign(state=states, base=pdf["chars"].cumsum() - pdf["chars"])[entry_schema.names]
 
     known = spread.select(*TEXT, "no", (F.col("hi") - F.col("lo")).alias("chars"), "table")
@@ -298,7 +308,7 @@ def stitched(ranges: DataFrame, reach: int) -> DataFrame:
                 out.append((r.src, r.row_id, r.copy, r.no, r.base, r.hi - r.lo, [k for _, k in found], *levels))
             yield pd.DataFrame(out, columns=BOUNDARIES.names)
 
-    return spread.drop("table").join(entries, [*TEXT, "no"]).mapInPandas(emit, BOUNDARIES)
+    return spread.drop("table", "final").join(entries, [*TEXT, "no"]).mapInPandas(emit, BOUNDARIES)
 
 
 def pieces(found: DataFrame, limit: int, overlap: int, segment: int = SEGMENT) -> DataFrame:
@@ -384,6 +394,6 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = 6000, overla
                 before, own, behind = (x.decode("utf-8", "replace") for x in (raw[left:lo], raw[lo:hi], raw[hi:right]))
                 text = before + own + behind
                 a, b = context(text, len(before), len(before) + len(own))
-                yield pd.DataFrame([("file", r.row_id, 0, r.no, len(before) - a, len(before) + len(own) - a, text[a:b])], columns=RANGES.names)
+                yield pd.DataFrame([("file", r.row_id, 0, r.no, len(before) - a, len(before) + len(own) - a, end == r.total, text[a:b])], columns=RANGES.names)
 
     return _rows_of(asked.mapInPandas(read, RANGES), limit, overlap)

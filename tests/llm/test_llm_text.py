@@ -281,7 +281,7 @@ def test_giant_texts_are_cut_anew_by_segments(spark):
     t = "\n\n".join(f"paragraph {i} " + "word " * 30 for i in range(200))
     rows = spark.createDataFrame([("t", 1, t)], "src string, row_id long, text string")
     ranges = rows.withColumn("copy", F.lit(0).cast("long")).mapInPandas(
-        lambda parts: (splitting.pd.DataFrame([("t", 1, 0, no, lo - a, min(lo + 500, len(t)) - a, t[a:b])], columns=splitting.RANGES.names) for _ in parts for no, lo in enumerate(range(0, len(t), 500)) for a, b in [splitting.context(t, lo, min(lo + 500, len(t)))]),
+        lambda parts: (splitting.pd.DataFrame([("t", 1, 0, no, lo - a, min(lo + 500, len(t)) - a, lo + 500 >= len(t), t[a:b])], columns=splitting.RANGES.names) for _ in parts for no, lo in enumerate(range(0, len(t), 500)) for a, b in [splitting.context(t, lo, min(lo + 500, len(t)))]),
         splitting.RANGES,
     )
     p = sorted((r.start_at, r.end_at) for r in splitting.pieces(splitting.stitched(ranges, 980), 1000, 20, segment=4000).collect())
