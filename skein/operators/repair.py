@@ -10,6 +10,7 @@ from skein import rules
 from skein.functions.extract import push_status
 from skein.functions.text import label_tokens
 from skein.operators.merge import endpoints, nearest, orphans
+from skein.operators.ranking import bucketed_running
 from skein.schema import REMEDIATE_SKIP
 
 
@@ -38,8 +39,9 @@ def infer_edges(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFram
     aren't linked either way, the first ``most`` of each session in the order of the pairs' seqs.
 
     Nodes meet in groups by two common words, not by one. In a group of m only those pairs can be among the first that have
-    fewer than ``most`` plus the session's linked pairs before them in their own group, so few groups are paired in full. Ids
-    may stand in several rows: an edge links every row of one id with every row of the other.
+    fewer than ``most`` plus the group's linked pairs before them in their own group, so few groups are paired in full. Ids
+    may stand in several rows: an edge links every row of one id with every row of the other. Places in a group are counted over
+    stretches of seq with prefix sums, so one word pair of a hot session isn't one task's work.
     """
     own = nodes.where("id is not null and session_id is not null").select(
         "session_id", "seq", "id", "type", F.array_sort(label_tokens(F.col("label"))).alias("w")
@@ -49,17 +51,18 @@ def infer_edges(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFram
     groups = own.select("session_id", "seq", first, "w").select("session_id", "seq", "a", second)
     ends = edges.where("from_id is not null and to_id is not null").select("session_id", F.least("from_id", "to_id").alias("x"), F.greatest("from_id", "to_id").alias("y"))
     ends = ends.distinct()
-    held = own.groupBy("session_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    held = own.groupBy("session_id", "id", "w").agg(F.count(F.lit(1)).alias("n"))
     for end in ("x", "y"):
-        ends = ends.join(held.select("session_id", F.col("id").alias(end), F.col("n").alias(f"n_{end}")), ["session_id", end])
-    rows = F.when(F.col("x") == F.col("y"), F.expr("n_x * (n_x - 1) div 2")).otherwise(F.col("n_x") * F.col("n_y"))
-    linked = ends.where("x <> y or n_x > 1").groupBy("session_id").agg(F.sum(rows).alias("e"))
-    by = Window.partitionBy("session_id", "a", "b")
+        ends = ends.join(held.select("session_id", F.col("id").alias(end), F.col("w").alias(f"w_{end}"), F.col("n").alias(f"n_{end}")), ["session_id", end])
+    ends = ends.withColumn("w", F.array_sort(F.array_intersect("w_x", "w_y"))).where("size(w) >= 2 and (x <> y or n_x > 1 or w_x <> w_y)")
+    linked = ends.select("session_id", first, "w", (F.col("n_x") * F.col("n_y")).alias("n")).select("session_id", "a", second, "n")
+    linked = linked.groupBy("session_id", "a", "b").agg(F.sum("n").alias("e"))
+    key = ["session_id", "a", "b"]
+    sizes = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = groups.join(sizes, key).withColumn("_run", F.floor(F.col("seq") / 8192))
     ranked = (
-        groups.withColumn("r", F.row_number().over(by.orderBy("seq")).cast("long") - 1)
-        .withColumn("m", F.count(F.lit(1)).over(by))
-        .where("m > 1")
-        .join(linked, "session_id", "left")
+        bucketed_running(rows, key, "_run", ["seq"], rank="r")
+        .join(linked, key, "left")
         .withColumn("cap", F.lit(most).cast("long") + F.coalesce("e", F.lit(0)))
     )
     # pairs before (r, r + d) in a group of m: those of smaller r, then d - 1

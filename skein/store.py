@@ -54,20 +54,29 @@ def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, folder: str, by: str = "session_id") -> str:
-    """Writes a new snapshot, partitioned by session, and makes it the current one by replacing a pointer file."""
+    """Writes a new snapshot, partitioned by session, and makes it the current one by replacing a pointer file; the folder may be on any
+    file system that Spark writes to."""
     name = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(os.path.join(folder, name))
-    hint = os.path.join(folder, f".{name}")
-    with open(hint, "w") as f:
-        f.write(name)
-    os.replace(hint, os.path.join(folder, "CURRENT"))
+    df.write.partitionBy(by).parquet(f"{folder}/{name}")
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    hint, place = hadoop.Path(f"{folder}/_{name}"), hadoop.Path(f"{folder}/CURRENT")
+    out = hint.getFileSystem(conf).create(hint, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    files = hint.getFileSystem(conf)
+    context = hadoop.FileContext.getFileContext(files.getUri(), conf)
+    context.rename(files.makeQualified(hint), files.makeQualified(place), over)
     return name
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """The current snapshot; filters on session_id read only its folders."""
-    with open(os.path.join(folder, "CURRENT")) as f:
-        return spark.read.parquet(os.path.join(folder, f.read().strip()))
+    name = spark.read.text(f"{folder}/CURRENT").first()["value"].strip()
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def write_managed_block(path: str, content: str, begin: str = "<!-- session context: begin -->", end: str = "<!-- session context: end -->") -> None:
