@@ -288,16 +288,19 @@ def stitched(ranges: DataFrame, reach: int) -> DataFrame:
     spread = cut(ranges.repartition(tasks, "src", "row_id", "copy", "no").mapInPandas(tables, TABLES), "ranges")
     entry_schema = T.StructType([*_KEY, *_longs("no", "base"), T.StructField("state", T.StringType())])
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no")
-        state, states = START, []
-        for t in pdf["table"]:
-            states.append(code(state))
-            state = after(json.loads(t), state) if t else START
-        return pdf.assign(state=states, base=pdf["chars"].cumsum() - pdf["chars"])[entry_schema.names]
+    def stitch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, base = None, START, 0
+        for pdf in parts:  # in order; a text may go on in the next batch
+            out = []
+            for *own, no, chars, t in pdf[[*TEXT, "no", "chars", "table"]].itertuples(index=False, name=None):
+                if own != key:
+                    key, state, base = own, START, 0
+                out.append((*own, no, base, code(state)))
+                state, base = after(json.loads(t), state) if t else START, base + chars
+            yield pd.DataFrame(out, columns=entry_schema.names)
 
     known = spread.select(*TEXT, "no", (F.col("hi") - F.col("lo")).alias("chars"), "table")
-    entries = known.groupBy(*TEXT).applyInPandas(stitch, entry_schema)
+    entries = known.repartition(tasks, *TEXT).sortWithinPartitions(*TEXT, "no").mapInPandas(stitch, entry_schema)
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -323,15 +326,29 @@ def pieces(found: DataFrame, limit: int, overlap: int, segment: int = SEGMENT) -
     spans = spans.withColumn("first", F.when(F.col("seg") == 0, F.col("b")).otherwise(F.coalesce("f", "b")))
     spans = spans.select(*own, "first", F.coalesce(F.lead("first").over(order), "e").alias("last"))
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no")
-        levels = [np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf[c]]) for c in LEVELS]
-        r = pdf.iloc[0]
-        made = cuts(int(r["first"]), int(r["last"]), levels, limit, overlap, int(r["seg"]) == 0)
-        return pd.DataFrame({"src": r["src"], "row_id": r["row_id"], "what": "piece", "start_at": [a for a, _ in made], "end_at": [b for _, b in made]})
-
-    out = T.StructType([*_KEY[:2], T.StructField("what", T.StringType()), *_longs("start_at", "end_at")])
-    return parts.join(spans, own).select(*own, "no", "first", "last", *LEVELS).groupBy(*own).applyInPandas(assemble, out)
+    def made(rows: list[tuple]) -> list[tuple]:
+        src, row_id, _, seg, first, last, *_ = rows[0]
+        levels = [np.concatenate([np.asarray(r[6 + i], dtype=np.int64) for r in rows]) for i in range(len(LEVELS))]
+        return [(src, row_id, a, b) for a, b in cuts(int(first), int(last), levels, limit, overlap, int(seg) == 0)]
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # the ranges of the text that may go on in the next batch
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in pdf[[*own, "first", "last", *LEVELS]].itertuples(index=False, name=None):
+                if held and held[0][:4] != r[:4]:
+                    out += made(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(made(held), columns=names)
+
+    names = ["src", "row_id", "start_at", "end_at"]
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.join(spans, own).select(*own, "no", "first", "last", *LEVELS)
+    rows = rows.repartition(tasks, *own).sortWithinPartitions(*own, "no").mapInPandas(assemble, T.StructType([*_KEY[:2], *_longs("start_at", "end_at")]))
+    return rows.select("src", "row_id", F.lit("piece").alias("what"), "start_at", "end_at")
 
 
 def blocks_of(found: DataFrame) -> DataFrame:
