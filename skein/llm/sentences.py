@@ -498,12 +498,25 @@ def _long(rows: DataFrame, id_type: T.DataType, chunk: int) -> DataFrame:
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
     pieces = cut(cutted.repartition(tasks, "doc_id", "copy", "no").mapInPandas(symbols, lexed), "symbols")
 
-    def entry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no")
-        pdf["state"] = prefix_states(np.stack(pdf["f"].to_numpy()))
-        return pdf[["copy", "no", "state"]]
+    def entry(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # the ranges of the text that may go on in the next batch
 
-    states = pieces.select("copy", "no", "f").groupBy("copy").applyInPandas(entry, T.StructType(fields("copy", "no", "state")))
+        def states_of(rows: list[tuple]) -> list[tuple]:
+            return [(copy, no, int(x)) for (copy, no, _), x in zip(rows, prefix_states(np.stack([f for *_, f in rows])))]
+
+        for pdf in parts:
+            out: list[tuple] = []
+            for r in pdf[["copy", "no", "f"]].itertuples(index=False, name=None):
+                if held and held[0][0] != r[0]:
+                    out += states_of(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["copy", "no", "state"])
+        if held:
+            yield pd.DataFrame(states_of(held), columns=["copy", "no", "state"])
+
+    ordered = pieces.select("copy", "no", "f").repartition(tasks, "copy").sortWithinPartitions("copy", "no")
+    states = ordered.mapInPandas(entry, T.StructType(fields("copy", "no", "state")))
     pair = T.ArrayType(T.StructType(fields("s", "e")))
     marks = T.StructType([T.StructField("doc_id", id_type), *fields("copy", "no"), T.StructField("own", pair), *fields("ends", "opens")])
 
