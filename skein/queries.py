@@ -928,7 +928,7 @@ _ENDS2 = "(SELECT session_id, arg_min(id, seq) AS s, arg_max(id, seq) AS t FROM
 
 
 @query(
-    f"WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {LINKS}), e AS (SELECT * FROM {_ENDS2}), r AS (SELECT session_id, s AS id, 0 AS d FROM e UNION SELECT l.session_id, l.b, r.d + 1 FROM r JOIN l ON l.session_id = r.session_id AND l.a = r.id WHERE r.d < 32)"
+    f"WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {LINKS}), m AS MATERIALIZED (SELECT max(n) AS n FROM (SELECT count(DISTINCT id) AS n FROM nodes GROUP BY session_id)), e AS (SELECT * FROM {_ENDS2}), r AS (SELECT session_id, s AS id, 0 AS d FROM e UNION SELECT l.session_id, l.b, r.d + 1 FROM r JOIN l ON l.session_id = r.session_id AND l.a = r.id WHERE r.d < (SELECT n FROM m))"
     " SELECT e.session_id, e.s AS source, e.t AS target, min(r.d)::INT AS hops FROM e LEFT JOIN r ON e.session_id = r.session_id AND e.t = r.id GROUP BY ALL"
 )
 def shortest_path(spark, root):
