@@ -124,6 +124,20 @@ def test_estimation_recovers_what_labelers_are_worth():
     assert abs(share - 0.7) < 0.05 and right > 0.85 and abs(table.sum(axis=2) - 1).max() < 1e-6
 
 
+def test_estimation_does_not_move_with_the_size():
+    votes = [(1, 0, 1, 0, 0, 0, 0), (1, 0, 1, 0, 0, 0, 1), (1, 0, 1, 1, 0, 0, 0), (1, 0, 1, 1, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1), (1, 0, 0, 1, 0, 0, 1), (1, 0, 0, 0, 0, 0, 0), (1, 0, 0, 0, -1, 0, 1)]
+    counts = [2476, 1814, 1116, 843, 840, 439, 157, 4]  # nearly all are addresses
+    for size in (0.1, 1, 4, 40, 400, 4000):
+        chances = pii.estimate([(v, n * size) for v, n in sorted(zip(votes, counts))])[2]
+        assert [chances[v] >= 0.5 for v in votes] == [True] * 7 + [False], size
+
+
+def test_articles_before_a_name_are_whole_words():
+    against = lambda text: [v[pii.LABELERS.index("against")] for k, _, _, v, _ in pii.candidates(text) if k == 4]
+    assert against("Llama a Iker Lundungard al 876 555 0111.") == [0] and against("Pregunta a Iker Lundungard.") == [0]
+    assert against("In zeta Iker Lundungard wrote.") == [0] and against("On the Iker Lundungard day.") == [-1]
+
+
 # --- conversations ---
 
 
