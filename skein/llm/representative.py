@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from skein.schema import NODE_STATUSES
 from skein.session import cut
@@ -122,62 +119,73 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-def steps(share: list[dict], tokens: list[str]) -> list[tuple[int | None, int | None]]:
-    """The global alignment of tokens to columns (token -> share of weight), as (column, token) places, None for a gap.
+#: Places of an alignment that are written down at once: a byte each.
+PLACES = 8192 * 8192
+
+
+def steps(profile: list[dict], total: float, tokens: list[str], places: int = PLACES) -> list[tuple[int | None, int | None]]:
+    """The global alignment of tokens to columns (token -> weight, ``total`` in each), as (column, token) places, None for a gap.
 
     Placing a token into a column earns the share of the column's weight that agrees, a gap costs a half. Rows are filled at once:
-    the best way along a row is a running maximum.
+    the best way along a row is a running maximum. Where there are more than ``places``, the rows are halved and the ways back
+    written down for one part at a time, from a row in the middle that is kept; the alignment is the same.
     """
-    n, m, gap = len(share), len(tokens), -0.5
+    m, gap = len(tokens), -0.5
     at: dict[str, list[int]] = {}
     for j, t in enumerate(tokens):
         at.setdefault(t, []).append(j)
     along = np.arange(m + 1) * gap
-    row, way = along.copy(), np.zeros((n + 1, m + 1), dtype=np.int8)  # 0 a token of its own, 1 a column of its own, 2 both
-    way[1:, 0] = 1
-    for i in range(1, n + 1):
-        agree = np.zeros(m)
-        for t, w in share[i - 1].items():
-            if t in at:
-                agree[at[t]] = w
+
+    def fill(row: np.ndarray, i: int, way: np.ndarray | None = None) -> np.ndarray:
+        agree, col = np.zeros(m), profile[i]
+        for t in at if len(at) < len(col) else col:
+            if t in at and t in col:
+                agree[at[t]] = col[t] / total
         both = row[:-1] + 2 * agree - 0.6
         down = row + gap
         new = np.maximum(down, np.concatenate([[-np.inf], both]))
         new = np.maximum.accumulate(new - along) + along
-        way[i, 1:] = np.where(np.abs(new[1:] - both) < 1e-9, 2, np.where(np.abs(new[1:] - down[1:]) < 1e-9, 1, 0))
-        row = new
+        if way is not None:  # 0 a token of its own, 1 a column of its own, 2 both
+            way[1:] = np.where(np.abs(new[1:] - both) < 1e-9, 2, np.where(np.abs(new[1:] - down[1:]) < 1e-9, 1, 0))
+        return new
+
     out: list[tuple[int | None, int | None]] = []
-    i, j = n, m
-    while i or j:
-        if i and j and way[i, j] == 2:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and (way[i, j] == 1 or not j):
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
-
-
-def shares(profile: list[dict]) -> list[dict]:
-    return [{t: w / sum(col.values()) for t, w in col.items()} for col in profile]
-
-
-def align(profile: list[dict], tokens: list[str], weight: float) -> list[dict]:
-    """The profile (a column per place: token -> weight) with one more token row aligned to it, gaps where it has none."""
+
+    def back(lo: int, hi: int, row: np.ndarray, j: int) -> int:
+        """Goes back from row hi and place j to row lo, whose values are given; the place there."""
+        if hi - lo > 1 and (hi - lo) * (m + 1) > places:
+            middle, half = (lo + hi) // 2, row
+            for i in range(lo, middle):
+                half = fill(half, i)
+            return back(lo, middle, row, back(middle, hi, half, j))
+        way = np.ones((hi - lo, m + 1), dtype=np.int8)
+        for i in range(lo, hi):
+            row = fill(row, i, way[i - lo])
+        i = hi
+        while i > lo:
+            if j and way[i - lo - 1, j] == 2:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif not j or way[i - lo - 1, j] == 1:
+                i -= 1
+                out.append((i, None))
+            else:
+                j -= 1
+                out.append((None, j))
+        return j
+
+    first = back(0, len(profile), along, m)
+    return out[::-1] if not first else [(None, j) for j in range(first)] + out[::-1]
+
+
+def align(profile: list[dict], total: float, tokens: list[str], weight: float, places: int = PLACES) -> list[dict]:
+    """The profile (a column per place: token -> weight, ``total`` in each) with one more token row aligned to it, gaps where it
+    has none; its columns are changed in place."""
     out: list[dict] = []
-    total = sum(profile[0].values()) if profile else 0.0
-    for i, j in steps(shares(profile), tokens):
+    for i, j in steps(profile, total, tokens, places):
         token = "" if j is None else tokens[j]
-        if i is None:
-            col = {token: weight}
-            if total:
-                col[""] = total
-        else:
-            col = dict(profile[i])
-            col[token] = col.get(token, 0.0) + weight
+        col = profile[i] if i is not None else {"": total} if total else {}
+        col[token] = col.get(token, 0.0) + weight
         out.append(col)
     return out
 
@@ -196,21 +204,22 @@ def distance(a: list[str], b: list[str]) -> int:
 
 def profile_of(values: list[tuple[list[str], float, int]]) -> list[dict]:
     """The profile of (tokens, weight, seq), the heavier aligned first, then the smaller seq."""
-    profile: list[dict] = []
+    profile, total = [], 0.0
     for tokens, weight, _ in sorted(values, key=lambda v: (-v[1], v[2])):
-        profile = align(profile, tokens, weight) if profile else [{t: weight} for t in tokens]
+        profile, total = align(profile, total, tokens, weight), total + weight
     return profile
 
 
-def consensus(values: list[tuple[str, float, int]], max_tokens: int = 8192) -> int:
-    """The seq of the (text, weight, seq) closest to the weighted column vote; ties to the heavier, then the smaller seq."""
-    read = [(_tokens(text, max_tokens), weight, seq) for text, weight, seq in values]
-    vote = [t for col in profile_of(read) if (t := max(col.items(), key=lambda x: (x[1], x[0]))[0])]
-    return min((distance(tokens, vote), -weight, seq) for tokens, weight, seq in read)[2]
+def vote_of(profile: list[dict]) -> list[str]:
+    """The heaviest token of each column, ties to the greater one; none where gaps are heaviest."""
+    return [t for col in profile if (t := max(col.items(), key=lambda x: (x[1], x[0]))[0])]
 
 
-#: Groups of up to so many different values are aligned in one task; of larger ones, so many make the frame.
-FRAME = 64
+def consensus(values: list[tuple[str, float, int]]) -> int:
+    """The seq of the (text, weight, seq) closest to the weighted column vote; ties to the heavier, then the smaller seq."""
+    read = [(tokens_of(text), weight, seq) for text, weight, seq in values]
+    vote = vote_of(profile_of(read))
+    return min((distance(tokens, vote), -weight, seq) for tokens, weight, seq in read)[2]
 
 
 def consensus_text(nodes: DataFrame, field: str = "summary", max_tokens: int = 8192) -> DataFrame:
@@ -218,11 +227,10 @@ def consensus_text(nodes: DataFrame, field: str = "summary", max_tokens: int = 8
     token consensus of the group, whose equal values are added up first and weigh what their records do (confidence, a half
     where unusable).
 
-    Groups of up to FRAME different values are aligned as they are. Of a larger one, the FRAME heaviest values make a frame,
-    every value of the group is aligned to this frame, apart from the others, and all vote on its columns and on the tokens
-    between them; the value nearest to the vote is found by a minimum over the group. So no task ever holds a group that grows
-    with the data, and what is done to one group doesn't depend on others. An alignment takes a byte for every
-    pair of places, so values of more than ``max_tokens`` tokens are compared by runs of joined tokens; none is left out.
+    Groups of any size and values of any length are handled alike, as :func:`consensus` does: all values of a group are
+    aligned, the heaviest first, to a profile, the only thing held as they stream by in order; then the distance of each value
+    from the vote is taken apart from the others, and the nearest found by a minimum over the group. One alignment has at
+    most ``max_tokens`` squared places, a byte each, in memory; this changes no result.
     """
     text = visible(F.col(field))
     conf = F.col("confidence").cast("double")
@@ -239,95 +247,45 @@ def consensus_text(nodes: DataFrame, field: str = "summary", max_tokens: int = 8
     values = (
         rows.where(says_something(F.col("_text")))
         .groupBy(*keys, "_text")
-        .agg(F.sum("_w").alias("_w"), F.min("_seq").alias("_seq"))
+        # rounded, so that the order of a sum doesn't decide which value is heavier
+        .agg(F.round(F.sum("_w"), 9).alias("_w"), F.min("_seq").alias("_seq"))
         .join(groups.drop("_n"), keys)
         .select("_group", "_text", "_w", "_seq")
     )
     values = cut(values, "values")
-    crowds = cut(values.groupBy("_group").count().where(F.col("count") > FRAME).select("_group"), "crowds")
-    won = _round(values.join(crowds, "_group", "left_anti"), max_tokens)
-    if not crowds.isEmpty():
-        won = won.unionByName(_crowd(values.join(crowds, "_group", "left_semi"), max_tokens))
-    return won.select(F.col("_group").alias("group_seq"), F.col("_seq").alias("from_seq"), F.col("_text").alias("value"))
-
-
-def _tokens(text: str, max_tokens: int) -> list[str]:
-    """The text in at most ``max_tokens`` tokens, runs of them joined where there are more."""
-    tokens = tokens_of(text)
-    step = -(-len(tokens) // max_tokens) or 1
-    return tokens if step == 1 else ["␟".join(tokens[i : i + step]) for i in range(0, len(tokens), step)]
-
-
-def _round(values: DataFrame, max_tokens: int) -> DataFrame:
-    """The winners (_group, _text, _w, _seq) of groups that are aligned as they are, one after the other as they stream by."""
-    cols = ["_group", "_text", "_w", "_seq"]
-
-    def winner(own: list[tuple]) -> tuple:
-        if len(own) == 1:
-            return own[0]
-        seq = consensus([(text, w, seq) for _, text, w, seq in own], max_tokens)
-        return next(r for r in own if r[3] == seq)
-
-    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # the group that may go on in the next batch
-        for pdf in parts:
-            groups = [list(g) for _, g in groupby([*held, *pdf[cols].itertuples(index=False, name=None)], key=lambda r: r[0])]
-            held = groups.pop() if groups else []
-            yield pd.DataFrame([winner(g) for g in groups], columns=cols)
-        if held:
-            yield pd.DataFrame([winner(held)], columns=cols)
-
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return values.select(*cols).repartition(tasks, "_group").sortWithinPartitions("_group", "_seq").mapInPandas(pick, "_group long, _text string, _w double, _seq long")
+    votes = cut(_votes(values, max_tokens * max_tokens), "votes")
 
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # a value without others needs no vote
+            pdf["d"] = [0 if v is None else distance(tokens_of(t), list(v)) for t, v in zip(pdf["_text"], pdf["vote"])]
+            yield pdf[["_group", "_text", "_w", "_seq", "d"]]
 
-def _crowd(values: DataFrame, max_tokens: int) -> DataFrame:
-    """The winners (_group, _text, _w, _seq) of groups of any size, each value handled apart."""
-    values = cut(values.select("_group", "_text", "_w", "_seq"), "crowd")
-    # the heaviest of each of 64 parts first, then of the group: no task ranks a whole group
-    part = Window.partitionBy("_group", F.pmod(F.xxhash64("_seq"), F.lit(64))).orderBy(F.desc("_w"), "_seq")
-    whole = Window.partitionBy("_group").orderBy(F.desc("_w"), "_seq")
-    heavy = values.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= FRAME)
-    heavy = heavy.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= FRAME).drop("_r")
+    apart = values.join(votes, "_group", "left").mapInPandas(far, "_group long, _text string, _w double, _seq long, d long")
+    best = apart.groupBy("_group").agg(F.min_by(F.struct("_seq", "_text"), F.struct("d", (-F.col("_w")).alias("w"), "_seq")).alias("b"))
+    return best.select(F.col("_group").alias("group_seq"), F.col("b._seq").alias("from_seq"), F.col("b._text").alias("value"))
 
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(_tokens(text, max_tokens), w, seq) for text, w, seq in zip(pdf["_text"], pdf["_w"], pdf["_seq"])]
-        return pd.DataFrame({"_group": [int(pdf["_group"].iloc[0])], "frame": [json.dumps(shares(profile_of(own)))]})
 
-    frames = cut(heavy.groupBy("_group").applyInPandas(frame, "_group long, frame string"), "frames")
+def _votes(values: DataFrame, places: int) -> DataFrame:
+    """(_group, vote): the vote of each group of two or more values (_group, _text, _w, _seq), aligned as they stream by."""
 
-    def places(batches):
-        known: dict[str, list] = {}
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, n, profile, total = None, 0, [], 0.0  # of the group that may go on in the next batch
         for pdf in batches:
             out = []
-            for group, text, w, frame in zip(pdf["_group"], pdf["_text"], pdf["_w"], pdf["frame"]):
-                if frame not in known:
-                    known = {frame: json.loads(frame)}
-                tokens, column, nth = _tokens(text, max_tokens), -1, 0
-                for i, j in steps(known[frame], tokens):
-                    column, nth = (i, 0) if i is not None else (column, nth + 1)
-                    if j is not None:
-                        out.append((group, column, nth, tokens[j], w))
-            yield pd.DataFrame(out, columns=["_group", "column", "nth", "token", "w"])
-
-    framed = values.join(frames, "_group")
-    told = framed.mapInPandas(places, "_group long, column int, nth int, token string, w double")
-    told = cut(told.groupBy("_group", "column", "nth", "token").agg(F.sum("w").alias("w")), "told")
-    # a gap weighs what has no token at a place
-    at = told.groupBy("_group", "column", "nth").agg(F.max(F.struct("w", "token")).alias("t"), F.sum("w").alias("s"))
-    total = values.groupBy("_group").agg(F.sum("_w").alias("all"))
-    chosen = at.join(total, "_group").where(F.col("t.w") >= F.col("all") - F.col("s") - 1e-9)
-    vote = chosen.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("column", "nth", "t.token"))).alias("v"))
-    vote = frames.select("_group").join(vote, "_group", "left").select("_group", F.coalesce(F.transform("v", lambda x: x["token"]), F.array().cast("array<string>")).alias("vote"))
-
-    def far(batches):
-        for pdf in batches:
-            pdf["d"] = [distance(_tokens(t, max_tokens), list(v)) for t, v in zip(pdf["_text"], pdf["vote"])]
-            yield pdf[["_group", "_text", "_w", "_seq", "d"]]
+            for g, text, w in zip(pdf["_group"].tolist(), pdf["_text"], pdf["_w"].tolist()):
+                if g != group:
+                    if n > 1:
+                        out.append((group, vote_of(profile)))
+                    group, n, profile, total = g, 0, [], 0.0
+                profile, total, n = align(profile, total, tokens_of(text), w, places), total + w, n + 1
+            yield pd.DataFrame(out, columns=["_group", "vote"])
+        if n > 1:
+            yield pd.DataFrame([(group, vote_of(profile))], columns=["_group", "vote"])
 
-    apart = values.join(vote, "_group").mapInPandas(far, "_group long, _text string, _w double, _seq long, d long")
-    best = apart.groupBy("_group").agg(F.min_by(F.struct("_text", "_w", "_seq"), F.struct("d", (-F.col("_w")).alias("w"), "_seq")).alias("b"))
-    return best.select("_group", "b.*")
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = values.select("_group", "_text", "_w", "_seq").repartition(tasks, "_group").sortWithinPartitions("_group", F.desc("_w"), "_seq")
+    return ordered.mapInPandas(fold, "_group long, vote array<string>")
 
 
 def agreement(nodes: DataFrame) -> DataFrame:

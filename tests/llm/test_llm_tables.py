@@ -117,6 +117,30 @@ def test_consensus_rounds_are_bounded(spark):
     assert representative.consensus_text(nodes(spark).where("false")).count() == 0
 
 
+def test_consensus_is_one_method_at_any_size(spark):
+    rows, want = [], {}
+    for seed in (5, 13, 17, 21, 37, 41):
+        rnd, made = random.Random(seed), {}
+        size = rnd.choice([65, 66, 70, 80])
+        while len(made) < size:
+            made[" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 9)))] = 1
+        for n in (size, 64, 3):
+            own = [{"label": f"group {seed} {n}", "summary": x, "confidence": rnd.choice([0.2, 0.5, 0.9])} for x in list(made)[:n]]
+            want[len(rows)] = representative.consensus([(r["summary"], r["confidence"] + 0.01, len(rows) + i) for i, r in enumerate(own)])
+            rows += own
+    got = {r.group_seq: r.from_seq for r in representative.consensus_text(nodes(spark, *rows)).collect()}
+    assert got == want
+
+
+def test_consensus_of_long_texts_is_that_of_their_tokens(spark):
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [{"summary": " ".join(t for t in base if rnd.random() < 0.8), "confidence": 0.5} for _ in range(9)]
+    want = representative.consensus([(r["summary"], 0.51, i) for i, r in enumerate(rows)])
+    for bound in (1, 7, 25, 8192):
+        assert [r.from_seq for r in representative.consensus_text(nodes(spark, *rows), max_tokens=bound).collect()] == [want], bound
+
+
 # --- near-duplicates ---
 
 
