@@ -216,16 +216,14 @@ def conversations(copilot: DataFrame, export: DataFrame, target: int = 2048) ->
     return placed.join(good, [*conv, "frag"]).select(*conv, (F.col("offset") + F.col("at")).cast("long").alias("msg_no"), "row_id", "role")
 
 
-def deliveries(rows: DataFrame, target: int = 2048) -> DataFrame:
+def deliveries(rows: DataFrame) -> DataFrame:
     """Fragments (src, conv_key, frag, hashes): what was loaded of a conversation on one day, by position, from rows of
-    :func:`message_rows`, repeated deliveries included; those of large conversations are cut as for :func:`fragmented`."""
+    :func:`message_rows`, repeated deliveries included; one fragment a day, however large the conversation or the day."""
     key = F.xxhash64("src", F.coalesce(F.concat(F.lit("m"), "message_id"), F.concat(F.lit("r"), F.col("row_id").cast("string"))))
     kept = rows.where("seen and conv_key is not null and pos is not null")
     kept = kept.select("src", "conv_key", "pos", "row_id", key.alias("h"), F.to_date("load_ts").alias("day"))
-    cutted = fragmented(cut(kept, "delivered"), target)
-    own = cutted.groupBy("src", "conv_key", "frag", "day").agg(F.array_sort(F.collect_list(F.struct("pos", "row_id", "h"))).alias("m"))
-    name = F.xxhash64("frag", "day")
-    return own.select("src", "conv_key", name.alias("frag"), F.array_distinct(F.transform("m", lambda x: x["h"])).alias("hashes"))
+    own = kept.groupBy("src", "conv_key", "day").agg(F.array_sort(F.collect_list(F.struct("pos", "row_id", "h"))).alias("m"))
+    return own.select("src", "conv_key", F.xxhash64("day").alias("frag"), F.array_distinct(F.transform("m", lambda x: x["h"])).alias("hashes"))
 
 
 def assembled(fragments: DataFrame) -> DataFrame:

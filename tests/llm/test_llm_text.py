@@ -219,6 +219,18 @@ def test_written_times(spark):
     assert got == {t: None if s is None else s * 1_000_000 for t, s in rows}
 
 
+def test_deliveries_are_days_at_any_size(spark):
+    m = []
+    for n in (30, 1500, 3000):  # three days each, of which the first two overlap
+        for day, (lo, hi) in enumerate([(0, n // 2), (n // 3, n), (n, n + n // 3)]):
+            m += [(f"c{n}", i, ("user.message", "assistant.message")[i % 2], f"{n}-{i}", "t", 86_400 * day + i) for i in range(lo, hi)]
+    fragments = conv.deliveries(conv.message_rows(build(m, spark), spark.createDataFrame([], EXPORT)))
+    got = {r.conv_key: (r.fragments, r.edges, r.whole) for r in conv.assembled(fragments).collect()}
+    assert got == {f"c{n}": (3, 1, False) for n in (30, 1500, 3000)}
+    sizes = {(r.conv_key, r.n) for r in fragments.select("conv_key", F.size("hashes").alias("n")).collect()}
+    assert sizes == {(f"c{n}", k) for n in (30, 1500, 3000) for k in (n // 2, n - n // 3, n // 3)}
+
+
 # --- pieces ---
 
 MARKDOWN = """Intro line
